@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import quality, toxicity
+from tessella.llm import bpe, decontaminate, quality, simhash, toxicity
 from tessella.llm.common import materialize, table
 
 
@@ -18,7 +18,28 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return toxicity.filter_documents(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality_rules", quality_rules), ("toxicity", toxicity_filter)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest doc_id of each near-duplicate component."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that overlap a benchmark item."""
+    return decontaminate.filter_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, with digests that show that decoding gives the text back."""
+    return bpe.round_trip(docs, with_ids=True)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("bpe", encode),
+]
 
 #: The stages hold trained models, which SQL cannot express; tests check them against brute force.
 ORACLE_SQL = None
