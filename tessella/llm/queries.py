@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, simhash, toxicity
+from . import bpe, decontaminate, dsir, html, lm, quality, simhash, toxicity, warc, wavelet
 from .common import table
 
 
@@ -16,17 +16,43 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dsir.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.shard_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op9_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op4_bpe_round_trip, op7_decontamination, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_simhash_near_dedup, op3_lm_scoring, op4_bpe_round_trip, op5_importance_resampling, op6_wavelet_shards,
+        op7_decontamination, op8_html_extraction, op9_warc_normaliser, op10_toxicity,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
