@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import mix64, split_words, text_bytes, text_slices, vocab_hashes
 
 SPAN, DECAY, WINDOW = 6, 0.6, 24
-LANDMARKS, ROUNDS, MAX_TRAIN = 192, 4, 20_000
+LANDMARKS, ROUNDS, MAX_TRAIN = 192, 4, 12_000
 #: Strings below this share of the decision threshold count as no match.
 FLOOR = 0.3
 PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -130,6 +130,15 @@ def features(codes: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, n
     return out
 
 
+def stacked(vectors: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that occur, and one column of values for each vector."""
+    known = np.unique(np.concatenate([k for k, _ in vectors]))
+    out = np.zeros((len(known), len(vectors)), np.float32)
+    for j, (k, v) in enumerate(vectors):
+        out[np.searchsorted(known, k), j] = v
+    return known, out
+
+
 @dataclass
 class Machine:
     """Subsequence weights (None: the constant score), and the logistic curve over margins."""
@@ -255,8 +264,11 @@ def _surprise(t: np.ndarray, c: np.ndarray, rate: float) -> np.ndarray:
 
 def witnesses(codes: np.ndarray, offsets: np.ndarray, t: np.ndarray, c: np.ndarray, strong: np.ndarray, rate: float) -> np.ndarray:
     """Strings that tell toxic documents: they, or a strong piece in them, stand there beyond chance."""
-    owner, code = pieces(codes, offsets)
-    held = np.bincount(owner, np.isin(code, strong), minlength=len(t)) > 0
+    held = np.zeros(len(t), bool)
+    for k in range(0, len(t), 50_000):
+        bounds = offsets[k : k + 50_001]
+        owner, code = pieces(codes[bounds[0] : bounds[-1]], bounds - bounds[0])
+        held[k + owner[np.isin(code, strong)]] = True
     return (t > c) & (held | (_surprise(t, c, rate) > np.log(100.0 * max(len(t), 1)))) & (np.diff(offsets) >= 3)
 
 
@@ -308,10 +320,13 @@ def fit_weights(table: pa.Table, rate: float, landmarks: int = LANDMARKS) -> tup
         return [held[int(r)] for r in rows]
 
     def kernel(rows: np.ndarray, marks: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        dense = np.zeros((1 << 18, len(marks)), np.float32)
-        for j, (k, v) in enumerate(marks):
-            dense[k, j] = v
-        return np.array([v @ dense[k] for k, v in vectors(rows)], np.float32).reshape(len(rows), len(marks))
+        known, dense = stacked(marks)
+        out = np.zeros((len(rows), len(marks)), np.float32)
+        for i, (k, v) in enumerate(vectors(rows)):
+            at = np.minimum(np.searchsorted(known, k), len(known) - 1)
+            hit = known[at] == k
+            out[i] = v[hit] @ dense[at[hit]]
+        return out
 
     # Landmarks: witnesses far from one another, then the negatives that are taken for witnesses.
     near = kernel(positive, vectors(positive[:1]))
@@ -324,11 +339,9 @@ def fit_weights(table: pa.Table, rate: float, landmarks: int = LANDMARKS) -> tup
     kp = np.hstack([kp, kernel(positive, marks[kp.shape[1] :])])
     kn = kernel(negative, marks)
     for round_ in range(ROUNDS):
-        keys, owner = np.concatenate([k for k, _ in marks]), np.repeat(np.arange(len(marks)), [len(k) for k, _ in marks])
-        dense = np.zeros((len(marks), 1 << 18), np.float32)
-        dense[owner, keys] = np.concatenate([v for _, v in marks])
-        kmm = np.array([dense[:, k] @ v for k, v in marks])
-        value, vector = np.linalg.eigh((kmm + kmm.T) / 2)
+        known, dense = stacked(marks)
+        kmm = dense.T @ dense
+        value, vector = np.linalg.eigh(kmm.astype(np.float64))
         keep = value > 1e-4 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])
         k = np.concatenate([kp, kn])
@@ -336,7 +349,8 @@ def fit_weights(table: pa.Table, rate: float, landmarks: int = LANDMARKS) -> tup
         y = np.r_[np.ones(len(kp)), -np.ones(len(kn))]
         cost = np.r_[np.full(len(kp), 1 / len(kp)), np.full(len(kn), 1 / max(1, len(kn)))] * 1000
         w = solve(x, y, cost)
-        weights = ((root @ w[:-1]) @ dense).astype(np.float32)
+        weights = np.zeros(1 << 18, np.float32)
+        weights[known] = dense @ (root @ w[:-1])
         if round_ < ROUNDS - 1 and len(clean):
             hard = clean[np.argsort(-project(*part(clean), weights, FLOOR * abs(w[-1])), kind="stable")[:1000]]
             extra = vectors(hard[: landmarks // 8])
