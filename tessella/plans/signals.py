@@ -55,7 +55,7 @@ def wav_round_trip(spark, sf):
 
 #: A synthetic voice for the kernels: fundamental, rate and length come from the row's key.
 def voices(spark, sf) -> DataFrame:
-    return adapters.table(spark, sf, "customer").select(F.col("c_custkey").alias("recording_id"), (100.0 + F.col("c_custkey") % 150).alias("f0")).repartition("recording_id")
+    return adapters.table(spark, sf, "customer").select(F.col("c_custkey").alias("recording_id"), (100.0 + F.col("c_custkey") % 150).alias("f0")).repartition(spark.sparkContext.defaultParallelism, "recording_id")
 
 
 FEATURES = "recording_id long, f0 double, pitch double, voiced_fraction double, cpp_db double, formant_1 double, checkerboard double, if_deviation double, if_clustering double, dispersion double, roughness double, syllables int, resampled long"
