@@ -36,9 +36,15 @@ from .common import text_slices
 
 #: The pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 300_000
+#: Unicode white space. A space goes with the run of other characters after it.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Entries of the memos of pre-tokens and of units (runs of them without white space between); a full memo is emptied.
+MEMO, UNIT_MEMO = 600_000, 400_000
 #: A pre-token longer than this is fed to the transducer in parts.
 PART = 4096
+#: Pre-tokens up to SHORT bytes are read in step, TOGETHER at a time; longer ones one by one.
+SHORT, TOGETHER = 48, 20_000
 START = -1
 
 
@@ -49,6 +55,39 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class IntMap:
+    """Numbers from non-negative integer keys to integers, looked up by whole arrays (open addressing)."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.keys = np.full((1 << (64 - int(self.shift))) + 64, -1, np.int64)
+        self.values = np.zeros(len(self.keys), np.int64)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            _, first = np.unique(slot[free], return_index=True)
+            new = np.flatnonzero(free)[first]
+            self.keys[slot[new]], self.values[slot[new]] = keys[left[new]], values[left[new]]
+            rest = np.ones(len(left), bool)
+            rest[new] = False
+            left, slot = left[rest], slot[rest] + 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 for keys that are not there."""
+        slot = self._slot(keys)
+        out, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        while len(left):
+            there = self.keys[slot]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[slot[hit]]
+            on = ~hit & (there >= 0)
+            left, slot = left[on], slot[on] + 1
+        return out
+
+
 class Tokenizer:
     """A byte-level BPE vocabulary: its merge list as tables, and both transducers."""
 
@@ -85,7 +124,21 @@ class Tokenizer:
                     self.token_at.append(START)
                 node = self.trie[key]
             self.token_at[node] = i
+        arrays = lambda d: (np.array(list(d), np.int64), np.array(list(d.values()), np.int64))
+        self.trie_map = IntMap(*arrays(self.trie))
+        self.token_of = np.array(self.token_at, np.int64)
+        pair, rank = arrays(self.rank)
+        self.rank_map = IntMap(pair[:, 0] << 20 | pair[:, 1], rank)
+        self.born_of, self.left_of, self.right_of = (np.full(max(self.bytes_of) + 1, -1, np.int64) for _ in range(3))
+        for token, (a, b) in self.parts.items():
+            self.born_of[token], self.left_of[token], self.right_of[token] = self.born[token], a, b
         self.memo: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+        size = max(self.bytes_of) + 1
+        flat = [self.bytes_of.get(i, b"") for i in range(size)]
+        self.flat = np.frombuffer(b"".join(flat), np.uint8)
+        self.size = np.array([len(b) for b in flat], np.int64)
+        self.first = np.cumsum(self.size) - self.size
 
     @property
     def sufficient_lookahead(self) -> int:
@@ -159,23 +212,97 @@ class Tokenizer:
             return list(self.stream(data[k : k + PART] for k in range(0, len(data), PART)))
         return self._back(self.last_tokens(data, START), len(data))
 
+    def compatible_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """`compatible` of many pairs."""
+        out = np.zeros(len(a), bool)
+        at = np.arange(len(a))
+        left = right = np.full(len(a), 1 << 60)
+        while len(at):
+            across = self.rank_map.get(a << 20 | b)
+            x, y = self.born_of[a], self.born_of[b]
+            on = ~((across >= 0) & (across < left) & (across <= right))
+            done = on & (x < 0) & (y < 0)
+            out[at[done]] = True
+            on &= ~done
+            at, a, b, x, y, left, right = (v[on] for v in (at, a, b, x, y, left, right))
+            undo = x > y
+            left, a = np.where(undo, x, left), np.where(undo, self.right_of[a], a)
+            right, b = np.where(undo, right, y), np.where(undo, b, self.left_of[b])
+        return out
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of many short pre-tokens, read in step: the same pass as `last_tokens`, a position of all at a time."""
+        size = np.array([len(p) for p in pieces], np.int64)
+        width = int(size.max())
+        data = np.zeros((len(pieces), width), np.int64)
+        inside = np.arange(width) < size[:, None]
+        data[inside] = np.frombuffer(b"".join(pieces), np.uint8)
+        last = np.full((len(pieces), width + 1), START, np.int64)
+        for j in range(width):
+            row = np.flatnonzero(size > j)
+            node = np.zeros(len(row), np.int64)
+            found = []
+            for k in range(j, min(width, j + self.longest)):
+                node = self.trie_map.get(node << 8 | data[row, k])
+                on = node >= 0
+                row, node = row[on], node[on]
+                token = self.token_of[node]
+                new = (token >= 0) & (last[row, k + 1] < 0)
+                found.append((row[new], np.full(new.sum(), k + 1), token[new]))
+                on = size[row] > k + 1
+                row, node = row[on], node[on]
+                if not len(row):
+                    break
+            rows, end, token = (np.concatenate(v) for v in zip(*found, strict=True))
+            if j:
+                good = self.compatible_all(last[rows, j], token)
+                rows, end, token = rows[good], end[good], token[good]
+            last[rows, end] = token
+        steps, row, end = [], np.arange(len(pieces)), size.copy()
+        count = np.zeros(len(pieces), np.int64)
+        while len(row):
+            token = last[row, end]
+            steps.append((row, token))
+            count[row] += 1
+            end = end - self.size[token]
+            row, end = row[end > 0], end[end > 0]
+        flat, bounds = np.zeros(count.sum(), "<u4"), np.cumsum(count)
+        for k, (row, token) in enumerate(steps):
+            flat[bounds[row] - 1 - k] = token
+        packed, edge = flat.tobytes(), (4 * np.concatenate([[0], bounds])).tolist()
+        return [packed[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if self.splitter and (parts := self.splitter.split(text))[1:]:
-            return b"".join(self.special[p].to_bytes(4, "little") if k % 2 else self._plain(p) for k, p in enumerate(parts))
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        pieces, memo = self.pattern.findall(text), self.memo
-        try:
-            return b"".join([memo[p] for p in pieces])
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            for p in pieces:
-                if p not in memo:
-                    memo[p] = np.array(self.encode_piece(p.encode()), "<u4").tobytes()
-            return b"".join([memo[p] for p in pieces])
+        return self.encode_texts([text])[0]
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text. A pre-token never spans two units, so each distinct unit is encoded once."""
+        split = [self.splitter.split(t) if self.splitter else [t] for t in texts]
+        found = [[UNIT.findall(p) if not k % 2 else p for k, p in enumerate(parts)] for parts in split]
+        if len(self.units) > UNIT_MEMO:
+            self.units.clear()
+        units = self.units
+        self._learn({u for parts in found for p in parts[::2] for u in p if u not in units})
+        pack = lambda k, p: b"".join([units[u] for u in p]) if not k % 2 else self.special[p].to_bytes(4, "little")
+        return [b"".join([pack(k, p) for k, p in enumerate(parts)]) for parts in found]
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode units that are not known yet."""
+        memo = self.memo
+        if len(memo) > MEMO:
+            memo.clear()
+        pieces = {u: self.pattern.findall(u) for u in new}
+        fresh = [(p, p.encode()) for p in {p for ps in pieces.values() for p in ps if p not in memo}]
+        fresh.sort(key=lambda x: len(x[1]))
+        short = [x for x in fresh if len(x[1]) <= SHORT]
+        for k in range(0, len(short), TOGETHER):
+            part = short[k : k + TOGETHER]
+            memo.update(zip((p for p, _ in part), self.encode_pieces([b for _, b in part]), strict=True))
+        for piece, data in fresh[len(short) :]:
+            memo[piece] = np.array(self.encode_piece(data), "<u4").tobytes()
+        for u, ps in pieces.items():
+            self.units[u] = memo[ps[0]] if len(ps) == 1 else b"".join([memo[p] for p in ps])
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text parts, each as soon as its bytes are complete."""
@@ -188,8 +315,13 @@ class Tokenizer:
 
     def decode_all(self, ids: bytes, block: int = 1 << 16) -> str:
         """Text of packed ids, a block of ids at a time through the same state machine."""
-        machine, numbers, table = codecs.getincrementaldecoder("utf-8")("replace"), np.frombuffer(ids, "<u4"), self.bytes_of
-        parts = [machine.decode(b"".join([table[i] for i in numbers[k : k + block].tolist()])) for k in range(0, len(numbers), block)]
+        machine, numbers = codecs.getincrementaldecoder("utf-8")("replace"), np.frombuffer(ids, "<u4")
+        parts = []
+        for k in range(0, len(numbers), block):
+            part = numbers[k : k + block]
+            n = self.size[part]
+            at = np.repeat(self.first[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            parts.append(machine.decode(self.flat[at].tobytes()))
         return "".join([*parts, machine.decode(b"", True)])
 
 
@@ -214,14 +346,11 @@ def round_trip(docs: DataFrame, name: str = "byte_bpe_50k.json", with_ids: bool
         bpe = tokenizer(resolve(name))
         for batch in batches:
             for start, texts in text_slices(batch.column("text")):
-                n, digest, back, kept = [], [], [], []
-                for text in texts.to_pylist():
-                    ids = bpe.encode(text)
-                    n.append(len(ids) // 4)
-                    digest.append(hashlib.sha256(ids).hexdigest())
-                    back.append(hashlib.sha256(bpe.decode_all(ids).encode()).hexdigest())
-                    if with_ids:
-                        kept.append(np.frombuffer(ids, "<u4").astype(np.int32))
+                packed = bpe.encode_texts(texts.to_pylist())
+                n = [len(ids) // 4 for ids in packed]
+                digest = [hashlib.sha256(ids).hexdigest() for ids in packed]
+                back = [hashlib.sha256(bpe.decode_all(ids).encode()).hexdigest() for ids in packed]
+                kept = [np.frombuffer(ids, "<u4").astype(np.int32) for ids in packed] if with_ids else []
                 doc_id = batch.column("doc_id").slice(start, len(texts))
                 arrays = [doc_id, pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays + ([pa.array(kept, pa.list_(pa.int32()))] if with_ids else []), names)
