@@ -6,10 +6,10 @@ PIVOTS reference fingerprints are precomputed; a pair whose distances to any piv
 than `radius` cannot link and is discarded, and the pairs that are left are verified bit by bit.
 
 Which pairs meet at all: 64 bits are dealt into blocks so that a linking pair agrees in some set of
-whole blocks (pigeonhole), and only fingerprints that agree there meet. A group that is still
-large is dealt again over its remaining bits, in another round, until every group is small, so no
-task holds an unbounded group and no link is lost. A group sends a star for each of its linked
-sets, not its pairs. Equal fingerprints are one node throughout.
+whole blocks (pigeonhole), and only fingerprints that agree there meet. A larger group is cut into
+blocks by hash, and every two of its blocks meet in a group of their own, so no task holds an unbounded
+group and no link is lost. A group that would need more than BLOCKS blocks is first dealt again over its remaining bits.
+A group sends a star for each of its linked sets, not its pairs. Equal fingerprints are one node throughout.
 
 Components come from alternating large-star and small-star rounds over those stars.
 
@@ -28,14 +28,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_slices
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: Groups up to this size are compared in a task; larger ones are dealt again.
-GROUP = 1024
+#: Groups up to this size are compared at once; larger ones in blocks of half of it, up to so many blocks.
+GROUP, BLOCKS = 1024, 128
+#: Parts into which rows of one key are dealt where a large group's size is joined to them.
+SALTS = 64
 #: Mean group size up to which fewer, shorter blocks do.
 MEAN_GROUP = 64
 
@@ -120,7 +122,7 @@ def linked(fp: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np
     """Linking pairs (positions) among rows of equal key; rows are sorted by key."""
     table = np.stack([np.bitwise_count(fp ^ p) for p in PIVOTS]).astype(np.int8)
     left, right, at = [], [], np.arange(len(fp) - 1)
-    for step in range(1, GROUP):
+    for step in range(1, len(fp)):
         at = at[at < len(fp) - step]
         at = at[key[at] == key[at + step]]  # groups are runs: a row without a partner at this step has none further on
         if not len(at):
@@ -149,49 +151,83 @@ def stars(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         label = new
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, group: int = GROUP, blocks: int = BLOCKS) -> DataFrame:
     """(a, b), a > b: stars that connect exactly the nodes (fp, rep) that links connect."""
     masks = first_masks(nodes.count(), radius)
     rows = nodes.select(F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"), "fp", "rep")
     found = None
     while True:
-        out = materialize(_compare(rows, radius, group), "simhash-links")
+        out = materialize(_compare(rows.withColumn("pair", F.lit(0).cast("long")), radius, group), "simhash-links")
         edges = out.where("kind = 0").select("a", "b")
         found = edges if found is None else found.unionByName(edges)
-        rows = out.where("kind = 1").select(F.col("a").alias("mask"), F.col("b").alias("fp"), "rep")
+        large = out.where("kind = 1").select(F.col("a").alias("mask"), F.col("b").alias("fp"), "rep")
+        if large.isEmpty():
+            return found.distinct()
+        sized = materialize(_sized(large, group), "simhash-sized")
+        met = materialize(_compare(_block_pairs(sized.where(F.col("n_blocks") <= blocks)), radius, None), "simhash-links")
+        found = found.unionByName(met.select("a", "b"))
+        rows = sized.where(F.col("n_blocks") > blocks).select("mask", "fp", "rep")
         if rows.isEmpty():
             return found.distinct()
+        rows = _finer(rows, radius)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _compare(rows: DataFrame, radius: int, group: int) -> DataFrame:
-    """Compare groups of up to `group` rows (kind 0: an edge); send larger ones on under finer masks (kind 1)."""
+def _own() -> Column:
+    return F.col("fp").bitwiseAND(F.col("mask")).alias("own")
+
+
+def _sized(large: DataFrame, group: int) -> DataFrame:
+    """The rows of large groups with the number of blocks that their group takes; a group's rows are salted for the join."""
+    keyed = large.withColumn("own", _own()).withColumn("salt", F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(SALTS)))
+    sizes = keyed.groupBy("mask", "own").agg(F.ceil(2 * F.count("*") / group).alias("n_blocks"))
+    salted = sizes.select("mask", "own", "n_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return keyed.join(salted, ["mask", "own", "salt"]).select("mask", "fp", "rep", "n_blocks")
+
+
+def _block_pairs(sized: DataFrame) -> DataFrame:
+    """Every row once for each other block of its group; two rows of a group meet in some pair of blocks."""
+    block = F.pmod(F.xxhash64("fp"), F.col("n_blocks"))
+    rows = sized.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).where("other != block OR n_blocks = 1")
+    return rows.select("mask", "fp", "rep", (F.least("block", "other") * (1 << 20) + F.greatest("block", "other")).alias("pair"))
+
+
+def _finer(rows: DataFrame, radius: int) -> DataFrame:
+    """The rows under each finer mask of theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask, fp, rep = (batch.column(c).to_numpy() for c in ("mask", "fp", "rep"))
+            for m in np.unique(mask):
+                own = mask == m
+                for new in finer_masks(int(m) & ((1 << 64) - 1), radius):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(own.sum(), _signed(new))), pa.array(fp[own]), pa.array(rep[own])], ["mask", "fp", "rep"])
+
+    return rows.mapInArrow(run, "mask long, fp long, rep long")
+
+
+def _compare(rows: DataFrame, radius: int, group: int | None) -> DataFrame:
+    """Compare the rows of each (mask, masked fingerprint, pair) (kind 0: an edge); send on groups of over `group` rows (kind 1)."""
     schema = "kind int, a long, b long, rep long"
 
     def emit(kind: int, a: np.ndarray, b: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(rep)], ["kind", "a", "b", "rep"])
 
-    def finer(mask: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for m in np.unique(mask):
-            own = mask == m
-            for new in finer_masks(int(m) & ((1 << 64) - 1), radius):
-                yield emit(1, np.full(own.sum(), _signed(new)), fp[own], rep[own])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3  # the last group, which the next batch may continue
+        held = [np.zeros(0, np.int64)] * 4  # the last group, which the next batch may continue
         passing = None  # key of a group that has been found too large and is being sent on
         for batch in batches:
-            mask, fp, rep = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("mask", "fp", "rep"), strict=True))
+            mask, fp, rep, pair = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("mask", "fp", "rep", "pair"), strict=True))
             if not len(fp):
                 continue
-            key = np.stack([mask, fp & mask])
+            key = np.stack([mask, fp & mask, pair])
             new = np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0)) + 1
             first = np.concatenate([[0], new])
             size = np.diff(np.append(first, len(fp)))
-            large = size > group
+            large = size > (group or len(fp))
             if passing is not None and tuple(key[:, 0]) == passing:
                 large[0] = True
             last = first[-1]
@@ -201,11 +237,12 @@ def _compare(rows: DataFrame, radius: int, group: int) -> DataFrame:
                 passing = None
             run_of = np.repeat(np.arange(len(first)), size)
             send = large[run_of]
-            yield from finer(mask[send], fp[send], rep[send])
+            if send.any():
+                yield emit(1, mask[send], fp[send], rep[send])
             own = ~send
             own[last:] = False
             yield from settle(fp[own], rep[own], run_of[own])
-            held = [mask[last:], fp[last:], rep[last:]]
+            held = [mask[last:], fp[last:], rep[last:], pair[last:]]
         yield from settle(held[1], held[2], np.zeros(len(held[1]), np.int64))
 
     def settle(fp: np.ndarray, rep: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -218,8 +255,8 @@ def _compare(rows: DataFrame, radius: int, group: int) -> DataFrame:
         if len(leaf):
             yield emit(0, rep[leaf], rep[label[leaf]], rep[leaf])
 
-    keyed = rows.withColumn("own", F.col("fp").bitwiseAND(F.col("mask")))
-    dealt = keyed.repartition("mask", "own").sortWithinPartitions("mask", "own").select("mask", "fp", "rep")
+    keyed = rows.withColumn("own", _own())
+    dealt = keyed.repartition("mask", "own", "pair").sortWithinPartitions("mask", "own", "pair").select("mask", "fp", "rep", "pair")
     return dealt.mapInArrow(run, schema)
 
 

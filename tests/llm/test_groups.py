@@ -60,8 +60,8 @@ def test_simhash_links_in_dense_groups(spark):
     fps = sorted(fps)
     nodes = spark.createDataFrame([(simhash._signed(f), k) for k, f in enumerate(fps)], "fp long, rep long")
     expected = {i: j for (i, _, j) in components(list(enumerate(fps)))}
-    for group in (1024, 8):
-        got = {r.node: r.component for r in simhash.connected(simhash.links(nodes, group=group)).collect()}
+    for group, blocks in ((1024, 128), (8, 128), (32, 8)):
+        got = {r.node: r.component for r in simhash.connected(simhash.links(nodes, group=group, blocks=blocks)).collect()}
         assert {k: got.get(k, k) for k in expected} == expected
 
 
