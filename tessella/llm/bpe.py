@@ -40,7 +40,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Entries of the memos of pre-tokens and of units (runs of them without white space between); a full memo is emptied.
-MEMO, UNIT_MEMO = 600_000, 400_000
+MEMO, UNIT_MEMO = 200_000, 150_000
 #: A pre-token longer than this is fed to the transducer in parts.
 PART = 4096
 #: Pre-tokens up to SHORT bytes are read in step, TOGETHER at a time; longer ones one by one.
