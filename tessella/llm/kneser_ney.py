@@ -40,7 +40,8 @@ class KneserNey:
             if not len(open_):
                 break
             part = low(codes[open_], order, self.order, self.bits)
-            value, hit = self._find(self.hashes, self.logp, self.key(order, part), 0.0)
+            unseen = 0.0 if order else -self.bits * np.log10(2.0)  # a group without counts: all classes alike
+            value, hit = self._find(self.hashes, self.logp, self.key(order, part), unseen)
             total[open_] += value
             open_, part = open_[~hit], part[~hit]
             if order and len(open_):  # not seen: the weight of its context, 1 where that is unseen too
