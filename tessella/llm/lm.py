@@ -2,15 +2,17 @@
 
 The events of the model are the words of the training documents, one event for all other words, and the end of
 the text. Smoothed n-grams are states and arcs: the root has an arc for each event (discounted counts of all training
-tokens; what the discount takes is the unknown word's), each common word is a state with arcs for the common events that follow it,
-and so are pairs of very common words. Where a state has no arc for an event, its failure arc leads to the state that
+tokens; what the discount takes is the unknown word's), each word is a state with arcs for the events that follow it,
+and so is each pair of words. Where a state has no arc for an event, its failure arc leads to the state that
 forgets the oldest word, at the weight that makes all probabilities sum to one. A text is read once from left to right,
 carrying the state and adding log-probabilities.
 
-Scale. Vocabulary grows with the corpus, so it is never broadcast. Texts are cut into chunks whose words are
-dictionary-coded once; (chunk, word, count) rows are summed by word, and the sums go back to
-the chunks that use them. A common word makes up at least 1 / HEADS of the training tokens, so there are at most HEADS of
-them, and at most HEADS ** 2 + PAIRS ** 3 n-grams, whatever the corpus; these are sent to the executors.
+Scale. Words, pairs and triples of all training documents are counted, rare ones too; they grow with the corpus, so they are never
+broadcast. Texts are cut into chunks whose words are dictionary-coded once. A chunk sends each of its distinct n-grams once, as a
+sorted block of 64-bit keys (hashes) and counts for each range of keys; the task of a range sums its blocks and answers
+each block in its order, so a chunk receives the counts of the n-grams it uses. One chunk of those that hold an n-gram is told to count it among the
+successors of its context, and these numbers are summed in the same way. Each chunk is then read by the part of the automaton that its texts use.
+There are as many ranges as keep each near RANGE keys; n-grams whose 62-bit hashes clash share a count.
 
 Defined results: null and empty texts are one end token. A null doc_id is not held out. With nothing to learn from, the base score
 is 0 a token and the end and the unknown word have half of all probability each. Rows are handled one by one, repeats alike.
@@ -20,23 +22,24 @@ Extra columns are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, split_words, sums_by_row, text_slices
+from .common import materialize, mix64, split_words, sums_by_row, text_slices, vocab_hashes
 from .kneser_ney import discounts
 
-#: A common word makes up 1 / HEADS of the training tokens; triples are counted among the PAIRS commonest.
-HEADS, PAIRS = 1000, 100
+#: Keys (of words, pairs and triples, once for each chunk) that one task sums at a time.
+RANGE = 2_000_000
 CHUNK_BYTES = 6 << 20
-CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, words array<string>, n_train array<long>"
+CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, hashes binary, tokens long"
+BLOCK = "chunk long, part long, size long, keys binary, sums array<binary>"
+ANSWER = "chunk long, part long, size long, sums array<binary>"
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
@@ -48,12 +51,12 @@ def chunk_table(docs: DataFrame) -> DataFrame:
             for start, texts in text_slices(batch.column("text"), CHUNK_BYTES):
                 doc_ids, held = (batch.column(c).slice(start, len(texts)) for c in ("doc_id", "held"))
                 words = split_words(texts, lower=True)
-                train = ~np.repeat(held.to_numpy(zero_copy_only=False).astype(bool), np.diff(words.offsets))
                 used = np.bincount(words.ids, minlength=len(words.vocab)) > 0
-                n = np.bincount(words.ids[train], minlength=len(words.vocab))
                 new = np.cumsum(used) - 1
-                row = [number, doc_ids.to_pylist(), held.to_pylist(), np.diff(words.offsets).astype(np.int32), zlib.compress(new[words.ids].astype("<i4").tobytes(), 1), words.vocab.filter(pa.array(used)).to_pylist(), n[used]]
-                types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
+                lengths = np.diff(words.offsets).astype(np.int32)
+                hashes = vocab_hashes(words.vocab.filter(pa.array(used)))
+                row = [number, doc_ids.to_pylist(), held.to_pylist(), lengths, zlib.compress(new[words.ids].astype("<i4").tobytes(), 1), hashes.tobytes(), len(words.ids) + len(texts)]
+                types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], [c.split()[0] for c in CHUNK.split(", ")])
                 number += 1
 
@@ -64,13 +67,13 @@ def chunk_table(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Automaton:
-    """States are contexts of common words; arcs: sorted state * symbols + symbol, with log10 probability and next state.
+    """States are contexts; arcs: sorted state * symbols + symbol, with log10 probability and next state.
 
-    Symbols: common words 0 to `heads` - 1 by falling count, then other words, the start and the end. State 0 is the root, whose
+    Symbols: the words 0 to len(`heads`) - 1, then other words, the start and the end. State 0 is the root, whose
     arcs carry the events' own probabilities.
     """
 
-    heads: list[str]
+    heads: Sequence
     arcs: np.ndarray
     logp: np.ndarray
     target: np.ndarray
@@ -115,9 +118,9 @@ class Automaton:
 
 
 def build_automaton(heads: list[str], own: np.ndarray, pairs: dict[tuple[int, int], int], triples: dict[tuple[int, int, int], int]) -> Automaton:
-    """From the events' own probabilities (by symbol) and the counts of all symbol pairs and triples.
+    """The whole automaton, from the events' own probabilities (by symbol) and the counts of all symbol pairs and triples.
 
-    Pairs count every symbol after a common word or the start; triples every symbol after two very common ones.
+    The plain definition of the model, for small corpora; `chunk_automaton` builds the part of it that a chunk uses.
     """
     other, symbols = len(heads), len(heads) + 3
     state_of: dict[tuple[int, ...], int] = {(): 0}
@@ -163,99 +166,251 @@ def unpack_ids(row: dict) -> np.ndarray:
     return np.frombuffer(zlib.decompress(row["ids"].as_py()), "<i4")
 
 
-def symbols_of(ids: np.ndarray, table: np.ndarray, lengths: np.ndarray, heads: int) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of each text and its end laid end to end, and offsets; `table` has the symbol of each id."""
+@dataclass
+class Grams:
+    """A chunk's symbols laid end to end (each text's words and its end), and its distinct pairs and triples."""
+
+    hashes: np.ndarray
+    symbol: np.ndarray
+    offsets: np.ndarray
+    train: np.ndarray  # of each symbol
+    n_train: int  # texts
+    pairs: np.ndarray  # symbol before * symbols + symbol, sorted
+    pair_at: np.ndarray  # of each symbol
+    triples: np.ndarray  # pair before * symbols + symbol, sorted
+    triple_at: np.ndarray  # of each symbol but the first ones of texts
+    later: np.ndarray  # places of those symbols
+
+    @property
+    def symbols(self) -> int:
+        return len(self.hashes) + 3
+
+
+def grams_of(row: dict) -> Grams:
+    hashes, ids = np.frombuffer(row["hashes"].as_py(), np.uint64), unpack_ids(row)
+    lengths = row["lengths"].values.to_numpy().astype(np.int64)
+    learn = ~row["held"].values.to_numpy(zero_copy_only=False).astype(bool)
+    s = len(hashes) + 3
     offsets = np.concatenate([[0], np.cumsum(lengths + 1)])
-    out = np.full(offsets[-1], heads + 2, np.int64)
-    out[np.arange(len(ids)) + np.repeat(np.arange(len(lengths)), lengths)] = table[ids]
-    return out, offsets
+    symbol = np.full(offsets[-1], s - 1, np.int64)
+    symbol[np.arange(len(ids)) + np.repeat(np.arange(len(lengths)), lengths)] = ids
+    before = np.concatenate([[0], symbol[:-1]])
+    before[offsets[:-1]] = s - 2
+    pairs, pair_at = np.unique(before * s + symbol, return_inverse=True)
+    later = np.flatnonzero(before != s - 2)
+    triples, triple_at = np.unique(pair_at[later - 1] * s + symbol[later], return_inverse=True)
+    return Grams(hashes, symbol, offsets, np.repeat(learn, lengths + 1), int(learn.sum()), pairs, pair_at, triples, triple_at, later)
+
+
+def keys_of(g: Grams) -> list[np.ndarray]:
+    """Keys of all symbols, pairs and triples; the lowest two bits are the order, 0 for symbols that are no words."""
+    step = np.uint64(0x9E3779B97F4A7C15)
+    one = np.concatenate([g.hashes, np.array([1, 2, 3], np.uint64)])
+    two = mix64(mix64(one[g.pairs // g.symbols] + step) + one[g.pairs % g.symbols])
+    three = mix64(mix64(two[g.triples // g.symbols] + step) + one[g.triples % g.symbols])
+    order = np.array([1] * len(g.hashes) + [0] * 3, np.uint64)
+    return [(k >> np.uint64(2) << np.uint64(2)) | o for k, o in ((mix64(one + step), order), (two, np.uint64(2)), (three, np.uint64(3)))]
+
+
+def counts_of(g: Grams) -> list[np.ndarray]:
+    """Times in the chunk's training texts of all symbols, pairs and triples."""
+    one = np.bincount(g.symbol[g.train], minlength=g.symbols)
+    one[g.symbols - 2] = g.n_train
+    return [one, np.bincount(g.pair_at[g.train], minlength=len(g.pairs)), np.bincount(g.triple_at[g.train[g.later]], minlength=len(g.triples))]
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, lowest first, without the planes that are zero throughout."""
+    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T
+    return planes[: max(1, (int(values.max()).bit_length() + 7) // 8)].tobytes()
+
+
+def unpack(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(-1, size)
+    out = np.zeros((size, 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()
+
+
+def deal(number: int, keys: np.ndarray, values: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """A chunk's keys and the values to sum, in one block for each range of keys."""
+    order = np.argsort(keys)
+    keys, values = keys[order], [v[order] for v in values]
+    edges = np.arange(1, parts, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // parts)
+    bounds = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+    rows = [(p, a, b) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([number] * len(rows), pa.int64()), pa.array([p for p, _, _ in rows], pa.int64()), pa.array([b - a for _, a, b in rows], pa.int64()),
+            pa.array([pack(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in rows], pa.binary()),
+            pa.array([[pack(v[a:b]) for v in values] for _, a, b in rows], pa.list_(pa.binary())),
+        ],
+        ["chunk", "part", "size", "keys", "sums"],
+    )
+
+
+def answers(cell: pa.Scalar, keys: np.ndarray, columns: int) -> list[np.ndarray]:
+    """The sums that came back for a chunk's keys, as `deal` sent them."""
+    order = np.argsort(keys)
+    blocks = sorted(cell.as_py() or [], key=lambda b: b["part"])
+    out = []
+    for j in range(columns):
+        found = np.zeros(len(keys), np.int64)
+        found[order] = np.concatenate([np.zeros(0, np.int64), *(unpack(b["sums"][j], b["size"]).astype(np.int64) for b in blocks)])
+        out.append(found)
+    return out
+
+
+def sum_blocks(blocks: DataFrame, first_pass: bool) -> DataFrame:
+    """Each block's values summed over all chunks, by key.
+
+    The first pass doubles the sums and adds one where the block is its key's first; a row of chunk -1 has, for each order,
+    how many sums are 1, 2, 3 and 4, how many are not 0, and their total.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        chunk, part, size = (table.column(c).to_pylist() for c in ("chunk", "part", "size"))
+        keys = np.concatenate([np.cumsum(unpack(k.as_py(), n), dtype=np.uint64) for k, n in zip(table.column("keys"), size, strict=True)])
+        sent = table.column("sums").to_pylist()
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        back: list[list[bytes]] = [[] for _ in size]
+        extra = []
+        for j in range(len(sent[0])):
+            value = np.concatenate([unpack(s[j], n) for s, n in zip(sent, size, strict=True)])
+            total = np.add.reduceat(value[order], first)
+            value[order] = total[group]
+            if first_pass:
+                value *= np.uint64(2)
+                value[order[first]] += np.uint64(1)
+                kind = keys[first] & np.uint64(3)
+                extra = [[np.array([*(np.sum(n == k) for k in (1, 2, 3, 4)), np.sum(n > 0), n.sum()], "<i8").tobytes() for n in (total[kind == o] for o in (1, 2, 3))]]
+            for b, (lo, hi) in zip(back, zip(bounds, bounds[1:], strict=False), strict=True):
+                b.append(pack(value[lo:hi]))
+        more = len(extra)
+        return pa.table(
+            [pa.array(chunk + [-1] * more, pa.int64()), pa.array(part + part[:1] * more, pa.int64()), pa.array(size + [0] * more, pa.int64()), pa.array(back + extra, pa.list_(pa.binary()))],
+            names=["chunk", "part", "size", "sums"],
+        )
+
+    return blocks.groupBy("part").applyInArrow(run, ANSWER)
+
+
+def successors(g: Grams, counted: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which contexts (symbols, then pairs) need their successors counted, and how many once, twice and more often seen ones this chunk counts.
+
+    A pair seen once has one successor, seen once, so only the others are asked for. A pair that ends a text has none.
+    """
+    one, two, three = (c >> 1 for c in counted)
+    ask = np.concatenate([one > 0, (two > 1) & (g.pairs % g.symbols != g.symbols - 1)])
+    out = []
+    for k in (1, 2, 3):
+        a, b = (np.flatnonzero((c & 1 == 1) & (np.minimum(c >> 1, 3) == k)) for c in counted[1:])
+        out.append(np.concatenate([np.bincount(g.pairs[a] // g.symbols, minlength=len(one)), np.bincount(g.triples[b] // g.symbols, minlength=len(two))])[ask])
+    return ask, out
 
 
-def count_ngrams(chunks: DataFrame, heads: list[str]) -> tuple[dict, dict]:
-    """Pairs and triples of symbols in the training texts; each task sums its own, Spark sums them all."""
-    s, few = len(heads) + 3, min(PAIRS, len(heads))
+def chunk_automaton(g: Grams, counts: list[np.ndarray], kinds: np.ndarray, own: np.ndarray, d2: np.ndarray, d3: np.ndarray) -> Automaton:
+    """The states and arcs that a chunk's texts use; `kinds` has the numbers of successors of all its symbols and pairs.
 
+    The state of symbol x is 1 + x, that of pair p is 1 + symbols + p.
+    """
+    s, (one, two, three) = g.symbols, counts
+    a, b = g.pairs // s, g.pairs % s
+    left_one = kinds[:, :s].T @ d2[1:] / np.maximum(one, 1)
+    left_two = kinds[:, s:].T @ d3[1:] / np.maximum(two, 1)
+    with np.errstate(divide="ignore"):
+        prob = (two - d2[np.minimum(two, 3)]) / np.maximum(one[a], 1) + left_one[a] * own[b]
+        near = np.where(two > 0, prob, 0.0)
+        ctx, c = g.triples // s, g.triples % s
+        inner = b[ctx] * s + c
+        shorter = np.minimum(np.searchsorted(g.pairs, inner), len(g.pairs) - 1)  # always there: it stands in the same text
+        deep = (three - d3[np.minimum(three, 3)]) / np.maximum(two[ctx], 1) + left_two[ctx] * near[shorter]
+        state = np.where((two > 0) & (b != s - 1), 1 + s + np.arange(len(two)), 0)
+        word = np.where((one > 0) & (np.arange(s) < s - 3), 1 + np.arange(s), 0)
+        p, t = two > 0, three > 0
+        arcs = np.concatenate([(1 + a[p]) * s + b[p], (1 + s + ctx[t]) * s + c[t], [-1] * (not p.any())]).astype(np.int64)
+        logp = np.log10(np.concatenate([prob[p], deep[t], [1.0] * (not p.any())]))
+    target = np.concatenate([state[p], state[shorter[t]], [0] * (not p.any())]).astype(np.int64)
+    fail = np.concatenate([np.zeros(1 + s, np.int64), word[b]])
+    weight = np.log10(np.maximum(np.concatenate([[1.0], left_one, left_two]), 1e-12))
+    return Automaton(range(s - 3), arcs, logp, target, fail, weight, word, s - 1 if one[s - 2] else 0)
+
+
+def per_row(work: Callable[[dict], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two, three = np.zeros(s * s, np.int64), np.zeros((few + 2) ** 3, np.int64)
-        small = np.full(s, few, np.int64)  # symbols of triples: very common words, others, the end
-        small[:few], small[s - 1] = np.arange(few), few + 1
         for batch in batches:
             for k in range(len(batch)):
-                row = {c: batch.column(c)[k] for c in batch.schema.names}
-                length = row["lengths"].values.to_numpy().astype(np.int64)
-                found = pc.index_in(row["words"].values, value_set=pa.array(heads, pa.string()))
-                symbol, offsets = symbols_of(unpack_ids(row), pc.fill_null(found, len(heads)).to_numpy().astype(np.int64), length, len(heads))
-                train = np.repeat(~row["held"].values.to_numpy(zero_copy_only=False).astype(bool), length + 1)
-                before = np.concatenate([[0], symbol[:-1]])
-                before[offsets[:-1]] = s - 2
-                use = train & (before != s - 3)
-                two += np.bincount(before[use] * s + symbol[use], minlength=s * s)
-                first = np.concatenate([[0, 0], symbol[:-2]])[: len(symbol)]
-                first[offsets[:-1]] = s - 2
-                second = offsets[:-1] + 1
-                first[second[second < offsets[1:]]] = s - 2
-                use = train & (first < few) & (before < few)
-                three += np.bincount((first[use] * (few + 2) + before[use]) * (few + 2) + small[symbol[use]], minlength=len(three))
-        a, b = np.flatnonzero(two), np.flatnonzero(three)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, -1 - b])), pa.array(np.concatenate([two[a], three[b]]))], ["code", "n"])
-
-    got = chunks.select("lengths", "held", "ids", "words").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    pairs, triples, t = {}, {}, few + 2
-    big = lambda x: x if x < few else (s - 1 if x == few + 1 else s - 3)
-    for code, n in zip(got.column("code").to_pylist(), got.column("n").to_pylist(), strict=True):
-        if code >= 0:
-            pairs[code // s, code % s] = n
-        else:
-            code = -1 - code
-            triples[code // t // t, code // t % t, big(code % t)] = n
-    return pairs, triples
-
-
-def score_documents(docs: DataFrame, heads: int = HEADS) -> DataFrame:
+                yield work({c: batch.column(c)[k] for c in batch.schema.names})
+
+    return run
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """`materialize`, after which Spark deletes the shuffle files of the write, which nothing reads again."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return materialize(df, label)
+    finally:
+        conf.set(name, before)
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    spark = docs.sparkSession
     chunks = materialize(chunk_table(docs), "lm-chunks")
-    uses = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "n_train")).alias("place", "w")).select("chunk", "place", F.col("w.words").alias("word"), F.col("w.n_train").alias("n"))
-    counts = materialize(uses.groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
-    ends = chunks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
-    known = counts.where("c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), *[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first()
-    n, v = known[1] + ends, known[0] + (ends > 0)
-    d = np.array(discounts(*known[2:]))
-    kinds = [known[2], known[3], known[0] - known[2] - known[3]]
-    spare = sum(k * x for k, x in zip(kinds, d[1:], strict=True)) / n if n else 0.5
+    got = chunks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    ends, parts = got[0], max(1, -(-2 * got[1] // RANGE))
+
+    def send_counts(row: dict) -> pa.RecordBatch:
+        g = grams_of(row)
+        return deal(row["chunk"].as_py(), np.concatenate(keys_of(g)), [np.concatenate(counts_of(g))], parts)
+
+    def counted_of(row: dict, g: Grams, keys: list[np.ndarray]) -> list[np.ndarray]:
+        return np.split(answers(row["counts"], np.concatenate(keys), 1)[0], np.cumsum([len(k) for k in keys])[:2])
+
+    def send_successors(row: dict) -> pa.RecordBatch:
+        g = grams_of(row)
+        keys = keys_of(g)
+        ask, values = successors(g, counted_of(row, g, keys))
+        return deal(row["chunk"].as_py(), np.concatenate(keys[:2])[ask], values, parts)
+
+    by_chunk = lambda rows, name: rows.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "size", "sums")).alias(name))
+    sums = settle(sum_blocks(chunks.mapInArrow(per_row(send_counts), BLOCK), True), "lm-counts")
+    stats = np.zeros((3, 6), np.int64)
+    for r in sums.where("chunk < 0").select("sums").toLocalIterator():
+        stats += np.array([np.frombuffer(b, "<i8") for b in r.sums])
+    known = settle(chunks.join(by_chunk(sums, "counts"), "chunk"), "lm-known")
+    kinds_ = settle(sum_blocks(known.mapInArrow(per_row(send_successors), BLOCK), False), "lm-kinds")
+    n, v = int(stats[0, 5]) + ends, int(stats[0, 4]) + (ends > 0)
+    d, d2, d3 = (np.array(discounts(*map(int, row[:4]))) for row in stats)
+    seen = [stats[0, 0], stats[0, 1], stats[0, 4] - stats[0, 0] - stats[0, 1]]
+    spare = sum(k * x for k, x in zip(seen, d[1:], strict=True)) / n if n else 0.5
     own_of = lambda c: np.where(c > 0, (c - d[np.minimum(c, 3)]) / max(n, 1), max(spare, 1e-9))
-    common = counts.where((F.col("c") > 0) & (F.col("c") >= n / heads)).orderBy(F.desc("c"), "word").collect()  # at most `heads` rows
-    names_ = [r.word for r in common]
     end_own = ends / n if ends else 0.5
-    own = np.concatenate([own_of(np.array([r.c for r in common], np.int64)), [1.0, 1.0, end_own]])
-    shared = spark.sparkContext.broadcast(build_automaton(names_, own, *count_ngrams(chunks, names_)))
-    numbered = spark.createDataFrame([(w, k) for k, w in enumerate(names_)], "word string, symbol int")
-    known_words = counts.join(F.broadcast(numbered), "word", "left").select("word", "c", F.coalesce("symbol", F.lit(len(names_))).alias("symbol"))
-    back = uses.select("chunk", "place", "word").join(known_words, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", "c", "symbol")).alias("counts"))
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            for k in range(len(batch)):
-                row = {c: batch.column(c)[k] for c in batch.schema.names}
-                c = table = np.zeros(0, np.int64)
-                if row["counts"].is_valid:
-                    place, value, number = (x.to_numpy() for x in row["counts"].values.flatten())
-                    c, table = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-                    c[place], table[place] = value, number
-                ids = unpack_ids(row)
-                length = row["lengths"].values.to_numpy().astype(np.int64)
-                symbol, offsets = symbols_of(ids, table, length, len(model.heads))
-                count = np.full(len(symbol), ends, np.int64)
-                text = symbol != model.symbols - 1
-                count[text] = c[ids]
-                event = np.full(len(symbol), np.log10(end_own))
-                event[text] = np.log10(own_of(c))[ids]
-                base = sums_by_row(np.log10((count + 1) / (n + v + 1)), offsets)
-                values = [row["doc_ids"].values, row["held"].values, length + 1, sums_by_row((count > 0).astype(np.int64), offsets), np.full(len(length), n), base, model.read(symbol, event, offsets)]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(values, types, strict=True)], names)
-
-    out = chunks.select("chunk", "doc_ids", "held", "lengths", "ids").join(back, "chunk", "left")
-    return out.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def finish(row: dict) -> pa.RecordBatch:
+        g = grams_of(row)
+        keys = keys_of(g)
+        counted = counted_of(row, g, keys)
+        ask, _ = successors(g, counted)
+        counts = [c >> 1 for c in counted]
+        kinds = np.zeros((3, len(ask)), np.int64)
+        kinds[0, g.symbols :] = counts[1] == 1  # a pair seen once
+        kinds[:, ask] = answers(row["kinds"], np.concatenate(keys[:2])[ask], 3)
+        count, own = counts[0], own_of(counts[0])
+        count[-1], own[-1] = ends, end_own
+        model = chunk_automaton(g, counts, kinds, own, d2, d3)
+        base = sums_by_row(np.log10((count[g.symbol] + 1) / (n + v + 1)), g.offsets)
+        length = np.diff(g.offsets)
+        values = [row["doc_ids"].values, row["held"].values, length, sums_by_row((count[g.symbol] > 0).astype(np.int64), g.offsets), np.full(len(length), n), base, model.read(g.symbol, np.log10(own)[g.symbol], g.offsets)]
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(values, types, strict=True)], names)
+
+    out = known.join(by_chunk(kinds_, "kinds"), "chunk", "left")
+    return out.mapInArrow(per_row(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -115,6 +115,34 @@ def test_lm_automaton_sums_to_one_in_every_state():
         assert abs(total - 1) < 1e-9
 
 
+def test_lm_learns_pairs_and_triples_of_rare_words(spark, monkeypatch):
+    """All scores are those of the whole automaton, however rare the words and whatever the chunks and ranges."""
+    rng = np.random.default_rng(3)
+    vocab = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(vocab[i] for i in rng.zipf(1.3, 40) % 3000) for _ in range(60)] + ["rare1 rare2 rare3 rare4"] * 3 + ["", "w1", None]
+    ids = list(range(len(texts)))
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in ids]
+    tokens = [(t or "").split() for t in texts]
+    heads = sorted({w for ws, h in zip(tokens, held, strict=True) if not h for w in ws})
+    s, number = len(heads) + 3, {w: k for k, w in enumerate(heads)}
+    coded = [[number.get(w, s - 3) for w in ws] + [s - 1] for ws in tokens]
+    train = [c for c, h in zip(coded, held, strict=True) if not h]
+    ones = Counter(x for c in train for x in c)
+    pairs = Counter(p for c in train for p in zip([s - 2, *c], c, strict=False))
+    triples = Counter(p for c in train for p in zip([s - 2, *c], c, c[1:], strict=False))
+    n, words = sum(ones.values()), [ones[k] for k in range(s - 3)]
+    d = kneser_ney.discounts(*(words.count(k) for k in (1, 2, 3, 4)))
+    own = np.array([(c - d[min(c, 3)]) / n for c in words] + [sum(d[min(c, 3)] for c in words) / n, 1.0, len(train) / n])
+    whole = lm.build_automaton(heads, own, pairs, triples)
+    flat = np.concatenate(coded)
+    expected = whole.read(flat, np.log10(own)[flat], np.concatenate([[0], np.cumsum([len(c) for c in coded])]))
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    for size in (lm.RANGE, 500):
+        monkeypatch.setattr(lm, "RANGE", size)
+        got = {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
+        assert np.allclose([got[i] for i in ids], expected, rtol=1e-9)
+
+
 @pytest.fixture(scope="module")
 def byte_level():
     path = bpe.resolve("byte_bpe_50k.json")
