@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, text_slices
 
@@ -302,3 +303,28 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, grou
     if kept.where("times > 1").isEmpty():
         return out
     return out.dropDuplicates(["doc_id"])
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
+    """The documents with one row for each component, all columns unchanged: of its smallest doc_id, the first such row; nulls come last.
+
+    Rows are told apart by a number written with their fingerprints, and the fingerprints are the nodes, so rows without an id
+    link and stay like any other, and rows that repeat a doc_id with other texts are not one document.
+    """
+    number, mark = "near_dedup_row", "near_dedup_fp"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in text_slices(batch.column("text")):
+                fp = text_fingerprints(texts, shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns, pa.array(fp)], [*batch.schema.names, mark])
+
+    numbered = docs.withColumn(number, F.monotonically_increasing_id())
+    rows = materialize(numbered.mapInArrow(run, T.StructType([*numbered.schema.fields, T.StructField(mark, T.LongType())])), "simhash-texts")
+    doc_id = F.col("doc_id").cast("long")
+    first = F.min(F.struct(doc_id.isNull().alias("last"), doc_id.alias("doc_id"), F.col(number).alias("number"))).alias("first")
+    nodes = materialize(rows.groupBy(F.col(mark).alias("fp")).agg(first), "simhash-nodes")
+    found = connected(links(nodes.select("fp", F.col("fp").alias("rep")), radius, group))
+    named = nodes.join(found, nodes["fp"] == found["node"], "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
+    kept = materialize(named.select(F.col("first.number").alias(number)), "simhash-kept")
+    return rows.join(kept, number, "left_semi").select(*docs.columns)

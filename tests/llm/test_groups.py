@@ -73,6 +73,19 @@ def test_simhash_keeps_one_of_each(docs, raw, empty):
     assert simhash.components(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_near_dedup_keeps_rows_without_ids(spark, docs, raw):
+    """One row of each group of equal texts stays, whatever ids it has; ids that clash hide no text."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, words(1), "a"), (None, words(2), "b"), (None, words(2), "c"), (3, words(3), "d"), (None, words(3), "e"), (4, words(4), "f"), (4, words(5), "g"), (2, words(3), "h"), (6, words(6), "i"), (6, words(6), "j")]
+    some = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    got = corpus_pipeline.near_dedup(spark, some, "")
+    assert got.columns == some.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(None, words(1)), (None, words(2)), (2, words(3)), (4, words(4)), (4, words(5)), (6, words(6))])
+    ids = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").select("doc_id").collect()]
+    assert ids.count(None) == 1
+    assert sorted(i for i in ids if i is not None) == sorted({j for _, _, j in components([(r[0], fingerprint(r[1])) for r in raw]) if j is not None})
+
+
 def test_masks_cover_all_near_pairs():
     rng = np.random.default_rng(4)
     for nodes in (10, 10**6, 10**9, 10**12):
