@@ -8,8 +8,9 @@ The two masks hit every such window, wherever its substitutions stand, so nothin
 An item shorter than the window, but of at least LEAST words, counts where it stands whole and unchanged.
 
 A benchmark of up to `limit` words is sent to the executors as an index. Beyond that both sides' seeds
-are shuffled and joined; each seed row carries the words around it, and a bitmap of fixed size
-keeps document seeds that no item has out of the shuffle.
+are shuffled and joined, with a bitmap of fixed size that keeps document seeds that no item has out of the shuffle. Rows of both sides
+are told apart by a number written with their words; each pair of rows that share a seed is laid side by side once, whole, at all
+their places, so that both ways give the same rows.
 
 Defined results: null and empty texts, and items of fewer than LEAST words, match nothing.
 Repeated documents and repeated items each get their rows. Items with a null item_id are searched under null.
@@ -106,6 +107,21 @@ def best_window(same: np.ndarray) -> tuple[int, int]:
     return k, int(score[k])
 
 
+def overlap(words: np.ndarray, item: np.ndarray, start: int) -> tuple[int, int] | None:
+    """(first matching word, matching words) if the item matches with its first word at `start` of the text."""
+    lo, hi = max(start, 0), min(start + len(item), len(words))
+    same = words[lo:hi] == item[lo - start : hi - start]
+    if len(item) < WINDOW:
+        at, score = 0, int(same.sum()) if len(same) == len(item) else 0
+        good = score == len(item)
+    elif len(same) < WINDOW:
+        return None
+    else:
+        at, score = best_window(same)
+        good = score >= WINDOW - SUBSTITUTIONS
+    return (lo + at, int(same.sum())) if good else None
+
+
 def find(index: Index, hashes: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(row, item, first matching word of the text, matching words): the best place of each pair that matches."""
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -122,19 +138,9 @@ def find(index: Index, hashes: np.ndarray, offsets: np.ndarray) -> list[tuple[in
         pairs.append(np.stack([row[at], item, start], axis=1))
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for r, i, start in np.unique(np.concatenate(pairs), axis=0).tolist():
-        item = index.hashes[index.offsets[i] : index.offsets[i + 1]]
-        lo, hi = max(start, int(offsets[r])), min(start + len(item), int(offsets[r + 1]))
-        same = hashes[lo:hi] == item[lo - start : hi - start]
-        if len(item) < WINDOW:
-            at, score = 0, int(same.sum()) if len(same) == len(item) else 0
-            good = score == len(item)
-        elif len(same) < WINDOW:
-            continue
-        else:
-            at, score = best_window(same)
-            good = score >= WINDOW - SUBSTITUTIONS
-        if good:
-            at, score = lo - int(offsets[r]) + at, int(same.sum())
+        got = overlap(hashes[offsets[r] : offsets[r + 1]], index.hashes[index.offsets[i] : index.offsets[i + 1]], start - int(offsets[r]))
+        if got:
+            at, score = got
             if (r, i) not in best or (-score, at) < (-best[r, i][1], best[r, i][0]):
                 best[r, i] = (at, score)
     return [(r, i, at, score) for (r, i), (at, score) in sorted(best.items())]
@@ -157,7 +163,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, limit: int = LIMIT) -> DataFr
     index = small_index(benchmark, limit)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if index is None:
-        return _shuffled(rows, benchmark)
+        return _shuffled(rows.withColumn("number", F.monotonically_increasing_id()), benchmark).drop("number")
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,78 +177,83 @@ def matches(docs: DataFrame, benchmark: DataFrame, limit: int = LIMIT) -> DataFr
     return rows.mapInArrow(run, MATCH)
 
 
-def _seed_rows(rows: DataFrame, key: str, masks: list[tuple[int, ...]], bitmap: np.ndarray | None, items: bool) -> DataFrame:
-    """(seed, uid, key, at, before, words): each seed with the words of its text from WINDOW before to WINDOW after it."""
+def _word_rows(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """(number, key, words): each row's word hashes, written with a number of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in text_slices(batch.column("text")):
                 hashes, offsets = word_hashes(texts)
-                row = np.repeat(np.arange(len(texts)), np.diff(offsets))
-                length = np.diff(offsets)
-                for k, places in enumerate(masks):
-                    at, seed = seeds(hashes, row, places, k)
-                    if items:
-                        own = length[row[at]] >= WINDOW if k < len(MASKS) else length[row[at]] == len(places)
-                    else:
-                        own = bitmap[seed >> np.uint64(64 - BITMAP_BITS)]
-                    at, seed = at[own], seed[own]
-                    lo = np.maximum(at - WINDOW, offsets[row[at]])
-                    hi = np.minimum(at + 2 * WINDOW, offsets[row[at] + 1])
-                    words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(hi - lo)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.uint64), *(hashes[a:b] for a, b in zip(lo, hi, strict=True))]).view(np.int64)))
-                    ids = batch.column(key).slice(start, len(texts)).take(pa.array(row[at]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(seed.view(np.int64)), ids, pa.array(at - offsets[row[at]]), pa.array(at - lo), words, pa.array(np.full(len(at), k))],
-                        ["seed", key, "at", "before", "words", "mask"],
-                    )
-
-    return rows.mapInArrow(run, f"seed long, {key} long, at long, before long, words array<long>, mask long")
+                words = pa.array([hashes[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("number").slice(start, len(texts)), batch.column(key).slice(start, len(texts)), words], ["number", key, "words"])
+
+    return materialize(rows.mapInArrow(run, f"number long, {key} long, words binary"), label)
+
+
+def _seed_rows(rows: DataFrame, masks: list[tuple[int, ...]], bitmap: np.ndarray | None, items: bool) -> DataFrame:
+    """(seed, number, at): the seeds of each row and where they stand in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = batch.column("number").to_numpy()
+            data = batch.column("words")
+            offsets = np.concatenate([[0], np.cumsum(pc.binary_length(data).to_numpy().astype(np.int64) // 8)])
+            hashes = np.frombuffer(b"".join(data.to_pylist()), np.uint64)
+            row = np.repeat(np.arange(len(number)), np.diff(offsets))
+            length = np.diff(offsets)
+            for k, places in enumerate(masks):
+                at, seed = seeds(hashes, row, places, k)
+                if items:
+                    own = length[row[at]] >= WINDOW if k < len(MASKS) else length[row[at]] == len(places)
+                else:
+                    own = bitmap[seed >> np.uint64(64 - BITMAP_BITS)]
+                at, seed = at[own], seed[own]
+                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(number[row[at]]), pa.array(at - offsets[row[at]])], ["seed", "number", "at"])
+
+    return rows.mapInArrow(run, "seed long, number long, at long")
 
 
 def _shuffled(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`matches` for a benchmark of any size. n_match counts within the windows around the seeds."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    """`matches` for a benchmark of any size, of rows (number, doc_id, text), with their numbers."""
+    numbered = benchmark.select(F.monotonically_increasing_id().alias("number"), F.col("item_id").cast("long").alias("item_id"), "text")
+    items = _word_rows(numbered, "item_id", "benchmark-words")
+    texts = _word_rows(rows, "doc_id", "document-words")
     masks = masks_for(np.arange(LEAST, WINDOW))
-    right = materialize(_seed_rows(items, "item_id", masks, None, True), "benchmark-seeds")
+    right = materialize(_seed_rows(items, masks, None, True), "benchmark-seeds")
     bits = right.select(F.shiftrightunsigned("seed", 64 - BITMAP_BITS).alias("b")).distinct().toArrow()  # at most 2 ** BITMAP_BITS
     bitmap = np.zeros(1 << BITMAP_BITS, bool)
     bitmap[bits.column("b").to_numpy()] = True
-    left = _seed_rows(rows, "doc_id", masks, bitmap, False)
-    both = left.join(right.select("seed", "item_id", F.col("at").alias("at2"), F.col("before").alias("before2"), F.col("words").alias("words2")), "seed")
+    left = _seed_rows(texts, masks, bitmap, False)
+    both = left.join(right.select("seed", F.col("number").alias("item"), F.col("at").alias("place")), "seed")
+    pairs = both.groupBy("number", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("starts"))
+    pairs = pairs.join(items.select(F.col("number").alias("item"), "item_id", F.col("words").alias("item_words")), "item").join(texts, "number")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, first, n = [], [], []
-            for j, (at, b1, w1, b2, w2, k) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("at", "before", "words", "before2", "words2", "mask")), strict=True)):
-                back = min(b1, b2)
-                a, b = np.array(w1[b1 - back :]), np.array(w2[b2 - back :])
-                size = min(len(a), len(b))
-                same = a[:size] == b[:size]
-                if k >= len(MASKS):
-                    good = bool(same[back : back + len(masks[k])].all())
-                    s = back
-                elif size < WINDOW:
-                    continue
-                else:
-                    s, score = best_window(same)
-                    good = score >= WINDOW - SUBSTITUTIONS
-                if good:
+            for j in range(len(batch)):
+                words, item = (np.frombuffer(batch.column(c)[j].as_py(), np.uint64) for c in ("words", "item_words"))
+                found = [got for start in batch.column("starts")[j].as_py() if (got := overlap(words, item, start))]
+                if found:
+                    at, score = min(found, key=lambda f: (-f[1], f[0]))
                     keep.append(j)
-                    first.append(at - back + s)
-                    n.append(int(same.sum()))
-            got = [batch.column(c).take(pa.array(keep, pa.int64())) for c in ("doc_id", "item_id")]
-            yield pa.RecordBatch.from_arrays([*got, pa.array(first, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "item_id", "first_word", "n_match"])
+                    first.append(at)
+                    n.append(score)
+            got = [batch.column(c).take(pa.array(keep, pa.int64())) for c in ("number", "doc_id", "item_id")]
+            yield pa.RecordBatch.from_arrays([*got, pa.array(first, pa.int64()), pa.array(n, pa.int64())], ["number", "doc_id", "item_id", "first_word", "n_match"])
 
-    found = both.mapInArrow(check, MATCH)
-    return found.groupBy("doc_id", "item_id").agg(F.min("first_word").alias("first_word"), F.max("n_match").alias("n_match"))
+    return pairs.select("number", "doc_id", "item_id", "starts", "words", "item_words").mapInArrow(check, f"number long, {MATCH}")
 
 
 def filter_documents(docs: DataFrame, benchmark: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The documents that overlap no benchmark item, all columns unchanged."""
     index = small_index(benchmark, limit)
     if index is None:
-        bad = materialize(_shuffled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark), "contaminated")
-        return docs.join(bad.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+        name = "decontamination_row"
+        rows = materialize(docs.withColumn(name, F.monotonically_increasing_id()), "decontamination-rows")
+        bad = _shuffled(rows.select(F.col(name).alias("number"), F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark)
+        bad = materialize(bad.select(F.col("number").alias(name)).distinct(), "contaminated")
+        return rows.join(bad, name, "left_anti").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -137,6 +137,21 @@ def test_decontamination(spark, sf, docs, raw, empty):
     assert decontaminate.matches(empty, items).count() == 0 and decontaminate.matches(some, items.limit(0)).count() == 0
 
 
+def test_decontamination_paths_agree(spark):
+    """Rows without ids, repeated rows and items, and long overlaps: both paths give the same rows."""
+    passage = [f"p{k}" for k in range(90)]
+    far = passage[:]
+    far[5] = far[60] = "changed"
+    texts = [(None, "x y " + " ".join(passage)), (None, "x y " + " ".join(passage)), (1, " ".join(far)), (1, " ".join(far)), (2, "clean text"), (None, "clean too"), (3, " ".join(passage[40:55] + ["z"] * 30 + passage[:50])), (4, "five words stand here whole"), (1, " ".join(passage[70:]))]
+    items = spark.createDataFrame([(8, " ".join(passage)), (8, " ".join(passage)), (None, " ".join(passage[20:60])), (9, "five words stand here whole")], "item_id long, text string")
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    one, two = (Counter(tuple(r) for r in decontaminate.matches(docs, items, limit).collect()) for limit in (decontaminate.LIMIT, 0))
+    assert one == two and one[None, 8, 2, 90] == 4 and one[1, 8, 6, 88] == 4
+    for limit in (decontaminate.LIMIT, 0):
+        left = decontaminate.filter_documents(docs, items, limit)
+        assert Counter(tuple(r) for r in left.collect()) == Counter([(2, "clean text"), (None, "clean too")])
+
+
 def test_masks_hit_every_window_with_two_substitutions():
     from itertools import combinations
 
