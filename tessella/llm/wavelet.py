@@ -2,10 +2,12 @@
 
 Documents are ranged by doc_id, encoded with a public tokenizer, and written as shards of bounded size in that
 order. A shard file holds its token ids as a wavelet matrix: one bit plane for each bit of an id, from the highest,
-each plane ordered by the bits before it, with sampled rank counts. From one file, without unpacking it, it answers
-which token stands at a place (access), how often one occurs before a place (rank) and where its k-th occurrence is (select).
+each plane ordered by the bits before it, with sampled rank counts. The samples and the planes' blocks are deflated one by one and
+found by offset, so from one file, reading and inflating only the blocks it needs, it answers which token stands at a place (access) or at a
+run of places, how often one occurs before a place (rank) and where its k-th occurrence is (select).
 
 Encoding works on distinct words: the tokenizer never joins across white space, so a text's ids are those of its words.
+Ranges are of about RANGE_BYTES of text; the tokens before a shard are sums within groups of ranges, on top of the groups' sums.
 
 Files are written in the shared folder under names made from the task's partition, first under a name of the attempt and
 then moved, so a task that runs again replaces its own files only.
@@ -17,10 +19,11 @@ are in the order of a hash of their text. Extra columns are ignored. An empty ta
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,74 +39,130 @@ MAGIC = b"WAVELET1"
 END_ID = 1
 #: Tokens of a shard; a single longer document has a shard of its own.
 SHARD_TOKENS = 4 << 20
-#: Documents of one range, about; a range is one task.
-RANGE_DOCS = 8192
-STEP = 512
-MEMO = 300_000
+#: Bytes of text of one range, about; a range is one task.
+RANGE_BYTES = 32 << 20
+#: Ranges whose sums are added up together.
+RANGE_GROUP = 1024
+#: Bits for each sampled rank, bytes of a plane for each deflated block.
+STEP, BLOCK = 512, 1 << 15
+#: Entries of the memos of words and of pieces; a full memo is emptied.
+MEMO, PIECE_MEMO = 200_000, 600_000
+# The pre-token pattern of the vocabulary, and what it comes to in words of plain Latin letters and printable ASCII, folded to lower case and one a line.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+").findall
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ\n]+").fullmatch
+
+
+class Plane:
+    """The bits of one plane, eight a byte, with `samples`: the ones before each STEP bits."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.data = data
+        padded = np.pad(data, (0, -len(data) % (STEP // 8)))
+        self.samples = np.concatenate([[0], np.cumsum(np.bitwise_count(padded).reshape(-1, STEP // 8).sum(1, dtype=np.int64))])
+
+    def bytes(self, lo: int, hi: int) -> np.ndarray:
+        return self.data[lo:hi]
+
+    def bits(self, lo: int, hi: int) -> np.ndarray:
+        """The bits at places lo to hi - 1."""
+        return np.unpackbits(self.bytes(lo // 8, -(-hi // 8)), bitorder="little")[lo % 8 : lo % 8 + hi - lo].view(bool)
+
+    def rank(self, at: int) -> int:
+        """Ones before a place."""
+        block = at // STEP
+        return int(self.samples[block]) + int(np.count_nonzero(self.bits(block * STEP, at)))
+
+    def select(self, k: int, one: int) -> int:
+        """Place of the k-th one or zero."""
+        count = self.samples if one else np.arange(len(self.samples)) * STEP - self.samples
+        block = int(np.searchsorted(count, k, "right")) - 1
+        bits = np.unpackbits(self.bytes(block * STEP // 8, (block + 1) * STEP // 8), bitorder="little") == one
+        return block * STEP + int(np.flatnonzero(bits)[k - int(count[block])])
+
+
+class StoredPlane(Plane):
+    """A plane of a shard file: its samples are read on first use, and only the deflated blocks that hold wanted bits are read."""
+
+    def __init__(self, read: Callable[[int, int], bytes], counts: tuple[int, int], blocks: list[tuple[int, int]]) -> None:
+        self.read, self.counts, self.blocks = read, counts, blocks
+        self.held: dict[int, np.ndarray] = {}
+
+    @cached_property
+    def samples(self) -> np.ndarray:
+        ones = np.frombuffer(zlib.decompress(self.read(*self.counts)), "<u2")
+        return np.concatenate([[0], np.cumsum(ones, dtype=np.int64)])
+
+    def block(self, k: int) -> np.ndarray:
+        if k not in self.held:
+            if len(self.held) >= 64:
+                self.held.clear()
+            self.held[k] = np.frombuffer(zlib.decompress(self.read(*self.blocks[k])), np.uint8)
+        return self.held[k]
+
+    def bytes(self, lo: int, hi: int) -> np.ndarray:
+        parts = [self.block(k)[max(0, lo - k * BLOCK) : hi - k * BLOCK] for k in range(lo // BLOCK, min(len(self.blocks), -(-hi // BLOCK)))]
+        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint8), *parts])
 
 
 class WaveletMatrix:
-    """Bit planes with sampled ranks over a sequence of unsigned ids."""
+    """Bit planes of a sequence of unsigned ids, from the highest bit; each is ordered by the bits before it."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]) -> None:
+    def __init__(self, n: int, planes: Sequence[Plane], zeros: list[int]) -> None:
         self.n, self.planes, self.zeros = n, planes, zeros
-        # ones before each STEP bits of each plane
-        self.samples = [np.concatenate([[0], np.cumsum(np.bitwise_count(_padded(p)).reshape(-1, STEP // 8).sum(1, dtype=np.int64))]) for p in planes]
 
     @staticmethod
     def build(ids: np.ndarray) -> WaveletMatrix:
         bits = max(1, int(ids.max()).bit_length() if len(ids) else 1)
-        planes, zeros, rest = [], [], ids
+        rest = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+        planes, zeros = [], []
         for b in range(bits - 1, -1, -1):
-            one = (rest >> b & 1).astype(bool)
-            planes.append(np.packbits(one, bitorder="little"))
-            zeros.append(int(len(one) - one.sum()))
+            one = (rest & rest.dtype.type(1 << b)).astype(bool)
+            planes.append(Plane(np.packbits(one, bitorder="little")))
+            zeros.append(int(len(one) - np.count_nonzero(one)))
             rest = np.concatenate([rest[~one], rest[one]])
         return WaveletMatrix(len(ids), planes, zeros)
 
-    def rank1(self, plane: int, at: np.ndarray) -> np.ndarray:
-        """Ones of a plane before each place."""
-        data, block = self.planes[plane], at // STEP
-        out = self.samples[plane][block]
-        start, whole = block * (STEP // 8), at // 8
-        for k in range(STEP // 8):
-            on = start + k < whole
-            if not on.any():
-                break
-            out = out + np.where(on, np.bitwise_count(data[np.minimum(start + k, len(data) - 1)]), 0)
-        tail = data[np.minimum(whole, len(data) - 1)] & ((1 << (at % 8)) - 1).astype(np.uint8)
-        return out + np.where(at % 8 > 0, np.bitwise_count(tail), 0) if len(data) else out
-
-    def bit(self, plane: int, at: np.ndarray) -> np.ndarray:
-        return self.planes[plane][at // 8] >> (at % 8).astype(np.uint8) & 1
-
-    def access(self, places: np.ndarray) -> np.ndarray:
-        """Ids at the given places."""
-        at, out = np.asarray(places, np.int64), np.zeros(len(places), np.int64)
-        for k in range(len(self.planes)):
-            one = self.bit(k, at) > 0
-            ones = self.rank1(k, at)
-            at = np.where(one, self.zeros[k] + ones, at - ones)
+    def access(self, at: int) -> int:
+        """The id at a place."""
+        out = 0
+        for plane, zeros in zip(self.planes, self.zeros, strict=True):
+            one, ones = int(plane.bits(at, at + 1)[0]), plane.rank(at)
+            at = zeros + ones if one else at - ones
             out = out << 1 | one
         return out
 
-    def all_ids(self) -> np.ndarray:
-        """Every id in order: access of all places, with running ranks in place of sampled ones."""
-        at, out = np.arange(self.n), np.zeros(self.n, np.uint32)
-        for k, plane in enumerate(self.planes):
-            one = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
-            to = np.empty(self.n, np.int32)
-            to[one] = self.zeros[k] + np.arange(self.n - self.zeros[k])
-            to[~one] = np.arange(self.zeros[k])
-            out = out << np.uint32(1) | one[at]
-            at = to[at]
+    def access_range(self, lo: int, hi: int) -> np.ndarray:
+        """The ids at places lo to hi - 1.
+
+        Down the planes the places stay a few runs, of which only the starts are ranked; their bits put the ids together on the way up.
+        """
+        runs, ways = [(lo, hi)] if lo < hi else [], []
+        for plane, zeros in zip(self.planes, self.zeros, strict=True):
+            bits = [plane.bits(a, b) for a, b in runs]
+            ones = [plane.rank(a) for a, _ in runs]
+            more = [int(np.count_nonzero(x)) for x in bits]
+            down = [(a - n, b - n - m) for (a, b), n, m in zip(runs, ones, more, strict=True)] + [(zeros + n, zeros + n + m) for n, m in zip(ones, more, strict=True)]
+            runs = []
+            for a, b in down:
+                if runs and runs[-1][1] == a:
+                    runs[-1] = (runs[-1][0], b)
+                elif a < b:
+                    runs.append((a, b))
+            ways.append(np.concatenate([np.zeros(0, bool), *bits]))
+        out = np.zeros(hi - lo, np.uint16 if len(self.planes) <= 16 else np.uint32)
+        for b, one in enumerate(reversed(ways)):
+            up, low = np.empty_like(out), len(one) - np.count_nonzero(one)
+            up[~one] = out[:low]
+            up[one] = out[low:] | out.dtype.type(1 << b)
+            out = up
         return out
 
     def _narrow(self, token: int, end: int) -> list[tuple[int, int]]:
         """The range in which a token's first `end` places lie, after each plane."""
         lo, hi, out = 0, end, []
-        for k in range(len(self.planes)):
-            a, b = (int(self.rank1(k, np.array([x]))[0]) for x in (lo, hi))
+        for k, plane in enumerate(self.planes):
+            a, b = plane.rank(lo), plane.rank(hi)
             lo, hi = (self.zeros[k] + a, self.zeros[k] + b) if token >> (len(self.planes) - 1 - k) & 1 else (lo - a, hi - b)
             out.append((lo, hi))
         return out
@@ -119,49 +178,107 @@ class WaveletMatrix:
         """Place of the k-th occurrence (from 0) of a token; -1 if there are fewer."""
         if k >= self.rank(token, self.n):
             return -1
-        ranges = self._narrow(token, self.n)
-        at = ranges[-1][0] + k
+        at = self._narrow(token, self.n)[-1][0] + k
         for plane in range(len(self.planes) - 1, -1, -1):
             one = token >> (len(self.planes) - 1 - plane) & 1
-            at = self._select_bit(plane, at - self.zeros[plane] if one else at, one)
+            at = self.planes[plane].select(at - self.zeros[plane] if one else at, one)
         return at
 
-    def _select_bit(self, plane: int, k: int, one: int) -> int:
-        """Place of the k-th one or zero of a plane."""
-        ones = self.samples[plane]
-        count = ones if one else np.arange(len(ones)) * STEP - ones
-        block = int(np.searchsorted(count, k, "right")) - 1
-        bits = np.unpackbits(_padded(self.planes[plane])[block * STEP // 8 : (block + 1) * STEP // 8], bitorder="little") == one
-        return block * STEP + int(np.flatnonzero(bits)[k - int(count[block])])
 
+def pack(matrix: WaveletMatrix, doc_ids: list[int | None], lengths: list[int]) -> bytes:
+    """A shard file: header, document table, and of each plane the ones of every STEP bits and its blocks, all deflated one by one."""
+    table = np.array([[d is not None, d or 0, n] for d, n in zip(doc_ids, lengths, strict=True)], "<i8").reshape(-1, 3)
+    parts: list[bytes] = []
+    at = 0
+
+    def put(data: bytes) -> tuple[int, int]:
+        nonlocal at
+        parts.append(zlib.compress(data, 1))
+        at += len(parts[-1])
+        return at - len(parts[-1]), len(parts[-1])
+
+    head = {"n": matrix.n, "docs": len(doc_ids), "zeros": matrix.zeros, "table": put(table.tobytes()), "planes": []}
+    for p in matrix.planes:
+        head["planes"].append([put(np.diff(p.samples).astype("<u2").tobytes()), [put(p.data[k : k + BLOCK].tobytes()) for k in range(0, len(p.data), BLOCK)]])
+    text = json.dumps(head).encode()
+    return MAGIC + len(text).to_bytes(4, "little") + text + b"".join(parts)
+
+
+class ShardFile:
+    """A shard file that is read by offset: `matrix` looks tokens up in it, fetching only the blocks it needs."""
+
+    def __init__(self, read: Callable[[int, int], bytes]) -> None:
+        start = read(0, 12)
+        if start[:8] != MAGIC:
+            raise ValueError("not a shard file")
+        size = int.from_bytes(start[8:12], "little")
+        head = json.loads(read(12, size))
+        self.read = lambda at, n: read(12 + size + at, n)
+        self.table_at = head["table"]
+        self.matrix = WaveletMatrix(head["n"], [StoredPlane(self.read, counts, blocks) for counts, blocks in head["planes"]], head["zeros"])
 
-def _padded(plane: np.ndarray) -> np.ndarray:
-    return np.pad(plane, (0, -len(plane) % (STEP // 8)))
+    @staticmethod
+    def of(f: pa.NativeFile) -> ShardFile:
+        """Of a file that is open for random access."""
 
+        def read(at: int, n: int) -> bytes:
+            f.seek(at)
+            return f.read(n)
+
+        return ShardFile(read)
+
+    @cached_property
+    def documents(self) -> tuple[list[int | None], np.ndarray]:
+        """doc_id and number of tokens of each document."""
+        table = np.frombuffer(zlib.decompress(self.read(*self.table_at)), "<i8").reshape(-1, 3)
+        return [int(d) if full else None for full, d, _ in table.tolist()], table[:, 2]
 
-def pack(matrix: WaveletMatrix, doc_ids: list[int | None], lengths: list[int]) -> bytes:
-    """A shard file: header, document table, sampled ranks, planes; the planes are deflated where that helps."""
-    table = np.array([[d is not None, d or 0, n] for d, n in zip(doc_ids, lengths, strict=True)], "<i8").reshape(-1, 3)
-    parts = [zlib.compress(table.tobytes(), 1), *(zlib.compress(p.tobytes(), 1) for p in matrix.planes)]
-    head = json.dumps({"n": matrix.n, "docs": len(doc_ids), "zeros": matrix.zeros, "sizes": [len(p) for p in parts]}).encode()
-    return MAGIC + len(head).to_bytes(4, "little") + head + b"".join(parts)
 
+def crcs(matrix: WaveletMatrix, lengths: np.ndarray, step: int) -> list[int]:
+    """CRC32 of each document's ids, about `step` ids at a time."""
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    out = [0] * len(lengths)
+    doc = 0
+    for lo in range(0, matrix.n, step):
+        ids = matrix.access_range(lo, min(lo + step, matrix.n)).astype("<u4")
+        while doc < len(lengths) and bounds[doc] < lo + len(ids):
+            a, b = max(lo, int(bounds[doc])), min(lo + len(ids), int(bounds[doc + 1]))
+            out[doc] = zlib.crc32(ids[a - lo : b - lo], out[doc])
+            if bounds[doc + 1] > lo + len(ids):
+                break  # goes on in the next step
+            doc += 1
+    return out
 
-def unpack(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
-    if data[:8] != MAGIC:
-        raise ValueError("not a shard file")
-    size = int.from_bytes(data[8:12], "little")
-    head, at, parts = json.loads(data[12 : 12 + size]), 12 + size, []
-    for n in head["sizes"]:
-        parts.append(zlib.decompress(data[at : at + n]))
-        at += n
-    table = np.frombuffer(parts[0], "<i8").reshape(-1, 3)
-    planes = [np.frombuffer(p, np.uint8) for p in parts[1:]]
-    return WaveletMatrix(head["n"], planes, head["zeros"]), [int(d) if full else None for full, d, _ in table.tolist()], table[:, 2]
+
+class Pool:
+    """Runs of ids by key: each key's place in the arrays, which grow as keys are added."""
+
+    def __init__(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keys that are new, with their ids end to end and the count of each."""
+        self.slots.update(zip(keys, range(len(self.slots), len(self.slots) + len(keys)), strict=True))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+
+    def at(self, keys: Iterable[str], n: int) -> np.ndarray:
+        return np.fromiter(map(self.slots.__getitem__, keys), np.int64, n)
+
+    def runs(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs at the given slots end to end, and the count of each."""
+        n = self.size[slots]
+        return self.flat[np.repeat(self.first[slots] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
 class WordEncoder:
-    """Ids of distinct words through the tokenizers library, many at a time, with a bounded memo."""
+    """Ids of distinct words through the tokenizers library, many at a time, with bounded memos.
+
+    Where the vocabulary has the pre-token pattern that PIECES stands for, words of plain Latin letters and ASCII are folded
+    to lower case and cut into its pieces, and only pieces that are new go through the library; other words go through it whole.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -169,21 +286,59 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.memo: dict[str, list[int]] = {}
-
-    def encode(self, words: list[str]) -> list[list[int]]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = [w for w in words if w not in self.memo]
-        for k in range(0, len(new), 1000):
-            part = new[k : k + 1000]
-            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        splits = [p["pattern"].get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        folds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.cuts = splits == [PATTERN] and folds == ["NFC", "Replace", "Lowercase"]
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.words, self.pieces = Pool(), Pool()
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words end to end, and the count of each."""
+        if len(self.words.slots) > MEMO:
+            self.words = Pool()
+        known = self.words.slots
+        if new := [w for w in words if w not in known]:
+            self._learn(new)
+        return self.words.runs(self.words.at(words, len(words)))
+
+    def _learn(self, new: list[str]) -> None:
+        text = "\n".join(new)
+        if not self.cuts or any(s in text for s in self.special):
+            plain: list[str] = []
+        else:
+            plain = new if PLAIN(text) else [w for w in new if PLAIN(w)]
+        if len(plain) < len(new):
+            cut = set(plain)
+            rest = [w for w in new if w not in cut]
+            self.words.add(rest, *self._library(rest))
+        if not plain:
+            return
+        found = PIECES("\n".join(plain).lower())
+        if len(self.pieces.slots) > PIECE_MEMO:
+            self.pieces = Pool()
+        fresh = list(set(found) - self.pieces.slots.keys() - {"\n"})
+        self.pieces.add(fresh, *self._library(fresh, True))
+        ends = np.fromiter(map("\n".__eq__, found), bool, len(found))
+        ids, n = self.pieces.runs(self.pieces.at(filter("\n".__ne__, found), len(found) - len(plain) + 1))
+        owner = np.cumsum(ends)[~ends]
+        self.words.add(plain, ids, np.bincount(owner, n, len(plain)).astype(np.int64))
+
+    def _library(self, texts: list[str], single: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without white space, and the count of each; `single`: each is one pre-token."""
+        ids, sizes = [], []
+        for k in range(0, len(texts), 200):
+            part = texts[k : k + 200]
             got = self.library.encode(" ".join(part), add_special_tokens=False)
-            owner = np.searchsorted(starts, [o[0] for o in got.offsets], "right") - 1
-            bounds = np.searchsorted(owner, np.arange(len(part) + 1)).tolist()
-            ids = got.ids
-            self.memo.update((w, ids[a:b]) for w, a, b in zip(part, bounds, bounds[1:], strict=False))
-        return [self.memo[w] for w in words]
+            if single:
+                owner = np.array(got.word_ids, np.int64)
+            else:
+                starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+                owner = np.searchsorted(starts, [o[0] for o in got.offsets], "right") - 1
+            ids.append(np.array(got.ids, np.uint32))
+            sizes.append(np.bincount(owner, minlength=len(part)))
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
 
 @lru_cache(maxsize=1)
@@ -194,19 +349,24 @@ def encoder(path: str) -> WordEncoder:
 def encode_texts(texts: pa.Array, words_of: WordEncoder, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each text with the end id, laid end to end, and the count of each."""
     words = split_words(texts)
-    ids = words_of.encode(words.vocab.to_pylist())
-    size = np.array([len(x) for x in ids], np.int64)
-    flat = np.array([i for x in ids for i in x], np.uint32)
-    first, n = np.cumsum(size) - size, size[words.ids]
-    out = flat[np.repeat(first[words.ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    total = np.concatenate([[0], np.cumsum(n)])[words.offsets]
-    return np.insert(out, total[1:], end_id).astype(np.uint32), np.diff(total) + 1
+    flat, size = words_of.encode(words.vocab.to_pylist())
+    flat, size = np.append(flat, np.uint32(end_id)), np.append(size, 1)
+    ends = words.offsets[1:] + np.arange(len(texts))
+    coded = np.full(len(words.ids) + len(texts), len(words.vocab), np.int32)  # the end stands as one more word
+    inside = np.ones(len(coded), bool)
+    inside[ends] = False
+    coded[inside] = words.ids
+    n = size[coded]
+    edges = np.concatenate([[0], np.cumsum(n)])
+    index = np.int64 if edges[-1] >> 31 else np.int32
+    out = flat[np.repeat(((np.cumsum(size) - size)[coded] - edges[:-1]).astype(index), n) + np.arange(edges[-1], dtype=index)]
+    return out, np.diff(np.concatenate([[0], edges[ends + 1]]))
 
 
 def write_shards(docs: DataFrame, folder: str, name: str, ranges: int | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write the shards; (part, shard, name, tokens, docs) of each."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
-    ranges = ranges or max(1, -(-rows.count() // RANGE_DOCS))
+    ranges = ranges or max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = encoder(resolve(name))
@@ -246,29 +406,30 @@ def write_shards(docs: DataFrame, folder: str, name: str, ranges: int | None = N
     return dealt.mapInArrow(run, "part long, shard long, name string, tokens long, docs long")
 
 
-def with_starts(shards: DataFrame) -> DataFrame:
-    """Shards with `start`, the tokens of all shards before: running sums within a part, on top of the parts' sums (one number a task)."""
-    parts = sorted(shards.groupBy("part").agg(F.sum("tokens").alias("n")).collect(), key=lambda r: r.part)
-    before = np.cumsum([0, *(r.n for r in parts)]).tolist()
-    base = shards.sparkSession.createDataFrame([(r.part, b) for r, b in zip(parts, before, strict=False)], "part long, base long")
-    own = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return shards.join(base, "part").select("name", (F.col("base") + F.coalesce(F.sum("tokens").over(own), F.lit(0))).alias("start"))
+def with_starts(shards: DataFrame, group: int = RANGE_GROUP) -> DataFrame:
+    """Shards with `start`, the tokens of all shards before: running sums within a group of parts, on top of the groups' sums (one number for `group` tasks)."""
+    grouped = shards.withColumn("group", F.floor(F.col("part") / group))
+    sums = sorted(grouped.groupBy("group").agg(F.sum("tokens").alias("n")).collect(), key=lambda r: r.group)
+    before = np.cumsum([0, *(r.n for r in sums)]).tolist()
+    base = shards.sparkSession.createDataFrame([(r.group, b) for r, b in zip(sums, before, strict=False)], "group long, base long")
+    own = Window.partitionBy("group").orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    return grouped.join(base, "group").select("name", (F.col("base") + F.coalesce(F.sum("tokens").over(own), F.lit(0))).alias("start"))
 
 
 def read_shards(shards: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, looked up in the files."""
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for title, start in zip(batch.column("name").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                with store.open_input_stream(f"{base}/{title}", compression=None) as f:
-                    matrix, doc_ids, lengths = unpack(f.read())
-                ids = matrix.all_ids().astype("<u4")
-                bounds = np.concatenate([[0], np.cumsum(lengths)])
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + bounds[:-1]), pa.array(lengths), pa.array(crc, pa.int64())], names)
+                with store.open_input_file(f"{base}/{title}") as f:
+                    shard = ShardFile.of(f)
+                    doc_ids, lengths = shard.documents
+                    crc = crcs(shard.matrix, lengths, SHARD_TOKENS + SHARD_TOKENS // 2)
+                arrays = [pa.array(doc_ids, pa.int64()), pa.array(start + np.cumsum(lengths) - lengths), pa.array(lengths), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

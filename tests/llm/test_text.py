@@ -201,14 +201,36 @@ def test_wavelet_shards_equal_the_library(docs, raw, empty):
 
 def test_wavelet_matrix_operations():
     ids = np.random.default_rng(2).integers(0, 700, 5000).astype(np.uint32)
-    m = wavelet.unpack(wavelet.pack(wavelet.WaveletMatrix.build(ids), [None, 3], [2000, 3000]))[0]
-    assert (m.access(np.arange(5000)) == ids).all() and (m.all_ids() == ids).all()
+    data = wavelet.pack(wavelet.WaveletMatrix.build(ids), [None, 3], [2000, 3000])
+    shard = wavelet.ShardFile(lambda at, n: data[at : at + n])
+    m = shard.matrix
+    assert shard.documents[0] == [None, 3] and shard.documents[1].tolist() == [2000, 3000]
+    assert [m.access(k) for k in range(0, 5000, 7)] == ids[::7].tolist() and (m.access_range(0, 5000) == ids).all()
+    assert all((m.access_range(a, b) == ids[a:b]).all() for a, b in ((0, 0), (17, 18), (511, 513), (900, 4100), (4999, 5000)))
+    assert wavelet.crcs(m, np.array([2000, 0, 3000]), 700) == [zlib.crc32(x.astype("<u4")) for x in (ids[:2000], ids[:0], ids[2000:])]
     for token in (0, 5, 699, 701, 5000):
         at = np.flatnonzero(ids == token)
         assert m.rank(token, 2500) == (at < 2500).sum()
         assert [m.select(token, k) for k in range(len(at))] == at.tolist() and m.select(token, len(at)) == -1
     none = wavelet.WaveletMatrix.build(ids[:0])
-    assert none.rank(1, 0) == 0 and len(none.all_ids()) == 0
+    assert none.rank(1, 0) == 0 and len(none.access_range(0, 0)) == 0
+
+
+def test_wavelet_lookups_read_single_blocks():
+    ids = np.random.default_rng(3).integers(0, 40000, 1_500_000).astype(np.uint32)
+    data, asked = wavelet.pack(wavelet.WaveletMatrix.build(ids), [1], [len(ids)]), []
+    m = wavelet.ShardFile(lambda at, n: asked.append(n) or data[at : at + n]).matrix
+    assert m.access(1_234_567) == ids[1_234_567]
+    assert sum(asked) < len(data) / 3  # one block and the samples of each plane
+
+
+def test_word_encoder_equals_the_library():
+    library = Tokenizer.from_file(bpe.resolve("word_bpe_49k.json"))
+    words = ["Don't", "STRAẞE", "ÀÉÎÕÜß×÷ªµ", "x2024y", "İstanbul", "<|endoftext|>", "a<|startoftext|>b", "e\u0301a", "''S'S", "\x1c\x7f", "\u00a0nb", "ΣΑΣ", "!!'re..", "l'été", "日本語", "a" * 3000]
+    own = wavelet.WordEncoder(bpe.resolve("word_bpe_49k.json"))
+    for batch in (words, words[:5], [*words, "new", "Words,"]):
+        flat, n = own.encode(batch)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == [library.encode(w, add_special_tokens=False).ids for w in batch]
 
 
 def test_resampling_takes_the_largest_keys(docs, labels, raw, empty):
