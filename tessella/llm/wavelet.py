@@ -19,14 +19,15 @@ are in the order of a hash of their text. Extra columns are ignored. An empty ta
 from __future__ import annotations
 
 import json
-import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import cached_property, lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -46,11 +47,11 @@ RANGE_GROUP = 1024
 #: Bits for each sampled rank, bytes of a plane for each deflated block.
 STEP, BLOCK = 512, 1 << 15
 #: Entries of the memos of words and of pieces; a full memo is emptied.
-MEMO, PIECE_MEMO = 200_000, 600_000
-# The pre-token pattern of the vocabulary, and what it comes to in words of plain Latin letters and printable ASCII, folded to lower case and one a line.
+MEMO = 600_000
+# The pre-token pattern of the vocabulary, and what it comes to in words of plain Latin letters and printable ASCII, folded to lower case; OTHER is in no such word.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+").findall
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ\n]+").fullmatch
+PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+)"
+OTHER = r"[^!-~À-ÖØ-öø-ÿ]"
 
 
 class Plane:
@@ -254,8 +255,12 @@ class Pool:
     """Runs of ids by key: each key's place in the arrays, which grow as keys are added."""
 
     def __init__(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        """Empty but for the blank key, which has no ids."""
+        self.slots = {"": 0}
+        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         """Keys that are new, with their ids end to end and the count of each."""
@@ -264,9 +269,6 @@ class Pool:
         self.size = np.concatenate([self.size, sizes])
         self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
 
-    def at(self, keys: Iterable[str], n: int) -> np.ndarray:
-        return np.fromiter(map(self.slots.__getitem__, keys), np.int64, n)
-
     def runs(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The runs at the given slots end to end, and the count of each."""
         n = self.size[slots]
@@ -276,7 +278,7 @@ class Pool:
 class WordEncoder:
     """Ids of distinct words through the tokenizers library, many at a time, with bounded memos.
 
-    Where the vocabulary has the pre-token pattern that PIECES stands for, words of plain Latin letters and ASCII are folded
+    Where the vocabulary has the pre-token pattern that PIECE stands for, words of plain Latin letters and ASCII are folded
     to lower case and cut into its pieces, and only pieces that are new go through the library; other words go through it whole.
     """
 
@@ -294,36 +296,42 @@ class WordEncoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.words, self.pieces = Pool(), Pool()
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words end to end, and the count of each."""
-        if len(self.words.slots) > MEMO:
-            self.words = Pool()
-        known = self.words.slots
-        if new := [w for w in words if w not in known]:
-            self._learn(new)
-        return self.words.runs(self.words.at(words, len(words)))
-
-    def _learn(self, new: list[str]) -> None:
-        text = "\n".join(new)
-        if not self.cuts or any(s in text for s in self.special):
-            plain: list[str] = []
-        else:
-            plain = new if PLAIN(text) else [w for w in new if PLAIN(w)]
-        if len(plain) < len(new):
-            cut = set(plain)
-            rest = [w for w in new if w not in cut]
-            self.words.add(rest, *self._library(rest))
-        if not plain:
-            return
-        found = PIECES("\n".join(plain).lower())
-        if len(self.pieces.slots) > PIECE_MEMO:
-            self.pieces = Pool()
-        fresh = list(set(found) - self.pieces.slots.keys() - {"\n"})
-        self.pieces.add(fresh, *self._library(fresh, True))
-        ends = np.fromiter(map("\n".__eq__, found), bool, len(found))
-        ids, n = self.pieces.runs(self.pieces.at(filter("\n".__ne__, found), len(found) - len(plain) + 1))
-        owner = np.cumsum(ends)[~ends]
-        self.words.add(plain, ids, np.bincount(owner, n, len(plain)).astype(np.int64))
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words: an array of ids, and where in it each word's begin and how many they are."""
+        whole = np.full(len(words), not self.cuts)
+        if self.cuts:
+            whole |= pc.match_substring_regex(words, OTHER).to_numpy(zero_copy_only=False)
+            for special in self.special:
+                whole |= pc.match_substring(words, special).to_numpy(zero_copy_only=False)
+        # a word of letters only is one piece; the others are cut
+        folded = pc.utf8_lower(words)
+        single = pc.utf8_is_alpha(folded).to_numpy(zero_copy_only=False) & ~whole
+        several = ~(single | whole)
+        cut = split_words(pc.replace_substring_regex(folded.filter(pa.array(several)), PIECE, r"\1 "))
+        one = folded.filter(pa.array(single))
+        pieces, start, n = self._known(self.pieces, [*_strings(one), *_strings(cut.vocab)], True)
+        at = cut.ids + len(one)
+        edges = np.concatenate([[0], np.cumsum(n[at])])
+        flat = pieces[np.repeat(start[at] - edges[:-1], n[at]) + np.arange(edges[-1])]
+        rest, rest_start, m = self._known(self.words, _strings(words.filter(pa.array(whole))), False)
+        first, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        first[single], size[single] = start[: len(one)], n[: len(one)]
+        first[several], size[several] = len(pieces) + edges[cut.offsets[:-1]], np.diff(edges[cut.offsets])
+        first[whole], size[whole] = len(pieces) + len(flat) + rest_start, m
+        return np.concatenate([pieces, flat, rest]), first, size
+
+    def _known(self, pool: Pool, keys: list[str], single: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the keys, in an array, and where in it each key's begin and how many they are."""
+        if len(pool.slots) > MEMO:
+            pool.clear()
+        slots = np.fromiter(map(pool.slots.get, keys, repeat(-1)), np.int64, len(keys))
+        if len(new := np.flatnonzero(slots < 0)):
+            new = new.tolist()
+            fresh = list(dict.fromkeys(keys[k] for k in new))
+            pool.add(fresh, *self._library(fresh, single))
+            slots[new] = [pool.slots[keys[k]] for k in new]
+        ids, n = pool.runs(slots)
+        return ids, np.cumsum(n) - n, n
 
     def _library(self, texts: list[str], single: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts without white space, and the count of each; `single`: each is one pre-token."""
@@ -341,6 +349,10 @@ class WordEncoder:
         return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
 
+def _strings(a: pa.Array) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
@@ -349,8 +361,8 @@ def encoder(path: str) -> WordEncoder:
 def encode_texts(texts: pa.Array, words_of: WordEncoder, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each text with the end id, laid end to end, and the count of each."""
     words = split_words(texts)
-    flat, size = words_of.encode(words.vocab.to_pylist())
-    flat, size = np.append(flat, np.uint32(end_id)), np.append(size, 1)
+    flat, first, size = words_of.encode(words.vocab)
+    flat, first, size = np.append(flat, np.uint32(end_id)), np.append(first, len(flat)), np.append(size, 1)
     ends = words.offsets[1:] + np.arange(len(texts))
     coded = np.full(len(words.ids) + len(texts), len(words.vocab), np.int32)  # the end stands as one more word
     inside = np.ones(len(coded), bool)
@@ -359,7 +371,7 @@ def encode_texts(texts: pa.Array, words_of: WordEncoder, end_id: int = END_ID) -
     n = size[coded]
     edges = np.concatenate([[0], np.cumsum(n)])
     index = np.int64 if edges[-1] >> 31 else np.int32
-    out = flat[np.repeat(((np.cumsum(size) - size)[coded] - edges[:-1]).astype(index), n) + np.arange(edges[-1], dtype=index)]
+    out = flat[np.repeat((first[coded] - edges[:-1]).astype(index), n) + np.arange(edges[-1], dtype=index)]
     return out, np.diff(np.concatenate([[0], edges[ends + 1]]))
 
 
