@@ -7,7 +7,8 @@ slice is split into words and dictionary-encoded in C, so that the work per toke
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,15 +27,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default only where none is set."""
+    """The folder that driver and executors share; a default only where none is set and all run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return (base or "file:///tmp/checkpoints").rstrip("/")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file:///tmp/checkpoints"
+    return base.rstrip("/")
+
+
+#: Lists that collect the folders which `materialize` writes; the innermost `written` gets them.
+_WRITTEN: list[list[str]] = []
+
+
+@contextmanager
+def written() -> Iterator[list[str]]:
+    """Collects the folders that are written meanwhile, for `remove` once nothing reads them."""
+    paths: list[str] = []
+    _WRITTEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _WRITTEN.remove(paths)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders of the shared folder."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -327,4 +327,5 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, g
     found = connected(links(nodes.select("fp", F.col("fp").alias("rep")), radius, group))
     named = nodes.join(found, nodes["fp"] == found["node"], "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
     kept = materialize(named.select(F.col("first.number").alias(number)), "simhash-kept")
-    return rows.join(kept, number, "left_semi").select(*docs.columns)
+    # as many keys as documents are kept, so they are never sent to every executor
+    return rows.join(kept.hint("merge"), number, "left_semi").select(*docs.columns)

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,74 @@ def test_quality_rejects_symbol_noise_and_keeps_prose(spark, docs):
     assert not any(r.kept for r in got[5:])
 
 
+def plain_perplexities(raw):
+    """The mean negative log10 probability of each text's bytes, from dictionaries of class n-grams, by the definition of the model."""
+    classes = lambda t: [0, 0, 0, *(int(quality.CLASSES[b]) for b in (t or "").encode())]
+    group = lambda r: {"en": 0, "de": 1, "fr": 2, "es": 3}.get(r[2], 4)
+    counts = {g: Counter() for g in range(5)}
+    for r in raw:
+        n, chars, symbols, _, repeated = base(r[1])
+        if n >= 50 and 100 * repeated <= 50 * n and 100 * symbols <= chars:
+            c = classes(r[1])
+            counts[group(r)].update(tuple(c[k : k + 4]) for k in range(len(c) - 3))
+
+    def model(table):
+        levels = {4: table}
+        for k in (3, 2, 1):
+            levels[k] = Counter(g[1:] for g in levels[k + 1])
+        stats = {}
+        for k, level in levels.items():
+            d = kneser_ney.discounts(*(sum(1 for n in level.values() if n == j) for j in (1, 2, 3, 4)))
+            whole, freed = Counter(), Counter()
+            for g, n in level.items():
+                whole[g[:-1]] += n
+                freed[g[:-1]] += d[min(n, 3)]
+            stats[k] = level, d, whole, freed
+
+        def p(gram):
+            if not gram:
+                return 1 / 32
+            level, d, whole, freed = stats[len(gram)]
+            n, ctx = level.get(gram, 0), gram[:-1]
+            return (n - d[min(n, 3)]) / whole[ctx] + freed[ctx] / whole[ctx] * p(gram[1:]) if whole[ctx] else p(gram[1:])
+
+        return lru_cache(None)(p)
+
+    models, out = {g: model(c) for g, c in counts.items()}, []
+    for r in raw:
+        c = classes(r[1])
+        out.append(-sum(math.log10(models[group(r)](tuple(c[k : k + 4]))) for k in range(len(c) - 3)) / (len(c) - 3) if r[1] else None)
+    return out
+
+
+def test_quality_perplexity_and_bands_by_definition(docs, raw):
+    got = Counter((r.doc_id, r.kept, None if r.neg_log10_char is None else round(r.neg_log10_char, 6)) for r in quality.quality_report(docs).collect())
+    scores = plain_perplexities(raw)
+    failed = [n < 50 or 100 * repeated > 50 * n for n, _, _, _, repeated in (base(r[1]) for r in raw)]
+    group = [r[2] if r[2] in ("en", "de", "fr", "es") else "other" for r in raw]
+    limits = {}
+    for g in set(group):
+        if own := sorted(s for s, f, x in zip(scores, failed, group, strict=True) if x == g and not f):
+            low, mid, high = (own[max(0, math.ceil(q * len(own)) - 1)] for q in (0.25, 0.5, 0.75))
+            limits[g] = low - max(8 * (mid - low), 0.1), high + max(8 * (high - mid), 0.3)
+    expected = Counter()
+    for r, s, f, g in zip(raw, scores, failed, group, strict=True):
+        expected[r[0], bool(not f and s is not None and limits[g][0] <= s <= limits[g][1]), None if s is None else round(s, 6)] += 1
+    near = lambda c: sorted((str(i), k, -1 if s is None else round(s, 4)) for (i, k, s), n in c.items() for _ in range(n))
+    assert near(got) == near(expected)
+
+
+def test_quality_lower_band_rejects_word_salad(spark, docs):
+    rng = np.random.default_rng(1)
+    salad = [" ".join("the" * k for k in rng.integers(1, 13, 90)) for _ in range(4)]
+    extra = spark.createDataFrame([(20_000 + k, t, "en") for k, t in enumerate(salad)], "doc_id long, text string, lang string")
+    got = quality.quality_report(docs.select("doc_id", "text", "lang").unionByName(extra))
+    found = got.where("doc_id >= 20000").collect()
+    typical = got.where("doc_id < 9000 and lang_group = 0 and kept").agg({"neg_log10_char": "min"}).first()[0]
+    assert not any(r.base_failed for r in found)
+    assert all(r.neg_log10_char < typical - 0.1 for r in found) and not any(r.kept for r in found)
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(1)
     codes, counts = np.unique(rng.integers(0, 1 << 8, 4000) & rng.integers(0, 1 << 8, 4000), return_counts=True)
