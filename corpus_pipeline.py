@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import bpe, decontaminate, quality, simhash, toxicity
-from tessella.llm.common import materialize, table
+from tessella.llm.common import materialize, remove, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's rows are written; then what it has read and written on the way is deleted."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with written() as paths:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        remove(spark, [*before, *paths[:-1]])
+        before = paths[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
