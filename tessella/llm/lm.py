@@ -12,7 +12,7 @@ broadcast. Texts are cut into chunks whose words are dictionary-coded once. A ch
 sorted block of 64-bit keys (hashes) and counts for each range of keys; the task of a range sums its blocks and answers
 each block in its order, so a chunk receives the counts of the n-grams it uses. One chunk of those that hold an n-gram is told to count it among the
 successors of its context, and these numbers are summed in the same way. Each chunk is then read by the part of the automaton that its texts use.
-There are as many ranges as keep each near RANGE keys; n-grams whose 62-bit hashes clash share a count.
+There are as many ranges as keep each near RANGE keys; n-grams whose hashes of 48 to 62 bits clash share a count.
 
 Defined results: null and empty texts are one end token. A null doc_id is not held out. With nothing to learn from, the base score
 is 0 a token and the end and the unknown word have half of all probability each. Rows are handled one by one, repeats alike.
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, split_words, sums_by_row, text_slices, vocab_hashes
+from .common import materialize, mix64, split_words, sums_by_row, text_bytes, text_slices
 from .kneser_ney import discounts
 
 #: Keys (of words, pairs and triples, once for each chunk) that one task sums at a time.
@@ -54,7 +54,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                 used = np.bincount(words.ids, minlength=len(words.vocab)) > 0
                 new = np.cumsum(used) - 1
                 lengths = np.diff(words.offsets).astype(np.int32)
-                hashes = vocab_hashes(words.vocab.filter(pa.array(used)))
+                hashes = word_hashes(words.vocab.filter(pa.array(used)))
                 row = [number, doc_ids.to_pylist(), held.to_pylist(), lengths, zlib.compress(new[words.ids].astype("<i4").tobytes(), 1), hashes.tobytes(), len(words.ids) + len(texts)]
                 types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], [c.split()[0] for c in CHUNK.split(", ")])
@@ -65,6 +65,15 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), held.alias("held"), "text").mapInArrow(run, CHUNK)
 
 
+def word_hashes(vocab: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each distinct word: mixed (place, byte) numbers summed and mixed again."""
+    raw, offsets = text_bytes(vocab)
+    place = np.arange(len(raw)) - np.repeat(offsets[:-1], np.diff(offsets))
+    mixed = mix64((place.astype(np.uint64) << np.uint64(8) | raw) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
+    return mix64(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
+
+
 @dataclass
 class Automaton:
     """States are contexts; arcs: sorted state * symbols + symbol, with log10 probability and next state.
@@ -120,7 +129,7 @@ class Automaton:
 def build_automaton(heads: list[str], own: np.ndarray, pairs: dict[tuple[int, int], int], triples: dict[tuple[int, int, int], int]) -> Automaton:
     """The whole automaton, from the events' own probabilities (by symbol) and the counts of all symbol pairs and triples.
 
-    The plain definition of the model, for small corpora; `chunk_automaton` builds the part of it that a chunk uses.
+    The plain definition of the model, for small corpora; `chunk_scores` follows the part of it that a chunk uses.
     """
     other, symbols = len(heads), len(heads) + 3
     state_of: dict[tuple[int, ...], int] = {(): 0}
@@ -202,14 +211,19 @@ def grams_of(row: dict) -> Grams:
     return Grams(hashes, symbol, offsets, np.repeat(learn, lengths + 1), int(learn.sum()), pairs, pair_at, triples, triple_at, later)
 
 
-def keys_of(g: Grams) -> list[np.ndarray]:
-    """Keys of all symbols, pairs and triples; the lowest two bits are the order, 0 for symbols that are no words."""
+def key_bits(tokens: int) -> int:
+    """Bits of an n-gram's hash: at any size of the corpus, about one key in a million or fewer clashes."""
+    return min(62, max(48, tokens.bit_length() + 20))
+
+
+def keys_of(g: Grams, bits: int) -> list[np.ndarray]:
+    """Keys of all symbols, pairs and triples: a hash of so many bits, then two bits for the order, 0 for symbols that are no words."""
     step = np.uint64(0x9E3779B97F4A7C15)
     one = np.concatenate([g.hashes, np.array([1, 2, 3], np.uint64)])
     two = mix64(mix64(one[g.pairs // g.symbols] + step) + one[g.pairs % g.symbols])
     three = mix64(mix64(two[g.triples // g.symbols] + step) + one[g.triples % g.symbols])
     order = np.array([1] * len(g.hashes) + [0] * 3, np.uint64)
-    return [(k >> np.uint64(2) << np.uint64(2)) | o for k, o in ((mix64(one + step), order), (two, np.uint64(2)), (three, np.uint64(3)))]
+    return [(k >> np.uint64(64 - bits) << np.uint64(2)) | o for k, o in ((mix64(one + step), order), (two, np.uint64(2)), (three, np.uint64(3)))]
 
 
 def counts_of(g: Grams) -> list[np.ndarray]:
@@ -232,11 +246,11 @@ def unpack(data: bytes, size: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def deal(number: int, keys: np.ndarray, values: list[np.ndarray], parts: int) -> pa.RecordBatch:
+def deal(number: int, keys: np.ndarray, values: list[np.ndarray], parts: int, bits: int) -> pa.RecordBatch:
     """A chunk's keys and the values to sum, in one block for each range of keys."""
     order = np.argsort(keys)
     keys, values = keys[order], [v[order] for v in values]
-    edges = np.arange(1, parts, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // parts)
+    edges = np.arange(1, parts, dtype=np.uint64) * np.uint64(((4 << bits) - 1) // parts)
     bounds = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
     rows = [(p, a, b) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
     return pa.RecordBatch.from_arrays(
@@ -313,31 +327,34 @@ def successors(g: Grams, counted: list[np.ndarray]) -> tuple[np.ndarray, list[np
     return ask, out
 
 
-def chunk_automaton(g: Grams, counts: list[np.ndarray], kinds: np.ndarray, own: np.ndarray, d2: np.ndarray, d3: np.ndarray) -> Automaton:
-    """The states and arcs that a chunk's texts use; `kinds` has the numbers of successors of all its symbols and pairs.
+def chunk_scores(g: Grams, counts: list[np.ndarray], kinds: np.ndarray, own: np.ndarray, d2: np.ndarray, d3: np.ndarray) -> np.ndarray:
+    """log10 probability of each of a chunk's texts; `kinds` has the numbers of successors of all its symbols and pairs.
 
-    The state of symbol x is 1 + x, that of pair p is 1 + symbols + p.
+    The states that its texts pass are its words, its pairs and the start, where they were counted; else the root. A state and the
+    symbol read there are a pair or a triple of the chunk, so the failure arcs from a state to an arc of that symbol (or to the root's) are
+    followed once for each of these, with the shorter state's way known before the longer one's. The texts are then read from left
+    to right: the state that two symbols lead to is the one in which the next is read.
     """
     s, (one, two, three) = g.symbols, counts
     a, b = g.pairs // s, g.pairs % s
+    ctx, c = g.triples // s, g.triples % s
+    shorter = np.zeros(len(g.triples), np.int64)  # the pair that ends a triple
+    shorter[g.triple_at] = g.pair_at[g.later]
     left_one = kinds[:, :s].T @ d2[1:] / np.maximum(one, 1)
     left_two = kinds[:, s:].T @ d3[1:] / np.maximum(two, 1)
+    fail_one = np.where(one > 0, np.log10(np.maximum(left_one, 1e-12)), 0.0)
+    fail_two = np.where(two > 0, np.log10(np.maximum(left_two, 1e-12)), 0.0)
+    log_own = np.log10(own)
+    near = (two - d2[np.minimum(two, 3)]) / np.maximum(one, 1)[a] + left_one[a] * own[b]
+    t = np.flatnonzero(three)
+    deep = (three[t] - d3[np.minimum(three[t], 3)]) / two[ctx[t]] + left_two[ctx[t]] * near[shorter[t]]
     with np.errstate(divide="ignore"):
-        prob = (two - d2[np.minimum(two, 3)]) / np.maximum(one[a], 1) + left_one[a] * own[b]
-        near = np.where(two > 0, prob, 0.0)
-        ctx, c = g.triples // s, g.triples % s
-        inner = b[ctx] * s + c
-        shorter = np.minimum(np.searchsorted(g.pairs, inner), len(g.pairs) - 1)  # always there: it stands in the same text
-        deep = (three - d3[np.minimum(three, 3)]) / np.maximum(two[ctx], 1) + left_two[ctx] * near[shorter]
-        state = np.where((two > 0) & (b != s - 1), 1 + s + np.arange(len(two)), 0)
-        word = np.where((one > 0) & (np.arange(s) < s - 3), 1 + np.arange(s), 0)
-        p, t = two > 0, three > 0
-        arcs = np.concatenate([(1 + a[p]) * s + b[p], (1 + s + ctx[t]) * s + c[t], [-1] * (not p.any())]).astype(np.int64)
-        logp = np.log10(np.concatenate([prob[p], deep[t], [1.0] * (not p.any())]))
-    target = np.concatenate([state[p], state[shorter[t]], [0] * (not p.any())]).astype(np.int64)
-    fail = np.concatenate([np.zeros(1 + s, np.int64), word[b]])
-    weight = np.log10(np.maximum(np.concatenate([[1.0], left_one, left_two]), 1e-12))
-    return Automaton(range(s - 3), arcs, logp, target, fail, weight, word, s - 1 if one[s - 2] else 0)
+        in_word = np.where(two > 0, np.log10(near), fail_one[a] + log_own[b])  # read in the state of one word, or in the root
+    in_pair = fail_two[ctx] + in_word[shorter]
+    in_pair[t] = np.log10(deep)
+    at = in_word[g.pair_at]
+    at[g.later] = in_pair[g.triple_at]
+    return sums_by_row(at, g.offsets)
 
 
 def per_row(work: Callable[[dict], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -364,20 +381,20 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     chunks = materialize(chunk_table(docs), "lm-chunks")
     got = chunks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    ends, parts = got[0], max(1, -(-2 * got[1] // RANGE))
+    ends, parts, bits = got[0], max(1, -(-2 * got[1] // RANGE)), key_bits(got[1])
 
     def send_counts(row: dict) -> pa.RecordBatch:
         g = grams_of(row)
-        return deal(row["chunk"].as_py(), np.concatenate(keys_of(g)), [np.concatenate(counts_of(g))], parts)
+        return deal(row["chunk"].as_py(), np.concatenate(keys_of(g, bits)), [np.concatenate(counts_of(g))], parts, bits)
 
     def counted_of(row: dict, g: Grams, keys: list[np.ndarray]) -> list[np.ndarray]:
         return np.split(answers(row["counts"], np.concatenate(keys), 1)[0], np.cumsum([len(k) for k in keys])[:2])
 
     def send_successors(row: dict) -> pa.RecordBatch:
         g = grams_of(row)
-        keys = keys_of(g)
+        keys = keys_of(g, bits)
         ask, values = successors(g, counted_of(row, g, keys))
-        return deal(row["chunk"].as_py(), np.concatenate(keys[:2])[ask], values, parts)
+        return deal(row["chunk"].as_py(), np.concatenate(keys[:2])[ask], values, parts, bits)
 
     by_chunk = lambda rows, name: rows.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "size", "sums")).alias(name))
     sums = settle(sum_blocks(chunks.mapInArrow(per_row(send_counts), BLOCK), True), "lm-counts")
@@ -397,7 +414,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def finish(row: dict) -> pa.RecordBatch:
         g = grams_of(row)
-        keys = keys_of(g)
+        keys = keys_of(g, bits)
         counted = counted_of(row, g, keys)
         ask, _ = successors(g, counted)
         counts = [c >> 1 for c in counted]
@@ -406,10 +423,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
         kinds[:, ask] = answers(row["kinds"], np.concatenate(keys[:2])[ask], 3)
         count, own = counts[0], own_of(counts[0])
         count[-1], own[-1] = ends, end_own
-        model = chunk_automaton(g, counts, kinds, own, d2, d3)
+        score = chunk_scores(g, counts, kinds, own, d2, d3)
         base = sums_by_row(np.log10((count[g.symbol] + 1) / (n + v + 1)), g.offsets)
         length = np.diff(g.offsets)
-        values = [row["doc_ids"].values, row["held"].values, length, sums_by_row((count[g.symbol] > 0).astype(np.int64), g.offsets), np.full(len(length), n), base, model.read(g.symbol, np.log10(own)[g.symbol], g.offsets)]
+        values = [row["doc_ids"].values, row["held"].values, length, sums_by_row((count[g.symbol] > 0).astype(np.int64), g.offsets), np.full(len(length), n), base, score]
         return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(values, types, strict=True)], names)
 
     out = known.join(by_chunk(kinds_, "kinds"), "chunk", "left")
