@@ -12,7 +12,7 @@ broadcast. Texts are cut into chunks whose words are dictionary-coded once. A ch
 sorted block of 64-bit keys (hashes) and counts for each range of keys; the task of a range sums its blocks and answers
 each block in its order, so a chunk receives the counts of the n-grams it uses. One chunk of those that hold an n-gram is told to count it among the
 successors of its context, and these numbers are summed in the same way. Each chunk is then read by the part of the automaton that its texts use.
-There are as many ranges as keep each near RANGE keys; n-grams whose hashes of 48 to 62 bits clash share a count.
+Chunks and their counts are written in buckets of chunks, so joins do not shuffle them. There are as many ranges as keep each near RANGE keys; n-grams whose hashes of 48 to 62 bits clash share a count.
 
 Defined results: null and empty texts are one end token. A null doc_id is not held out. With nothing to learn from, the base score
 is 0 a token and the end and the unknown word have half of all probability each. Rows are handled one by one, repeats alike.
@@ -21,17 +21,19 @@ Extra columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, split_words, sums_by_row, text_bytes, text_slices
+from .common import materialize, mix64, remove, shared_dir, split_words, sums_by_row, text_bytes, text_slices, written
 from .kneser_ney import discounts
 
 #: Keys (of words, pairs and triples, once for each chunk) that one task sums at a time.
@@ -366,20 +368,33 @@ def per_row(work: Callable[[dict], pa.RecordBatch]) -> Callable[[Iterator[pa.Rec
     return run
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """`materialize`, after which Spark deletes the shuffle files of the write, which nothing reads again."""
-    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(name, "false")
-    conf.set(name, "true")
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of what is written meanwhile, which nothing reads again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
     try:
-        return materialize(df, label)
+        yield
     finally:
-        conf.set(name, before)
+        spark.conf.set(name, before)
+
+
+def by_chunk(df: DataFrame, label: str) -> DataFrame:
+    """`materialize` in buckets of `chunk`, so that joins on it do not shuffle these rows. The table's name is dropped at once, its files stay."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    chunks = materialize(chunk_table(docs), "lm-chunks")
+    spark = docs.sparkSession
+    chunks = by_chunk(chunk_table(docs), "lm_chunks")
     got = chunks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     ends, parts, bits = got[0], max(1, -(-2 * got[1] // RANGE)), key_bits(got[1])
 
@@ -396,13 +411,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
         ask, values = successors(g, counted_of(row, g, keys))
         return deal(row["chunk"].as_py(), np.concatenate(keys[:2])[ask], values, parts, bits)
 
-    by_chunk = lambda rows, name: rows.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "size", "sums")).alias(name))
-    sums = settle(sum_blocks(chunks.mapInArrow(per_row(send_counts), BLOCK), True), "lm-counts")
-    stats = np.zeros((3, 6), np.int64)
-    for r in sums.where("chunk < 0").select("sums").toLocalIterator():
-        stats += np.array([np.frombuffer(b, "<i8") for b in r.sums])
-    known = settle(chunks.join(by_chunk(sums, "counts"), "chunk"), "lm-known")
-    kinds_ = settle(sum_blocks(known.mapInArrow(per_row(send_successors), BLOCK), False), "lm-kinds")
+    gathered = lambda rows, name: rows.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "size", "sums")).alias(name))
+    with cleaned(spark), written() as paths:
+        sums = materialize(sum_blocks(chunks.mapInArrow(per_row(send_counts), BLOCK), True), "lm-sums")
+        stats = np.zeros((3, 6), np.int64)
+        for r in sums.where("chunk < 0").select("sums").toLocalIterator():
+            stats += np.array([np.frombuffer(b, "<i8") for b in r.sums])
+        known = chunks.join(by_chunk(gathered(sums, "counts"), "lm_counts").hint("merge"), "chunk")
+        remove(spark, paths)
+    with cleaned(spark):
+        kinds_ = materialize(sum_blocks(known.mapInArrow(per_row(send_successors), BLOCK), False), "lm-kinds")
     n, v = int(stats[0, 5]) + ends, int(stats[0, 4]) + (ends > 0)
     d, d2, d3 = (np.array(discounts(*map(int, row[:4]))) for row in stats)
     seen = [stats[0, 0], stats[0, 1], stats[0, 4] - stats[0, 0] - stats[0, 1]]
@@ -429,5 +447,5 @@ def score_documents(docs: DataFrame) -> DataFrame:
         values = [row["doc_ids"].values, row["held"].values, length, sums_by_row((count[g.symbol] > 0).astype(np.int64), g.offsets), np.full(len(length), n), base, score]
         return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(values, types, strict=True)], names)
 
-    out = known.join(by_chunk(kinds_, "kinds"), "chunk", "left")
+    out = known.join(gathered(kinds_, "kinds").hint("merge"), "chunk", "left")
     return out.mapInArrow(per_row(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
