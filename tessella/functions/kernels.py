@@ -141,7 +141,7 @@ def checkerboard(x: np.ndarray, size: int = 512, hop: int = 128) -> float:
     m = m[:, int(m.shape[1] * 0.4) :]
     if min(m.shape) < 16:
         return 0.0
-    p = np.abs(np.fft.fftshift(np.fft.fft2(m - m.mean()))) ** 2
+    p = np.abs(np.fft.fftshift(np.fft.fft2(m - m.mean())))
     corner = sum(p[a, b].sum() for a in (slice(0, 4), slice(-4, None)) for b in (slice(0, 4), slice(-4, None)))
     return float(corner / max(p.sum(), 1e-12))
 

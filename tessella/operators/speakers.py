@@ -12,22 +12,25 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unit(v: Column) -> Column:
     """The vector at length one; unchanged if its length is 0."""
-    size = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(x))
+    size = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x))
+    return bound(v, lambda w: bound(size(w), lambda n: F.transform(w, lambda x: F.when(n > 0, x / n).otherwise(x))))
 
 
-def enroll(samples: DataFrame, per_fold: int | None = None) -> DataFrame:
+def enroll(samples: DataFrame) -> DataFrame:
     """(speaker_id, sample_count, voiceprint) from (speaker_id, sample_no, embedding).
 
     Each sample moves the voiceprint to unit((v * n + e) / (n + 1)). The fold depends on the order, so a speaker's
-    samples meet in one task; they are enrolment recordings of one person, a few at most. `per_fold` keeps only the first ones.
+    samples meet in one task; they are enrolment recordings of one person.
     """
     ordered = F.array_sort(F.collect_list(F.struct("sample_no", "embedding")))
     got = samples.groupBy("speaker_id").agg(ordered.alias("s"))
-    if per_fold:
-        got = got.withColumn("s", F.slice("s", 1, per_fold))
     empty = F.struct(F.lit(0.0).alias("n"), F.array().cast("array<double>").alias("v"))
 
     def step(a: Column, x: Column) -> Column:

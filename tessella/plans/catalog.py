@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import evaluation, features, frames, levels, perturbation, segments, speakers, spectra
-from ..schema import FEATURE_NAMES
 from ..sources import adapters
 from . import scoring
 
@@ -24,6 +23,8 @@ ORACLE_SQL: dict[str, str] = {}
 SIZE, HOP = 8, 4
 BINS, RATE = 64, 16000.0
 WINDOW, STEP, LEAST, CELL = 24, 8, 4, 64
+#: Level over which a frame of these recordings is speech; about four frames in ten are.
+SPEECH_DB = -20
 
 
 def query(sql: str | None = None):
@@ -179,11 +180,11 @@ def adaptive_threshold(spark, sf):
 
 
 def _flags(spark, sf):
-    return _levels(spark, sf).select("recording_id", "frame_idx", (F.col("db") > -8).alias("is_speech"))
+    return _levels(spark, sf).select("recording_id", "frame_idx", (F.col("db") > SPEECH_DB).alias("is_speech"))
 
 
 # an independent statement of the smoothing: neighbours of each silent frame, then of each filled burst
-HANGOVER = """fl AS (SELECT recording_id, frame_idx, db > -8 AS s FROM lv),
+HANGOVER = f"""fl AS (SELECT recording_id, frame_idx, db > {SPEECH_DB} AS s FROM lv),
  nb AS (SELECT *, max(CASE WHEN s THEN frame_idx END) OVER (PARTITION BY recording_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS a,
   min(CASE WHEN s THEN frame_idx END) OVER (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM fl),
  fi AS (SELECT recording_id, frame_idx, s OR (a IS NOT NULL AND b IS NOT NULL AND b - a - 1 <= 2) AS s FROM nb),
@@ -466,13 +467,12 @@ def vocal_tract(spark, sf):
     return r6(adapters.table(spark, sf, "events").select("event_id", spacing.alias("dispersion"), cm.alias("tract_cm")))
 
 
-@query("""WITH b AS (SELECT label, b AS j, floor(abs(CAST(embedding[b + 1] AS DOUBLE)) * 20000) AS f FROM embeddings, range(8) t(b) WHERE vec_id < 200), a AS (SELECT label, f FROM b WHERE f BETWEEN 200 AND 5000),
+@query("""WITH b AS (SELECT label, b AS j, floor(abs(CAST(embedding[b + 1] AS DOUBLE)) * 20000) AS f FROM embeddings, range(64) t(b)), a AS (SELECT label, f FROM b WHERE f BETWEEN 200 AND 5000),
  r AS (SELECT label, f, row_number() OVER (PARTITION BY label ORDER BY f) AS k FROM a) SELECT label, max(CASE WHEN k = 1 THEN f END) AS f1, max(CASE WHEN k = 2 THEN f END) AS f2, max(CASE WHEN k = 3 THEN f END) AS f3, max(CASE WHEN k = 4 THEN f END) AS f4 FROM r GROUP BY 1""")
 def formant_pick(spark, sf):
     """The four lowest candidate frequencies in range, from an array of them."""
-    v = F.slice(F.col("embedding").cast("array<double>"), 1, 8)
-    found = F.transform(v, lambda x: F.floor(F.abs(x) * 20000).cast("double"))
-    rows = adapters.table(spark, sf, "embeddings").where("vec_id < 200").select("label", F.filter(found, lambda f: f.between(200, 5000)).alias("f"))
+    found = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(F.abs(x) * 20000).cast("double"))
+    rows = adapters.table(spark, sf, "embeddings").select("label", F.filter(found, lambda f: f.between(200, 5000)).alias("f"))
     low = rows.groupBy("label").agg(F.flatten(F.collect_list(F.slice(F.sort_array("f"), 1, 4))).alias("f")).select("label", F.slice(F.sort_array("f"), 1, 4).alias("f"))
     return low.select("label", *[F.get("f", F.lit(k)).alias(f"f{k + 1}") for k in range(4)])
 
@@ -528,7 +528,7 @@ def normalizer_fit(spark, sf):
     return r6(features.fit_normalizer(adapters.table(spark, sf, "events").select(F.col("event_type").alias("feature"), "value")))
 
 
-ENROLL = """s AS (SELECT 'spk_' || label AS speaker_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings QUALIFY k <= 5),
+ENROLL = """s AS (SELECT 'spk_' || label AS speaker_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
  u AS (SELECT speaker_id, k, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM s),
  en AS (WITH RECURSIVE r AS (SELECT speaker_id, k, e AS v FROM u WHERE k = 1 UNION ALL
   SELECT speaker_id, k, list_transform(w, lambda x: x / sqrt(list_sum(list_transform(w, lambda y: y * y)))) AS v FROM (SELECT u.speaker_id, u.k, list_transform(list_zip(r.v, u.e), lambda p: (p[1] * r.k + p[2]) / (r.k + 1)) AS w FROM r JOIN u ON u.speaker_id = r.speaker_id AND u.k = r.k + 1))
@@ -536,7 +536,7 @@ ENROLL = """s AS (SELECT 'spk_' || label AS speaker_id, row_number() OVER (PARTI
 
 
 def _registry(spark, sf):
-    return speakers.enroll(adapters.voiceprints(spark, sf), per_fold=5)
+    return speakers.enroll(adapters.voiceprints(spark, sf))
 
 
 @query(f"WITH {ENROLL} SELECT speaker_id, sample_count, round(voiceprint[1], 6) + 0.0 AS v0, round(voiceprint[64], 6) + 0.0 AS v63, round(list_sum(list_transform(voiceprint, lambda x: x * x)), 6) AS norm FROM en")
@@ -780,9 +780,3 @@ def verify_recordings(spark, sf):
     unsure = (F.col("probability") >= 0.45) & (F.col("probability") < 0.75)
     out = got.withColumn("probability", p).withColumn("verdict", F.when(F.col("speech") < 0.05, "NO_SPEECH").when(unsure, "UNCERTAIN").when(F.col("probability") >= 0.75, "SYNTHETIC").otherwise("REAL"))
     return r6(out.select("recording_id", "chunks", "speech", "probability", "verdict"))
-
-
-@query("SELECT CAST(count(*) AS BIGINT) AS n_features FROM (SELECT 1 FROM range(60))")
-def service_stats(spark, sf):
-    """Size of the feature schema, as the health report gives it."""
-    return spark.createDataFrame([(n,) for n in FEATURE_NAMES], "name string").agg(F.count("*").alias("n_features"))

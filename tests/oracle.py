@@ -35,7 +35,7 @@ def rows_of(columns, rows):
 
 def close(a, b):
     if isinstance(a, float) and isinstance(b, float):
-        return math.isclose(a, b, rel_tol=1e-9, abs_tol=2e-6)
+        return math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-9)  # both are rounded to six places
     if isinstance(a, tuple) and isinstance(b, tuple):
         return len(a) == len(b) and all(map(close, a, b))
     return a == b
