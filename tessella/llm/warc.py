@@ -20,6 +20,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -35,8 +36,12 @@ BLOCK = 1 << 20
 ARCHIVE_BYTES = 256 << 20
 LEVEL = 5
 NEWLINE = b"\r\n"
-#: The field names of the format, and two of our own that carry table keys.
+#: The field names of the format, and our own that carry table keys.
 PAGE, REFERS, SIZE = "X-Page-Id", "X-Refers-To-Page-Id", "X-Payload-Length"
+#: Our own field for a url that is no well-formed URI, percent-encoded throughout; marks that stand in URIs as they are.
+URL, URI_MARKS = "X-Url", "!#$%&'()*+,/:;=?@[]~"
+#: Parts into which the rows of one digest are dealt.
+SALTS = 16
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
@@ -50,7 +55,9 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     block = http if revisit else http + payload
     fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", "2020-01-01T00:00:00Z")]
     if url is not None:
-        fields.append(("WARC-Target-URI", "".join(url.splitlines())))
+        fields.append(("WARC-Target-URI", quote(url, URI_MARKS)))
+        if quote(url, URI_MARKS) != url:
+            fields.append((URL, quote(url, "")))
     fields += [("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()), ("Content-Type", "application/http; msgtype=response")]
     if revisit:
         fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), (REFERS, str(refers_to))]
@@ -69,18 +76,28 @@ def parse_head(head: bytes) -> dict[str, str]:
 
 
 def inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """Inflated bytes of a gzip file, whether it is one stream or many members."""
-    machine = zlib.decompressobj(31)
+    """Inflated bytes of a gzip file, whether it is one stream or many members, in parts of at most BLOCK bytes.
+
+    Zero bytes after a member are padding; a stream that is cut off raises ValueError.
+    """
+    machine = None
     for chunk in chunks:
         while chunk:
-            if machine.eof:
+            if machine is None:
+                chunk = chunk.lstrip(b"\0")
+                if not chunk:
+                    break
                 machine = zlib.decompressobj(31)
-            if part := machine.decompress(chunk):
+            if part := machine.decompress(chunk, BLOCK):
                 yield part
-            chunk = machine.unused_data if machine.eof else b""
-    if not machine.eof:
-        if part := machine.flush():
-            yield part
+            chunk = machine.unconsumed_tail
+            if machine.eof:
+                chunk, machine = machine.unused_data, None
+    while machine is not None and not machine.eof:  # what is inflated may still be held back by BLOCK
+        part = machine.decompress(b"", BLOCK)
+        if not part:
+            raise ValueError("the gzip stream is cut off")
+        yield part
 
 
 def split_records(parts: Iterator[bytes]) -> Iterator[bytes]:
@@ -109,6 +126,13 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def put(store: fs.FileSystem, scratch: str, path: str) -> None:
+    """Give a finished file its name, in place of the same file of an earlier attempt."""
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        store.delete_file(path)
+    store.move(scratch, path)
+
+
 def read_blocks(store: fs.FileSystem, path: str) -> Iterator[bytes]:
     with store.open_input_stream(path, compression=None) as f:
         while block := f.read(BLOCK):
@@ -118,15 +142,15 @@ def read_blocks(store: fs.FileSystem, path: str) -> Iterator[bytes]:
 def mark_duplicates(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, html, digest and refers_to (null for responses).
 
-    Only digests that occur more than once are joined back; where these are few, Spark sends them to
-    all executors, else both sides are shuffled and a hot digest's rows can be split.
+    Only digests that occur more than once are joined back, each in SALTS copies, so that a hot digest's rows are dealt to as many tasks.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     large = rows.where(F.octet_length("html") >= least)
     last = large.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
-    last = materialize(last, "warc-duplicates")
-    return rows.join(last, "digest", "left").select("page_id", "url", "html", "digest", F.when(~F.col("last").eqNullSafe(F.col("page_id")), F.col("last")).alias("refers_to"))
+    last = materialize(last, "warc-duplicates").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    return salted.join(last, ["digest", "salt"], "left").select("page_id", "url", "html", "digest", F.when(~F.col("last").eqNullSafe(F.col("page_id")), F.col("last")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST, limit: int = ARCHIVE_BYTES) -> DataFrame:
@@ -146,7 +170,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, limit: int
             out.write(machine.flush())
             out.close()
             name = f"part-{task.partitionId():06d}-{len(done):04d}.warc.gz"
-            store.move(scratch, f"{base}/{name}")
+            put(store, scratch, f"{base}/{name}")
             done.append((name, count))
             out = None
 
@@ -192,8 +216,8 @@ def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
                         offset += len(member)
                 with into.open_output_stream(scratch + ".idx", compression=None) as out:
                     out.write("".join(lines).encode())
-                into.move(scratch, f"{folder}/{name}")
-                into.move(scratch + ".idx", f"{folder}/{name}.idx")
+                put(into, scratch, f"{folder}/{name}")
+                put(into, scratch + ".idx", f"{folder}/{name}.idx")
                 counts.append(len(lines))
             yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(counts, pa.int64())], ["name", "records"])
 
@@ -214,7 +238,8 @@ def read_record(member: bytes) -> tuple:
         if (len(payload), hashlib.sha1(payload).hexdigest()) != (size, digest):
             raise ValueError(f"payload differs from its header: {head['WARC-Record-ID']}")
     number = lambda key: int(head[key]) if key in head else None
-    return number(PAGE), head.get("WARC-Target-URI"), size, digest, head["WARC-Type"], number(REFERS)
+    url = unquote(head[URL]) if URL in head else head.get("WARC-Target-URI")
+    return number(PAGE), url, size, digest, head["WARC-Type"], number(REFERS)
 
 
 def read_archives(archives: DataFrame, folder: str, rows: int = 2000) -> DataFrame:

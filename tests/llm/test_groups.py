@@ -3,6 +3,8 @@
 import hashlib
 import re
 import string
+import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -10,7 +12,9 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tessella.llm import bpe, decontaminate, html, simhash, warc
+from tessella.llm import bpe, decontaminate, html, queries, simhash, warc
+
+from ..oracle import connect, difference
 
 
 def fold(text):
@@ -186,6 +190,33 @@ def test_html_template_learns_slots_without_known_names():
     assert html.extract(html.parse(page.format(n=9)), again) == "body 9 text\n\nmore 9"
 
 
+def test_html_deep_and_broken_pages_take_linear_time():
+    deep = "<div>" * 5000 + "<p>inside</p>" + "</div>" * 5000
+    t = html.Template()
+    for _ in range(3):
+        t.add_page(html.parse(deep))
+    assert html.extract(html.parse(deep), t) == "inside"
+
+    def took(n):
+        began = time.process_time()
+        for broken in ("<p>text</p>" + "<a " * n, "<p>text</p>" + "<a '>" * n, "<p>text" + "<i>" * n + "</b>" * n, "<p>text</p><a title=\"" + "x<b>" * n):
+            assert html.by_names(html.parse(broken)).startswith("text")
+        return time.process_time() - began
+
+    took(1000)
+    assert took(40_000) < 25 * max(took(4000), 0.02)
+
+
+def test_html_article_keeps_headline_and_lead_beside_the_body():
+    page = "<body><div class=top>Same</div><article><h1>Title {n}</h1><div class=lead>Lead {n}</div><div class=body><p>{n} long</p><p>{n} text " + "word " * 50 + "</p></div></article></body>"
+    plain = page.replace("article", "section").replace("<div class=lead>Lead {n}</div>", "<h2>Lead {n}</h2>")
+    for shape in (page, plain):
+        t = html.Template()
+        for n in range(4):
+            t.add_page(html.parse(shape.format(n=n)))
+        assert html.extract(html.parse(shape.format(n=7)), t).split("\n\n")[:3] == ["Title 7", "Lead 7", "7 long"]
+
+
 def test_html_on_the_table(spark, sf):
     import html as entities
 
@@ -228,6 +259,28 @@ def test_warc_records_survive_any_split():
         list(warc.split_records(iter([records[0][:-10]])))
 
 
+def test_warc_inflates_in_bounded_parts_and_notices_damage():
+    data = zlib.compress(b"a" * (60 << 20), 9, 31)
+    sizes = [len(p) for p in warc.inflate(iter([data]))]
+    assert sum(sizes) == 60 << 20 and max(sizes) <= warc.BLOCK
+    record = warc.make_record(1, "u", b"p", hashlib.sha1(b"p").hexdigest(), False, None)
+    whole = zlib.compress(record, 5, 31)
+    assert list(warc.split_records(warc.inflate(iter([whole + b"\0" * 512, b"\0\0" + whole])))) == [record, record]
+    for cut in (len(whole) - 8, len(whole) - 4, len(whole) // 2):
+        with pytest.raises(ValueError):
+            list(warc.split_records(warc.inflate(iter([whole[:cut]]))))
+
+
+def test_warc_keeps_odd_urls():
+    for url in ("http://h/a b", "x\r\ny", "é\u2028", "http://h/%20?q=1#f", " lead: x ", ""):
+        record = warc.make_record(1, url, b"p", hashlib.sha1(b"p").hexdigest(), False, None)
+        assert warc.read_record(zlib.compress(record, 5, 31))[1] == url
+
+
+def test_warc_equals_its_sql(spark, sf):
+    assert difference(queries.QUERIES["op9_warc_normaliser"](spark, sf), connect(sf), queries.ORACLE_SQL["op9_warc_normaliser"]) is None
+
+
 def test_pipeline_stages(spark, sf):
     """Each stage works on what its predecessor kept; kept ids follow from the operators' own plain versions."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
