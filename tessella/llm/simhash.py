@@ -1,9 +1,10 @@
 """SimHash near-dedup with pivot distance tables.
 
 A fingerprint holds a bit where over half of the XXH64 hashes of a text's word shingles hold it.
-Two fingerprints link if at most `radius` bits differ. Every fingerprint's Hamming distances to
-PIVOTS reference fingerprints are precomputed; a pair whose distances to any pivot differ by more
-than `radius` cannot link and is discarded, and the pairs that are left are verified bit by bit.
+Two fingerprints link if at most `radius` bits differ. Of the fingerprints that meet, the Hamming distances to
+PIVOTS reference fingerprints are computed first; they are sorted by one of these distances, and a pair whose distances
+to any pivot differ by more than `radius` cannot link and is discarded; the pairs that are left are verified bit by bit.
+Distances to a pivot lie within a few bits of 32, so they are too alike to say which fingerprints meet at all.
 
 Which pairs meet at all: 64 bits are dealt into blocks so that a linking pair agrees in some set of
 whole blocks (pigeonhole), and only fingerprints that agree there meet. A larger group is cut into
@@ -120,21 +121,29 @@ def finer_masks(mask: int, radius: int = RADIUS) -> list[int]:
 
 
 def linked(fp: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linking pairs (positions) among rows of equal key; rows are sorted by key."""
+    """Linking pairs (positions) among rows of equal key.
+
+    The rows of a key are sorted by their distance to the pivot that spreads them most, so pairs further apart than `radius` there are
+    never formed; those that are formed must be as near in the distances to all other pivots, and then in their bits.
+    """
     table = np.stack([np.bitwise_count(fp ^ p) for p in PIVOTS]).astype(np.int8)
+    table = table[np.argsort(-table.var(axis=1), kind="stable")]
+    order = np.lexsort((table[0], key))
+    fp, key, table = fp[order], key[order], table[:, order]
     left, right, at = [], [], np.arange(len(fp) - 1)
     for step in range(1, len(fp)):
         at = at[at < len(fp) - step]
-        at = at[key[at] == key[at + step]]  # groups are runs: a row without a partner at this step has none further on
+        # a row without a partner at this step has none further on: groups are runs, and distances ascend in them
+        at = at[(key[at] == key[at + step]) & (table[0, at + step] - table[0, at] <= radius)]
         if not len(at):
             break
         a, b = at, at + step
-        for coordinate in table:
+        for coordinate in table[1:]:
             near = np.abs(coordinate[a] - coordinate[b]) <= radius
             a, b = a[near], b[near]
         close = np.bitwise_count(fp[a] ^ fp[b]) <= radius
-        left.append(a[close])
-        right.append(b[close])
+        left.append(order[a[close]])
+        right.append(order[b[close]])
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
