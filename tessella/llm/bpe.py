@@ -5,7 +5,8 @@ that ends there and is compatible with the last token before it (their merges wo
 boundary). So one pass from left to right carries the last tokens of the latest positions.
 A boundary is stable, and all tokens up to it are emitted, once every position from which a token can still grow
 leads back to it. How far a decision can depend on what follows is bounded by the merge list alone:
-`sufficient_lookahead` computes the bound; held-back bytes never exceed it, and in practice are a few tokens.
+`sufficient_lookahead` computes the bound, a loose one; held-back bytes are checked against it, and in practice are a few tokens.
+Pre-tokens of up to PART bytes, nearly all, are read at once; only longer ones arrive in parts, each byte of which is read a bounded number of times.
 
 Decoding. Ids become bytes, and an incremental state machine turns bytes into text, holding at most an
 unfinished character; ill-formed bytes become U+FFFD as they do in the tokenizers library.
@@ -42,7 +43,7 @@ UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Entries of the memos of pre-tokens and of units (runs of them without white space between); a full memo is emptied.
 MEMO, UNIT_MEMO = 200_000, 150_000
 #: A pre-token longer than this is fed to the transducer in parts.
-PART = 4096
+PART = 512
 #: Pre-tokens up to SHORT bytes are read in step, TOGETHER at a time; longer ones one by one.
 SHORT, TOGETHER = 48, 20_000
 START = -1
@@ -132,6 +133,7 @@ class Tokenizer:
         self.born_of, self.left_of, self.right_of = (np.full(max(self.bytes_of) + 1, -1, np.int64) for _ in range(3))
         for token, (a, b) in self.parts.items():
             self.born_of[token], self.left_of[token], self.right_of[token] = self.born[token], a, b
+        self.held = 0  # bytes that `stream` held back last
         self.memo: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
         size = max(self.bytes_of) + 1
@@ -142,7 +144,7 @@ class Tokenizer:
 
     @property
     def sufficient_lookahead(self) -> int:
-        """Bytes after a boundary that can influence it: each merge can reach at most one longest token further."""
+        """Bytes after a boundary that can influence it: each merge can reach at most one longest token further. `stream` never holds back more."""
         return len(self.rank) * self.longest
 
     def compatible(self, a: int, b: int) -> bool:
@@ -165,13 +167,12 @@ class Tokenizer:
             else:
                 return True
 
-    def last_tokens(self, data: bytes, before: int) -> list[int]:
-        """The last token of each prefix of data, given the token before it."""
+    def last_tokens(self, data: bytes, known: list[int]) -> list[int]:
+        """The last token of each prefix of data. `known`: those of the first prefixes, at least the token before the data."""
         n = len(data)
-        last = [START] * (n + 1)
-        last[0] = before
+        last = known + [START] * (n + 1 - len(known))
         trie, token_at, compatible = self.trie, self.token_at, self.compatible
-        for j in range(n):
+        for j in range(max(0, len(known) - self.longest), n):  # tokens that start earlier end within what is known
             node, here = 0, last[j]
             for k in range(j, n):
                 node = trie.get(node << 8 | data[k])
@@ -191,10 +192,12 @@ class Tokenizer:
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Tokens of one pre-token that arrives in chunks; each is emitted as soon as it is stable."""
-        held, before = b"", START
+        held, last = b"", [START]
         for chunk in chunks:
+            if len(held) > self.sufficient_lookahead:
+                raise AssertionError("more is held back than the merge list needs")
             held += chunk
-            last = self.last_tokens(held, before)
+            last = self.last_tokens(held, last)
             # A token that is still to end starts in the last `longest` bytes; where all their paths meet is stable.
             open_ = set(range(max(0, len(held) - self.longest + 1), len(held) + 1))
             while len(open_) > 1:
@@ -202,15 +205,15 @@ class Tokenizer:
                 open_.discard(far)
                 open_.add(far - len(self.bytes_of[last[far]]) if far else 0)
             stable = open_.pop()
-            out = self._back(last, stable)
-            yield from out
-            before, held = out[-1] if out else before, held[stable:]
-        yield from self._back(self.last_tokens(held, before), len(held))
+            yield from self._back(last, stable)
+            held, last = held[stable:], last[stable:]
+            self.held = len(held)
+        yield from self._back(last, len(held))
 
     def encode_piece(self, data: bytes) -> list[int]:
         if len(data) > PART:
             return list(self.stream(data[k : k + PART] for k in range(0, len(data), PART)))
-        return self._back(self.last_tokens(data, START), len(data))
+        return self._back(self.last_tokens(data, [START]), len(data))
 
     def compatible_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """`compatible` of many pairs."""

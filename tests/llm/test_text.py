@@ -245,6 +245,22 @@ def test_bpe_streams_long_pre_tokens(byte_level, text):
     assert own.encode_pieces([b"hello", b"a", data[:40]]) == [np.array(own.encode_piece(p), "<u4").tobytes() for p in (b"hello", b"a", data[:40])]
 
 
+def test_bpe_holds_back_little_and_reads_in_linear_time(byte_level):
+    own, library = byte_level
+    rng = np.random.default_rng(5)
+    for text in ("".join(rng.choice(list("etaoinshrdlu"), 30_000)), "ab" * 15_000, "".join(rng.choice(list("thean"), 30_000))):
+        most = 0
+
+        def chunks(data=text.encode()):
+            nonlocal most
+            for k in range(0, len(data), 64):
+                most = max(most, own.held)
+                yield data[k : k + 64]
+
+        assert list(own.stream(chunks())) == library.encode(text, add_special_tokens=False).ids
+        assert most <= 4 * own.longest < own.sufficient_lookahead
+
+
 def test_bpe_decoder_holds_unfinished_characters(byte_level):
     own = byte_level[0]
     ids = np.frombuffer(own.encode("\U0001f600é"), "<u4").tolist()
