@@ -98,17 +98,37 @@ def kernel_pitch_accuracy(spark, sf):
  FROM w JOIN s ON s.user_id = w.user_id AND i >= k * 8 AND i < k * 8 + 16 GROUP BY 1, 2""")
 def stream_windows(spark, sf):
     """Packets of ten samples through a stream with state, written to a table and read back."""
+    got = _streamed(spark, sf, None).select("session_id", "window_no", "start_idx", "n", "mean", "peak", "rms")
+    # a mean of 16 values in cents / 500 has seven places at most, so eight hold it exactly and no tie depends on the order of the sum
+    return r6(got.withColumn("exact", F.round("mean", 8).cast("string"))).withColumn("mean", F.col("exact").cast("double")).drop("exact")
+
+
+def _streamed(spark, sf, reset):
+    """Windows that a stream has written, of packets of ten samples; `reset`: a condition on packets."""
     base = folder(spark, "stream")
     s = adapters.signal(spark, sf)
     packets = s.groupBy(F.col("recording_id").cast("string").alias("session_id"), F.floor(F.col("idx") / 10).alias("seq")).agg(F.array_sort(F.collect_list(F.struct("idx", "amp"))).alias("s"))
-    packets = packets.select("session_id", "seq", F.lit(RATE).alias("sample_rate"), F.col("s.amp").alias("samples"))
+    packets = packets.select("session_id", "seq", F.lit(RATE).alias("sample_rate"), F.col("s.amp").alias("samples"), (F.lit(False) if reset is None else reset).alias("reset"))
     packets.write.parquet(f"{base}/packets")
     stream = spark.readStream.schema(packets.schema).parquet(f"{base}/packets")
-    out = windows.hopping_windows(stream, 16, 8)
+    out = windows.hopping_windows(stream, 16, 8, RATE, 4, -20.0)
     run = out.writeStream.format("parquet").option("path", f"{base}/windows").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
-    # a mean of 16 values in cents / 500 has seven places at most, so eight hold it exactly and no tie depends on the order of the sum
-    return r6(spark.read.schema(out.schema).parquet(f"{base}/windows").withColumn("exact", F.round("mean", 8).cast("string"))).withColumn("mean", F.col("exact").cast("double")).drop("exact")
+    return spark.read.schema(out.schema).parquet(f"{base}/windows")
+
+
+@query("""WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value / 500 AS x FROM events), g AS (SELECT user_id, i // 50 AS seg, i % 50 AS j, x FROM s),
+ n AS (SELECT user_id, seg, count(*) AS n FROM g GROUP BY 1, 2), w AS (SELECT user_id, seg, k FROM n, range(10) t(k) WHERE k * 8 + 16 <= n),
+ v AS (SELECT w.user_id, w.seg, k, (j - k * 8) // 4 AS f, x FROM w JOIN g ON g.user_id = w.user_id AND g.seg = w.seg AND j >= k * 8 AND j < k * 8 + 16), f AS (SELECT user_id, seg, k, f, sqrt(avg(x * x)) AS r FROM v GROUP BY 1, 2, 3, 4),
+ q AS (SELECT user_id, seg, k, avg(CAST(20 * log10(greatest(r, 1e-7)) > -20 AS INT)) AS ratio FROM f GROUP BY 1, 2, 3), p AS (SELECT user_id, seg, k, max(x) AS peak, sqrt(avg(x * x)) AS rms FROM v GROUP BY 1, 2, 3),
+ e AS (SELECT *, CASE WHEN ratio = 0 OR peak < 0.015 OR ratio < 0.10 OR 20 * log10(greatest(rms, 1e-7)) < -50 THEN CASE WHEN peak < 0.01 OR 20 * log10(greatest(rms, 1e-7)) < -50 THEN 'silence' ELSE 'non-speech' END ELSE 'pass' END AS gate FROM q JOIN p USING (user_id, seg, k)),
+ b AS (SELECT *, CASE WHEN gate = 'pass' THEN round(1 / (1 + exp(-(8 * peak - 5.2))), 4) ELSE 0 END AS probability FROM e)
+ SELECT CAST(user_id AS VARCHAR) AS session_id, k AS window_no, k * 8 AS start_idx, round(ratio, 6) AS speech_ratio, gate, CAST(probability AS DOUBLE) AS probability,
+ CASE WHEN gate <> 'pass' THEN 'NO_SPEECH' WHEN probability >= 0.75 THEN 'SYNTHETIC' WHEN probability >= 0.45 THEN 'UNCERTAIN' ELSE 'REAL' END AS verdict FROM b""")
+def stream_verdicts(spark, sf):
+    """Sessions that are reset every five packets; each window is gated and scored on its own."""
+    got = windows.fast_lane(_streamed(spark, sf, F.col("seq") % 5 == 0), F.col("peak"))
+    return r6(got.select("session_id", "window_no", "start_idx", "speech_ratio", "gate", "probability", "verdict"))
 
 
 @query("SELECT epoch(time_bucket(INTERVAL 10 MINUTE, ts))::BIGINT AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")

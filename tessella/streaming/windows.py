@@ -6,41 +6,82 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-WINDOWS = "session_id string, window_no long, start_idx long, n int, mean double, peak double, rms double"
-STATE = "held array<double>, next long, rate int"
+from ..functions.kernels import resample
+from ..plans import scoring
 
+WINDOWS = "session_id string, window_no long, start_idx long, n int, mean double, peak double, rms double, speech_ratio double, received_ms double"
+STATE = "held array<double>, next long, rate int, last long"
 
-def hopping_windows(packets: DataFrame, size: int, hop: int) -> DataFrame:
-    """Windows of `size` samples each `hop` samples, of packets (session_id, seq, sample_rate, samples).
 
-    A session's state is the samples that a later window still needs, fewer than size + a packet, whatever the stream's length.
-    A change of rate drops held samples and goes on counting. No tail is emitted. Packets of one batch are taken by seq;
-    NaN and infinite samples become 0.
+def speech_ratio(window: np.ndarray, frame: int, least_db: float) -> float:
+    """Share of the window's whole frames that are louder than `least_db`; 0 without one."""
+    whole = window[: len(window) // frame * frame].reshape(-1, frame)
+    return float((20 * np.log10(np.maximum(np.sqrt((whole * whole).mean(1)), 1e-7)) > least_db).mean()) if len(whole) else 0.0
+
+
+def hopping_windows(
+    packets: DataFrame, size: int, hop: int, target_rate: int | None = None, frame: int = 320, least_db: float = -48.0, idle_minutes: int | None = None
+) -> DataFrame:
+    """Windows of `size` samples each `hop` samples, of packets (session_id, seq, sample_rate, samples), with level and speech ratio.
+
+    A session's state is the samples that a later window still needs, fewer than size + a packet, whatever the stream's length; it is
+    dropped after `idle_minutes` without a packet, if given (such a query goes on until it is stopped). A change of rate drops held samples and goes on counting; a packet with a true
+    `reset` column starts the session anew. No tail is emitted. Packets of one batch are taken by seq, and one whose seq is not above
+    the last one's of an earlier batch is left out; a reset lets any seq follow. NaN and infinite samples become 0. With `target_rate`, each window is resampled to it
+    before it is measured. `received_ms` is that column of the packet that completed the window, if there is one.
     """
+    names = [c.split()[0] for c in WINDOWS.split(", ")]
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, start, rate = state.get if state.exists else ([], 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, start, rate, last = state.get if state.exists else ([], 0, 0, -1)
         held = np.array(held, float)
         rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
-        out = []
-        for sample_rate, samples in zip(rows["sample_rate"], rows["samples"], strict=True):
-            if rate and sample_rate != rate:
+        before, out = last, []
+        for row in rows.to_dict("records"):
+            if row.get("reset"):
+                held, start, before = held[:0], 0, -1
+            elif row["seq"] <= before:
+                continue
+            last = row["seq"]
+            if rate and row["sample_rate"] != rate:
                 held = held[:0]
-            rate = int(sample_rate)
+            rate, samples = int(row["sample_rate"]), row["samples"]
             new = np.array([0.0 if v is None else v for v in samples], float) if samples is not None else np.zeros(0)
             held = np.concatenate([held, np.where(np.isfinite(new), new, 0.0)])
             while len(held) >= size:
-                w = held[:size]
-                out.append((key[0], start // hop, start, size, w.mean(), np.abs(w).max(), np.sqrt((w * w).mean())))
+                w = resample(held[:size], rate, target_rate) if target_rate and target_rate != rate else held[:size]
+                out.append((key[0], start // hop, start, len(w), w.mean(), np.abs(w).max(), np.sqrt((w * w).mean()), speech_ratio(w, frame, least_db), row.get("received_ms")))
                 held, start = held[hop:], start + hop
-        state.update((held.tolist(), start, rate))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in WINDOWS.split(", ")])
+        state.update((held.tolist(), int(start), rate, int(last)))
+        if idle_minutes:
+            state.setTimeoutDuration(idle_minutes * 60_000)
+        if out:
+            yield pd.DataFrame(out, columns=names).astype({"received_ms": float})
+
+    return packets.groupBy("session_id").applyInPandasWithState(step, WINDOWS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_minutes else GroupStateTimeout.NoTimeout)
+
+
+def fast_lane(windows: DataFrame, raw: Column) -> DataFrame:
+    """gate, probability, category and verdict of each emitted window, from its own raw score; what does not pass the gate scores 0. No alert is sent."""
+    db = F.when(F.col("rms") <= 1e-7, -100.0).otherwise(20 * F.log10("rms"))
+    got = windows.withColumn("gate", scoring.stream_gate(F.col("speech_ratio") > 0, F.col("peak"), F.col("speech_ratio"), db))
+    got = got.withColumn("probability", F.when(F.col("gate") == "pass", F.round(scoring.calibrate(raw), 4)).otherwise(0.0))
+    p = F.col("probability")
+    verdict = F.when(F.col("gate") != "pass", "NO_SPEECH").when(p >= 0.75, "SYNTHETIC").when(p >= 0.45, "UNCERTAIN").otherwise("REAL")
+    return got.withColumn("category", scoring.category(p)).withColumn("verdict", verdict)
+
 
-    return packets.groupBy("session_id").applyInPandasWithState(step, WINDOWS, STATE, "append", GroupStateTimeout.NoTimeout)
+def with_latency(windows: DataFrame) -> DataFrame:
+    """Milliseconds from the receipt of the packet that completed a window to now."""
+    now = F.unix_micros(F.current_timestamp()) / 1000.0
+    return windows.withColumn("latency_ms", F.when(F.col("received_ms").isNotNull() & ~F.isnan("received_ms"), F.greatest(now - F.col("received_ms"), F.lit(0.0))))
 
 
 def gated(windows: DataFrame, least_peak: float = 0.015, least_db: float = -50.0) -> DataFrame:
