@@ -74,10 +74,11 @@ def test_quality_rejects_symbol_noise_and_keeps_prose(spark, docs):
 
 
 def plain_perplexities(raw):
-    """The mean negative log10 probability of each text's bytes, from dictionaries of class n-grams, by the definition of the model."""
-    classes = lambda t: [0, 0, 0, *(int(quality.CLASSES[b]) for b in (t or "").encode())]
-    group = lambda r: {"en": 0, "de": 1, "fr": 2, "es": 3}.get(r[2], 4)
-    counts = {g: Counter() for g in range(5)}
+    """Language group and mean negative log10 probability of each text's characters, from dictionaries of class n-grams, by the definition of the model."""
+    classes = lambda t: [0, 0, 0, *(quality.character_class(ord(c)) for c in t or "")]
+    times = Counter(r[2] for r in raw)
+    group = lambda r: r[2] if r[2] and times[r[2]] >= max(quality.MIN_DOCS, quality.MIN_SHARE * len(raw)) else None
+    counts = {group(r): Counter() for r in raw}
     for r in raw:
         n, chars, symbols, _, repeated = base(r[1])
         if n >= 50 and 100 * repeated <= 50 * n and 100 * symbols <= chars:
@@ -99,7 +100,7 @@ def plain_perplexities(raw):
 
         def p(gram):
             if not gram:
-                return 1 / 32
+                return 1 / 64
             level, d, whole, freed = stats[len(gram)]
             n, ctx = level.get(gram, 0), gram[:-1]
             return (n - d[min(n, 3)]) / whole[ctx] + freed[ctx] / whole[ctx] * p(gram[1:]) if whole[ctx] else p(gram[1:])
@@ -110,14 +111,13 @@ def plain_perplexities(raw):
     for r in raw:
         c = classes(r[1])
         out.append(-sum(math.log10(models[group(r)](tuple(c[k : k + 4]))) for k in range(len(c) - 3)) / (len(c) - 3) if r[1] else None)
-    return out
+    return [group(r) for r in raw], out
 
 
 def test_quality_perplexity_and_bands_by_definition(docs, raw):
     got = Counter((r.doc_id, r.kept, None if r.neg_log10_char is None else round(r.neg_log10_char, 6)) for r in quality.quality_report(docs).collect())
-    scores = plain_perplexities(raw)
+    group, scores = plain_perplexities(raw)
     failed = [n < 50 or 100 * repeated > 50 * n for n, _, _, _, repeated in (base(r[1]) for r in raw)]
-    group = [r[2] if r[2] in ("en", "de", "fr", "es") else "other" for r in raw]
     limits = {}
     for g in set(group):
         if own := sorted(s for s, f, x in zip(scores, failed, group, strict=True) if x == g and not f):
@@ -136,11 +136,38 @@ def test_quality_lower_band_rejects_word_salad(spark, docs):
     extra = spark.createDataFrame([(20_000 + k, t, "en") for k, t in enumerate(salad)], "doc_id long, text string, lang string")
     got = quality.quality_report(docs.select("doc_id", "text", "lang").unionByName(extra))
     found = got.where("doc_id >= 20000").collect()
-    typical = got.where("doc_id < 9000 and lang_group = 0 and kept").agg({"neg_log10_char": "min"}).first()[0]
+    typical = got.where("doc_id < 9000 and lang_group = 'en' and kept").agg({"neg_log10_char": "min"}).first()[0]
     assert not any(r.base_failed for r in found)
     assert all(r.neg_log10_char < typical - 0.1 for r in found) and not any(r.kept for r in found)
 
 
+def test_quality_judges_every_script_by_its_own_language(spark):
+    """Prose of made-up Cyrillic and Han languages is kept, the same characters in random order are not; languages in passes give the same rows."""
+    rng = np.random.default_rng(5)
+    rows, salads = [], []
+    for lang, first, size in (("ru", 0x430, 32), ("zh", 0x4E00, 300), ("ru-small", 0x430, 32)):
+        vocab = ["".join(chr(first + k) for k in rng.integers(0, size, rng.integers(2, 7))) for _ in range(150)]
+        for k in range(200 if lang != "ru-small" else 3):
+            rows.append((len(rows), " ".join(vocab[i] for i in rng.integers(0, 150, 120)), lang))
+        if lang != "ru-small":
+            shuffled = ["".join(rng.permutation(list(rows[-1 - k][1].replace(" ", "")))) for k in range(3)]
+            salads += [(10_000 + len(salads) + k, " ".join(t[i : i + 5] for i in range(0, len(t), 5)), lang) for k, t in enumerate(shuffled)]
+    docs = spark.createDataFrame(rows + salads, "doc_id long, text string, lang string")
+    reach = 0.1, 0.15  # in so few texts the salads teach the model themselves
+    report = quality.quality_report(docs, reach=reach)
+    got = {r.doc_id: r for r in report.collect()}
+    assert all(got[i].kept and got[i].lang_group == (lang if lang != "ru-small" else None) for i, _, lang in rows)
+    assert not any(got[i].kept or got[i].base_failed for i, _, _ in salads)
+    assert rows_of(quality.quality_report(docs, reach=reach, limit=1)) == rows_of(report)
+    assert rows_of(quality.filter_documents(docs, reach=reach, limit=1)) == Counter(rows)
+
+
+def test_quality_code_points_are_those_of_the_text():
+    texts = ["", "plain", "née Ωmega Ж 漢字 \U0001f600", "é", ""]
+    codes, offsets = quality.code_points(pa.array(texts))
+    assert codes.tolist() == [ord(c) for t in texts for c in t] and offsets.tolist() == np.cumsum([0, *map(len, texts)]).tolist()
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(1)
     codes, counts = np.unique(rng.integers(0, 1 << 8, 4000) & rng.integers(0, 1 << 8, 4000), return_counts=True)
