@@ -111,7 +111,8 @@ def plain_perplexities(raw):
     models, out = {g: model(c) for g, c in counts.items()}, []
     for r in raw:
         c = classes(r[1])
-        out.append(-sum(math.log10(models[group(r), 1 - fold(r)](tuple(c[k : k + 4]))) for k in range(len(c) - 3)) / (len(c) - 3) if r[1] else None)
+        other = models[group(r), 1 - fold(r)]
+        out.append(-sum(math.log10(other(tuple(c[k : k + 4]))) for k in range(len(c) - 3)) / (len(c) - 3) if r[1] else None)
     return [group(r) for r in raw], out
 
 
