@@ -8,13 +8,14 @@ union agree in MATCHES or more of 64 coordinates but for one pair in three thous
   COORDINATES - MATCHES + 1 of each. Tokens of one document only are of no use, so a document with fewer than MATCHES others is out, and common
   tokens, which would make long lists, are hardly ever in a prefix.
 - Skip: where two documents meet in a list, the other lists are not merged; their agreements are counted on short signatures, a byte for each
-  coordinate, which can only count too many.
+  coordinate, which can only count too many. Sketches of the full sets go with them: a bit of a sketch is the parity of how many members fall
+  there, so equal members cancel out and two sketches cannot differ in more bits than the sets in members.
 - What is left is confirmed on the full sets.
 
-Equal sets are one node throughout. A list does not form all its pairs: every round links its documents to one of them, drawn anew each time, and
-confirmed links make components; documents of one component need no comparing. Once the pairs left between components are few (counted,
-never listed), or rounds stop helping, all of them are compared: the largest component of a list against the others, in blocks. So no link between
-components is lost, and the outcome is that of comparing everybody.
+Equal sets are one node throughout. A list does not form all its pairs: a round links its documents to the one that shares most with others, and
+confirmed links make components; documents of one component need no comparing. Rounds go on, with documents outside a list's largest component,
+as long as a fair share of their pairs turn out to be links. Then all pairs of different components are compared, those outside a list's largest
+component with each other and with it, in blocks. So no link between components is lost, and the outcome is that of comparing everybody.
 
 Sets are written only for documents that were posted. Which these are goes to the tasks as a Bloom filter of fixed size; more documents than it
 holds well make it let others through, and a join drops those.
@@ -27,6 +28,7 @@ doc_id = component_id, and for rows of a component without any id. Extra columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,10 @@ PERCENT = 85
 COORDINATES, MATCHES = 64, 34
 #: Rows that a block of a long list holds.
 BLOCK = 512
-#: Rounds of linking to one document of each list, and pairs left for each posting at which all are compared.
-ROUNDS, FEW = 6, 8
+#: Rounds of linking each list to one document at most, and the share of a round's pairs that must be links for another one.
+ROUNDS, YIELD = 6, 0.1
+#: Bits of the parity sketch of a set.
+PARITY = 1024
 #: Bits of the Bloom filter of posted documents, as a power of two.
 BLOOM = 26
 
@@ -93,108 +97,125 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(row, doc_id, n_shingles, digest, tokens): tokens are null for empty sets."""
+    """(row, doc_id, n_shingles, digest, short, tokens): the last three are null for empty sets; short holds a byte of each token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in text_slices(batch.column("text")):
                 values, offsets = text_sets(texts, shingle)
                 n = np.diff(offsets)
-                flat = pa.array(signatures(values, offsets)[n > 0].view(np.int64).ravel())
+                own = signatures(values, offsets)
+                short = pa.array([x.tobytes() if k else None for x, k in zip(own.astype(np.uint8), n.tolist(), strict=True)], pa.binary())
+                flat = pa.array(own[n > 0].view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n > 0)]) * COORDINATES, pa.int32()), flat, mask=pa.array(n == 0))
-                own = [batch.column(c).slice(start, len(texts)) for c in ("row", "doc_id")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(digests(values, offsets), pa.binary()), lists], ["row", "doc_id", "n_shingles", "digest", "tokens"])
+                ids = [batch.column(c).slice(start, len(texts)) for c in ("row", "doc_id")]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(n), pa.array(digests(values, offsets), pa.binary()), short, lists], ["row", "doc_id", "n_shingles", "digest", "short", "tokens"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "row long, doc_id long, n_shingles long, digest binary, tokens array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, n_shingles long, digest binary, short binary, tokens array<long>")
 
 
 def postings(nodes: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
-    """(token, node): nodes under the tokens of their prefixes; nodes that cannot reach `matches` are out."""
+    """(token, node, popularity): nodes under the tokens of their prefixes, with how often all their tokens are held; nodes that cannot reach `matches` are out."""
     tokens = nodes.select("node", F.explode("tokens").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    held = tokens.join(common, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))  # at most as many as coordinates
+    held = tokens.join(common, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"), F.sum("df").alias("popularity"))  # at most as many as coordinates
     first = F.slice("held", 1, F.size("held") - (matches - 1))
-    return held.where(F.size("held") >= matches).select("node", F.explode(first).alias("entry")).select(F.col("entry.token").alias("token"), "node")
+    rows = held.where(F.size("held") >= matches).select("node", "popularity", F.explode(first).alias("entry"))
+    return rows.select(F.col("entry.token").alias("token"), "node", "popularity")
 
 
-def _short(tokens: str) -> Column:
-    """A byte of each coordinate, as a binary."""
-    return F.unhex(F.concat_ws("", F.transform(tokens, lambda t: F.lpad(F.hex(t.bitwiseAND(F.lit(255))), 2, "0"))))
 
+def _bytes(column: pa.Array) -> np.ndarray:
+    """Rows of equally long binaries."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
-def bits(shorts: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(shorts), np.uint8).reshape(len(shorts), -1)
 
+def parity_sketch(members: np.ndarray, size: int = PARITY) -> bytes:
+    """Bit k is the parity of how many members fall on k."""
+    return np.packbits(np.bincount((members & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
 
-def may_link(n_a: np.ndarray, n_b: np.ndarray, agree: np.ndarray) -> np.ndarray:
-    """Whether sizes and counted agreements leave a link possible."""
-    return (agree >= MATCHES) & (100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b))
 
+def may_link(n_a: np.ndarray, n_b: np.ndarray, short_a: np.ndarray, short_b: np.ndarray, odd_a: np.ndarray, odd_b: np.ndarray) -> np.ndarray:
+    """Whether sizes, differing bits of the sketches and agreeing coordinates leave a link possible; the first two never rule one out."""
+    yes = 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
+    yes[yes] = (100 + PERCENT) * _differing(odd_a[yes], odd_b[yes]) <= (100 - PERCENT) * (n_a[yes] + n_b[yes])
+    yes[yes] = (short_a[yes] == short_b[yes]).sum(axis=1) >= MATCHES
+    return yes
 
-def star_pairs(posted: DataFrame, turn: int) -> DataFrame:
-    """(a, b), a > b: each posted node with one node of its list, drawn by the turn, where they are of two components and may link."""
-    centre = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), F.col("node").alias("c_node"), F.col("component").alias("c_component"), F.col("n").alias("c_n"), F.col("short").alias("c_short"))).alias("c")
-    centres = posted.groupBy("token").agg(centre).select("token", "c.c_node", "c.c_component", "c.c_n", "c.c_short")
+
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(np.ascontiguousarray(a).view(np.uint64) ^ np.ascontiguousarray(b).view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+
+def star_pairs(rows: DataFrame, lists: DataFrame, first: bool) -> DataFrame:
+    """(a, b), a > b: the rows of each list with its most popular node, at first of all and later outside the largest component, where components differ."""
+    here = rows.join(lists.select("token", "major"), "token")
+    entry = F.struct("popularity", (-F.col("node")).alias("node"), "component")
+    best = here.groupBy("token").agg(F.max(entry if first else F.when(F.col("component") != F.col("major"), entry)).alias("c"))
+    both = here.join(best.select("token", (-F.col("c.node")).alias("other"), F.col("c.component").alias("other_component")), "token").where("component <> other_component")
+    return both.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+
+
+def thinned(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs that may link, by the marks (node, n, short, odd) of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            node, other, n, c_n = (batch.column(c).to_numpy() for c in ("node", "c_node", "n", "c_n"))
-            agree = (bits(batch.column("short").to_pylist()) == bits(batch.column("c_short").to_pylist())).sum(axis=1)
-            yes = may_link(n, c_n, agree)
-            a, b = node[yes], other[yes]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            if batch.num_rows:
+                n = [batch.column(c).to_numpy() for c in ("a_n", "b_n")]
+                yes = pa.array(may_link(*n, *(_bytes(batch.column(c)) for c in ("a_short", "b_short", "a_odd", "b_odd"))))
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(yes) for c in ("a", "b")], ["a", "b"])
 
-    return posted.join(centres, "token").where("component <> c_component").select("node", "n", "short", "c_node", "c_n", "c_short").mapInArrow(run, "a long, b long").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(marks.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "short", "odd")]), side)
+    return pairs.mapInArrow(run, "a long, b long")
 
 
-def lists_left(posted: DataFrame) -> DataFrame:
-    """(token, size, major, top, left): of each list with several components its rows, its largest component with its rows, and the pairs between components."""
-    parts = posted.groupBy("token", "component").agg(F.count("*").alias("k"))
-    lists = parts.groupBy("token").agg(F.sum("k").alias("size"), F.max(F.struct("k", "component")).alias("most"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count("*").alias("parts"))
-    return lists.where("parts > 1").select("token", "size", F.col("most.component").alias("major"), F.col("most.k").alias("top"), ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("left"))
+def lists_left(rows: DataFrame) -> DataFrame:
+    """(token, size, major, top): of each list with several components its rows and its largest component with its rows."""
+    parts = rows.groupBy("token", "component").agg(F.count("*").alias("k"))
+    lists = parts.groupBy("token").agg(F.sum("k").alias("size"), F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("parts"))
+    return lists.where("parts > 1").select("token", "size", F.col("most.component").alias("major"), F.col("most.k").alias("top"))
 
 
-def block_pairs(posted: DataFrame, lists: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of the lists, dealt so that any two of different components meet: blocks outside the largest component meet all blocks."""
-    minor = F.col("component") != F.col("major")
-    n_minor, n_major = (F.greatest(F.ceil(k / block), F.lit(1)).cast("long") for k in (F.col("size") - F.col("top"), F.col("top")))
-    number = F.pmod(F.xxhash64("node", F.lit(7)), F.when(minor, n_minor).otherwise(n_major)) + F.when(minor, 0).otherwise(n_minor)
-    rows = posted.join(lists, "token").select("token", "node", "component", "n", "short", minor.alias("minor"), number.alias("own"), n_minor.alias("n_minor"), (n_minor + n_major).alias("n_all"))
-    last = F.when(F.col("minor"), F.col("n_all")).otherwise(F.col("n_minor")) - 1
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    return rows.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") <= F.col("other")).alias("left"), "node", "component", "n", "short")
+def block_pairs(rows: DataFrame, lists: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(token, low, high, side, node, component): the rows of the lists, dealt so that any two of different components meet: a short list
+    as one block, else blocks outside the largest component with all blocks."""
+    short = F.col("size") <= block
+    minor = short | (F.col("component") != F.col("major"))
+    n_minor = F.when(short, 1).otherwise(F.ceil((F.col("size") - F.col("top")) / block)).cast("long")
+    n_major = F.when(short, 0).otherwise(F.ceil(F.col("top") / block)).cast("long")
+    own = F.when(minor, F.pmod(F.xxhash64("node", F.lit(7)), n_minor)).otherwise(F.pmod(F.xxhash64("node", F.lit(7)), n_major) + n_minor)
+    dealt = rows.join(lists, "token").select("token", "node", "component", own.alias("own"), F.when(minor, n_minor + n_major).otherwise(n_minor).alias("n_other"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_other") - 1)))
+    return dealt.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") <= F.col("other")).alias("side"), "node", "component")
 
 
-def all_pairs(dealt: DataFrame) -> DataFrame:
+def all_pairs(dealt: DataFrame, marks: DataFrame) -> DataFrame:
     """(a, b), a > b: the pairs of different components in each dealt group that may link."""
-    names = ("token", "low", "high", "left", "node", "component", "n")
-
-    def settle(left: np.ndarray, node: np.ndarray, component: np.ndarray, n: np.ndarray, short: np.ndarray, within: bool) -> Iterator[pa.RecordBatch]:
-        one = np.arange(len(node)) if within else np.flatnonzero(left)
-        two = one if within else np.flatnonzero(~left)
-        for at in range(0, len(one), 64):
-            x = one[at : at + 64]
-            # differing components and fitting sizes first, so that signatures are compared for those only
-            i, j = np.nonzero((component[x, None] != component[None, two]) & (100 * np.minimum(n[x, None], n[None, two]) >= PERCENT * np.maximum(n[x, None], n[None, two])))
+    numbers, names = ("token", "low", "high", "side", "node", "component", "n"), ("short", "odd")
+
+    def settle(side: np.ndarray, node: np.ndarray, component: np.ndarray, n: np.ndarray, short: np.ndarray, odd: np.ndarray, within: bool) -> Iterator[pa.RecordBatch]:
+        one = np.arange(len(node)) if within else np.flatnonzero(side)
+        two = one if within else np.flatnonzero(~side)
+        for at in range(0, len(one), 32):
+            x = one[at : at + 32]
+            i, j = np.nonzero(component[x, None] != component[None, two])
             i, j = x[i], two[j]
             if within:
                 i, j = i[i < j], j[i < j]
-            for s in range(0, len(i), 1 << 16):
-                p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                yes = (short[p] == short[q]).sum(axis=1) >= MATCHES
-                a, b = node[p[yes]], node[q[yes]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            yes = may_link(n[i], n[j], short[i], short[j], odd[i], odd[j])
+            a, b = node[i[yes]], node[j[yes]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # the last group, which the next batch may continue
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in names] + [bits(batch.column("short").to_pylist())]
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in numbers] + [_bytes(batch.column(c)) for c in names]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             token, low, high = rows[:3]
@@ -207,13 +228,12 @@ def all_pairs(dealt: DataFrame) -> DataFrame:
             yield from settle(*held[3:], within=held[1][0] == held[2][0])
 
     sort = ["token", "low", "high"]
-    return dealt.repartition(*sort).sortWithinPartitions(*sort).select(*names, "short").mapInArrow(run, "a long, b long").distinct()
+    return dealt.join(marks, "node").repartition(*sort).sortWithinPartitions(*sort).select(*numbers, *names).mapInArrow(run, "a long, b long").distinct()
 
 
 def full_sets(docs: DataFrame, posted: DataFrame, shingle: int = SHINGLE, bits_log: int = BLOOM) -> DataFrame:
-    """(node, members) of the posted (node, digest): read anew from the texts, each distinct set once a task."""
-    spark = docs.sparkSession
-    marks = spark.sparkContext.broadcast(_digest_filter(posted, bits_log))
+    """(node, n, short, odd, members) of the posted (node, digest, n, short): read anew from the texts, each distinct set once a task."""
+    marks = docs.sparkSession.sparkContext.broadcast(_digest_filter(posted, bits_log))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
@@ -229,13 +249,14 @@ def full_sets(docs: DataFrame, posted: DataFrame, shingle: int = SHINGLE, bits_l
                         sent.clear()
                     sent.add(own)
                     digest.append(own)
-                    members.append(values[offsets[k] : offsets[k + 1]].view(np.int64))
+                    members.append(values[offsets[k] : offsets[k + 1]])
                 ends = np.concatenate([[0], np.cumsum([len(m) for m in members], dtype=np.int64)])
-                flat = pa.array(np.concatenate([*members, np.zeros(0, np.int64)]))
-                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["digest", "members"])
+                flat = pa.array(np.concatenate([*members, np.zeros(0, np.uint64)]).view(np.int64))
+                odd = pa.array([parity_sketch(m) for m in members], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), odd, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["digest", "odd", "members"])
 
-    read = docs.select("text").mapInArrow(run, "digest binary, members array<long>")
-    return read.join(posted, "digest").groupBy("node").agg(F.first("members").alias("members"))
+    read = docs.select("text").mapInArrow(run, "digest binary, odd binary, members array<long>")
+    return read.join(posted, "digest").groupBy("digest").agg(*[F.first(c).alias(c) for c in ("node", "n", "short", "odd", "members")]).drop("digest")
 
 
 def _digest_filter(posted: DataFrame, bits_log: int) -> tuple[np.ndarray, int]:
@@ -273,39 +294,41 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, block: int = BLOCK, rounds: int = ROUNDS, few: int = FEW) -> DataFrame:
-    """(node, component) of every node that links to another; nodes are (node, digest, n, tokens)."""
+def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+    """(node, component) of every node that links to another; nodes are (node, digest, n, short, tokens)."""
     listed = materialize(postings(nodes), "minhash-postings")
-    posted = materialize(nodes.join(listed.select("node").distinct(), "node").select("node", "digest", "n", _short("tokens").alias("short")), "minhash-posted")
-    sets = materialize(full_sets(docs, posted.select("node", "digest"), shingle), "minhash-sets")
-    lists = materialize(listed.join(posted.select("node", "n", "short"), "node"), "minhash-lists")
-    size = lists.count()
-    found = named = tried = None
-    for turn in range(rounds + 1):
-        rows = lists.withColumn("component", F.col("node")) if named is None else lists.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rows = rows if named is None else materialize(rows, "minhash-lists")
-        left = materialize(lists_left(rows), "minhash-left")
-        pairs_left = left.agg(F.sum("left")).first()[0] or 0
-        if not pairs_left:
-            break
-        last = turn == rounds or pairs_left <= few * size
-        pairs = all_pairs(block_pairs(rows, left, block)) if last else star_pairs(rows.join(left.select("token"), "token", "left_semi"), turn)
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+    posted = nodes.select("node", "digest", "n", "short").join(listed.select("node").distinct(), "node")
+    sets = materialize(full_sets(docs, materialize(posted, "minhash-posted"), shingle), "minhash-sets")
+    marks = sets.select("node", "n", "short", "odd")
+    rows, found, named = listed.withColumn("component", F.col("node")), None, None
+    tried = nodes.sparkSession.createDataFrame([], "a long, b long")
+    last = not rounds
+    for turn in count():
+        lists = materialize(lists_left(rows), "minhash-left")
+        if not last:
+            pairs = thinned(star_pairs(rows, lists, not turn).join(tried, ["a", "b"], "left_anti"), marks)
+        else:
+            pairs = all_pairs(block_pairs(rows, lists, block), marks).join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "minhash-pairs")
         edges = materialize(confirmed(pairs, sets), "minhash-links")
-        found = edges if found is None else found.unionByName(edges)
-        named = connected(found)
+        tried, found = tried.unionByName(pairs), edges if found is None else found.unionByName(edges)
+        n_pairs, n_edges = pairs.count(), edges.count()
+        if n_edges:
+            named = connected(found)
+            rows = materialize(listed.join(named, "node", "left").withColumn("component", F.coalesce("component", "node")), "minhash-rows")
         if last:
             break
+        last = turn + 1 >= rounds or n_edges <= YIELD * n_pairs
     return nodes.sparkSession.createDataFrame([], "node long, component long") if named is None else named
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, block: int = BLOCK, rounds: int = ROUNDS, few: int = FEW) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     rows = materialize(sketches(docs, shingle), "minhash-rows")
-    full = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
+    first = [F.first(c).alias(c) for c in ("short", "tokens")]
+    full = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), *first)
     nodes = materialize(full, "minhash-nodes")
-    named = links(docs, nodes, shingle, block, rounds, few)
+    named = links(docs, nodes, shingle, block, rounds)
     of_node = materialize(nodes.select("digest", "node", "least").join(named, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("component")), "minhash-components")
     smallest = of_node.groupBy("component").agg(F.min("least").alias("component_id"))
     by_digest = of_node.join(smallest, "component").select("digest", "component_id")

@@ -195,13 +195,13 @@ def test_minhash_on_the_table(docs, raw, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize(("block", "rounds", "few"), [(512, 6, 8), (8, 0, 8), (8, 2, 0)])
-def test_minhash_links_in_dense_groups(spark, block, rounds, few):
+@pytest.mark.parametrize(("block", "rounds"), [(512, 6), (8, 0), (8, 2)])
+def test_minhash_links_in_dense_groups(spark, block, rounds):
     """Groups whose pairs lie on both sides of the bound, by stars, by blocks and by both."""
     texts = [*near_copies(1, 60, 120, 5), *near_copies(2, 40, 40, 2), *near_copies(3, 50, 300, 16), *near_copies(4, 8, 7, 1), "a b", "a b", "A  B", "a", "", None, "   ", "one two three", "one two three four"]
     rows = [(None if k % 17 == 3 else 1000 - k, t) for k, t in enumerate(texts)] + [(None, "alone and without an id"), (999, texts[5])]
     docs = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, row long, digest string").repartition(3)
-    assert rows_of(minhash.near_duplicates(docs, block=block, rounds=rounds, few=few)) == plain_groups(rows)
+    assert rows_of(minhash.near_duplicates(docs, block=block, rounds=rounds)) == plain_groups(rows)
 
 
 def test_minhash_signatures_estimate_the_similarity():
@@ -216,3 +216,12 @@ def test_minhash_signatures_estimate_the_similarity():
     same = (tokens[::2] == tokens[1::2]).sum(axis=1)
     assert abs(same.mean() - 0.85 * minhash.COORDINATES) < 1 and same.min() > minhash.MATCHES
     assert not (tokens[:-2:2] == tokens[2::2]).any()
+
+
+def test_parity_sketches_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for size in (5, 200, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[size // 7 :], rng.integers(0, 1 << 63, size // 5).astype(np.uint64)]))
+        odd = [np.frombuffer(minhash.parity_sketch(x), np.uint8)[None] for x in (a, b)]
+        assert minhash._differing(*odd)[0] <= len(np.setxor1d(a, b))
