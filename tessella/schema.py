@@ -24,6 +24,18 @@ FEATURES: dict[str, tuple[float, float]] = {
 }
 FEATURE_NAMES = list(FEATURES)
 
+#: Decimal places to which each feature is rounded; six where none is given.
+DIGITS = dict.fromkeys(FEATURES, 6) | {
+    "pitch_mean_f0": 2, "pitch_std_f0": 2, "pitch_min_f0": 2, "pitch_max_f0": 2, "pitch_voiced_fraction": 3, "jitter_local_pct": 3, "jitter_rap_pct": 3, "jitter_ppq5_pct": 3,
+    "shimmer_local_pct": 3, "shimmer_apq3_pct": 3, "shimmer_apq5_pct": 3, "shimmer_db": 3, "formant_f1_mean": 2, "formant_f2_mean": 2, "formant_f3_mean": 2, "formant_f4_mean": 2,
+    "formant_dispersion": 2, "vocal_tract_length_cm": 2, "hnr_mean_db": 2, "hnr_std_db": 2, "cpp_mean_db": 2, "cpp_std_db": 2, "zcr_mean": 4, "energy_entropy": 3,
+    "spectral_centroid_mean": 1, "spectral_centroid_std": 1, "spectral_spread_mean": 1, "spectral_skewness_mean": 3, "spectral_kurtosis_mean": 3, "spectral_flux_mean": 4, "spectral_flux_std": 4,
+    "spectral_rolloff_mean": 1, "spectral_flatness_mean": 4, "spectral_crest_factor_mean": 2, "spectral_hf_energy_ratio": 4, "has_artificial_cutoff": 0, "cutoff_frequency_hz": 1,
+    "prosody_speaking_rate": 2, "prosody_articulation_rate": 2, "prosody_syllable_count": 0, "prosody_pause_count": 0, "prosody_mean_pause_sec": 3, "prosody_npvi": 2, "prosody_rpvi": 2,
+    "prosody_f0_range_semitones": 2, "prosody_pitch_slope_variance": 2, "prosody_is_monotone": 0, "prosody_direction_changes": 0, "artifact_splice_points": 0, "artifact_max_energy_jump_db": 2,
+    "artifact_max_phase_jump_rad": 3, "phase_if_mean_deviation": 4, "phase_if_variance": 5, "phase_if_clustering": 3, "phase_mgd_peak_prominence": 3, "phase_dispersion_entropy": 3, "phase_roughness": 3,
+}
+
 #: Score threshold and half-width of the uncertain zone of each scenario.
 SCENARIOS = {"high_value_transaction": 0.70, "confidential_disclosure": 0.75, "standard_support": 0.80, "general_telephony": 0.75}
 DEFAULT_SCENARIO, UNCERTAIN_WINDOW = "general_telephony", 0.10
