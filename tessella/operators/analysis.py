@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.peaks import find_peaks
+from ..functions.peaks import find_peaks, prominences
 from ..schema import DIGITS, FEATURES
 from . import perturbation
 from .blocks import KEY, lists, rows_of, runs
@@ -314,6 +314,30 @@ def splices(rows: DataFrame, jump_db: float = 18.0) -> DataFrame:
     return steps.groupBy(KEY).agg(F.count_if(F.col("jump") > jump_db).cast("double").alias("artifact_splice_points"), F.max("jump").alias("artifact_max_energy_jump_db"), (F.max("turn") * np.pi).alias("artifact_max_phase_jump_rad"))
 
 
+def level_peaks(levels: DataFrame, height: float, distance: int, prominence: float) -> DataFrame:
+    """(recording_id, frame_idx, db, prominence) of the peaks of levels (recording_id, frame_idx, db), frames without gaps; a recording's levels are held by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            y = rows.column("db").to_numpy()
+            k = find_peaks(y, height, distance, prominence)
+            return pa.RecordBatch.from_arrays([rows.column(c).take(pa.array(k)) for c in (KEY, "frame_idx", "db")] + [pa.array(prominences(y)[k])], [KEY, "frame_idx", "db", "prominence"])
+
+        last, parts = None, []
+        for key, rows in runs(batches, [KEY]):
+            if key != last and parts:
+                yield emit()
+                parts = []
+            last = key
+            parts.append(rows)
+        if parts:
+            yield emit()
+
+    ordered = levels.select(KEY, "frame_idx", "db").repartition(KEY).sortWithinPartitions(KEY, "frame_idx")
+    return ordered.mapInArrow(run, f"{KEY} long, frame_idx long, db double, prominence double")
+
+
 SUMMED = ("spectral_hf_energy_ratio", "has_artificial_cutoff", "cutoff_frequency_hz", "artifact_harmonic_smearing", "phase_if_mean_deviation", "phase_if_variance", "phase_if_clustering",
           "phase_mgd_peak_prominence", "phase_dispersion_entropy", "phase_roughness")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, records, signals
+from . import catalog, recordings, records, signals
 
-QUERIES = catalog.QUERIES | signals.QUERIES | records.QUERIES
-ORACLE_SQL = catalog.ORACLE_SQL | signals.ORACLE_SQL | records.ORACLE_SQL
+QUERIES = catalog.QUERIES | signals.QUERIES | records.QUERIES | recordings.QUERIES
+ORACLE_SQL = catalog.ORACLE_SQL | signals.ORACLE_SQL | records.ORACLE_SQL | recordings.ORACLE_SQL

@@ -23,6 +23,11 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recording_id, content: the bytes of a document's text as unsigned 8-bit samples; documents without text are none."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recording_id"), F.encode("text", "UTF-8").alias("content"))
+
+
 def contour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """recording_id, idx, f0: pitch contours; error events are unvoiced (0)."""
     return signal(spark, sf_dir).select("recording_id", "idx", F.when(F.col("event_type") == "error", F.lit(0.0)).otherwise(50 + F.col("value")).alias("f0"))

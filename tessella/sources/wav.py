@@ -25,8 +25,12 @@ def decode(data: bytes) -> tuple[np.ndarray, int, int]:
     while at + 8 <= len(data):
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         if name == b"fmt ":
+            if at + 24 > len(data) or size < 16:
+                raise ValueError("the format is cut short")
             form = struct.unpack_from("<HHIIHH", data, at + 8)
             if form[0] == EXTENSIBLE:
+                if at + 34 > len(data) or size < 26:
+                    raise ValueError("the format is cut short")
                 form = (struct.unpack_from("<H", data, at + 32)[0], *form[1:])
         elif name == b"data":
             body = data[at + 8 : at + 8 + size]
