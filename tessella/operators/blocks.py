@@ -102,3 +102,18 @@ def augmented(content: str, kind: str, source: str):
         return contents.__class__(out, dtype=object)
 
     return change(content, kind, source)
+
+
+def voice(chunks: DataFrame, rate: int = 16000) -> DataFrame:
+    """The chunks (content: samples of a window of bounded length) with the share of each that lies in speech segments, in place of their content."""
+    from ..functions.activity import speech_share
+
+    names = [c for c in chunks.columns if c != "content"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shares = [speech_share((np.frombuffer(raw or b"", np.uint8).astype(float) - 128) / 128, rate) for raw in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(shares, pa.float64())], [*names, "speech_ratio"])
+
+    kinds = dict(chunks.dtypes)
+    return chunks.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", speech_ratio double")

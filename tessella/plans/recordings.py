@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..operators import analysis, blocks, embedding, features, frames, recurrence, training
+from ..operators import analysis, blocks, embedding, features, frames, recurrence, reports, training
 from ..schema import FEATURES
 from ..sources import adapters, store
+from ..streaming import sinks
 from . import scoring
-from .catalog import FRAMES, HOP, SIGNAL, SIZE, r6
+from .catalog import ACTION, FRAMES, HOP, SIGNAL, SIZE, VERDICTS, _assessed, r6
 from .records import folder
 
 QUERIES: dict = {}
@@ -121,6 +122,40 @@ def verify_samples(spark, sf):
     return r6(verdicts(analysed(adapters.recordings(spark, sf))))
 
 
+@query()
+def chunk_voice(spark, sf):
+    """Voice activity of the sliding chunks of every recording, 3 s long and 1 s apart; chunks without speech are left out."""
+    size, hop, least = 3 * analysis.RATE, analysis.RATE, analysis.RATE // 2
+    contents = adapters.recordings(spark, sf)
+    lengths = contents.select("recording_id", F.octet_length("content").cast("long").alias("n")).where("n > 0")
+    chunks = frames.sliding_chunks(lengths, size, hop, least)
+    rows = chunks.join(contents, "recording_id").select("recording_id", "chunk_index", "start_idx", "end_idx", "is_padded", F.expr("substring(content, int(start_idx + 1), int(end_idx - start_idx))").alias("content"))
+    return r6(blocks.voice(rows).where("speech_ratio > 0"))
+
+
+@query(f"""WITH {VERDICTS} SELECT recording_id, risk_level, printf('%s (%.1f/100) %s', verdict, CAST(risk AS DOUBLE), {ACTION}) || ' | Factors: f' || (recording_id % 5) AS shown FROM ri WHERE risk_level <> 'LOW'""")
+def alert_stream(spark, sf):
+    """Alerts of a stream of verdicts in several batches; its last batch is run once more, as after a failure, and changes nothing."""
+    at = folder(spark, "alert-stream")
+    rows = _assessed(spark, sf).withColumn("factors", F.array(F.concat(F.lit("f"), (F.col("recording_id") % 5).cast("string"))))
+    rows = rows.select("recording_id", "verdict", "probability", "risk_level", "action", "factors")
+    rows.repartition(6, "recording_id").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    sinks.alert_sink(stream, f"{at}/alerts", f"{at}/progress").awaitTermination()
+    last = stream_batches(spark, f"{at}/progress")
+    drop(spark, f"{at}/progress/commits/{last}")
+    sinks.alert_sink(stream, f"{at}/alerts", f"{at}/progress").awaitTermination()
+    out = sinks.read_sink(spark, f"{at}/alerts", "recording_id long, verdict string, probability double, risk_level string, action string, factors array<string>, line string")
+    shown = reports.console_line(F.col("verdict"), F.round(F.col("probability") * 100, 1), F.col("action"), F.col("factors"))
+    return out.select("recording_id", "risk_level", shown.alias("shown"))
+
+
+def stream_batches(spark, progress: str) -> int:
+    """The number of a stream's last committed batch."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{progress}/commits")
+    return max(int(f.getPath().getName()) for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if f.getPath().getName().isdigit())
+
+
 K = "tan(pi() * 20 / 16000)"
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.activity import speech_share
 from ..functions.kernels import resample
 from ..plans import scoring
 
@@ -24,15 +25,15 @@ def speech_ratio(window: np.ndarray, frame: int, least_db: float) -> float:
 
 
 def hopping_windows(
-    packets: DataFrame, size: int, hop: int, target_rate: int | None = None, frame: int = 320, least_db: float = -48.0, idle_minutes: int | None = None
+    packets: DataFrame, size: int, hop: int, target_rate: int | None = None, frame: int = 320, least_db: float = -48.0, idle_minutes: int | None = None, voice: bool = False
 ) -> DataFrame:
     """Windows of `size` samples each `hop` samples, of packets (session_id, seq, sample_rate, samples), with level and speech ratio.
 
     A session's state is the samples that a later window still needs, fewer than size + a packet, whatever the stream's length; it is
     dropped after `idle_minutes` without a packet, if given (such a query goes on until it is stopped). A change of rate drops held samples and goes on counting; a packet with a true
     `reset` column starts the session anew. No tail is emitted. Packets of one batch are taken by seq, and one whose seq is not above
-    the last one's of an earlier batch is left out; a reset lets any seq follow. NaN and infinite samples become 0. With `target_rate`, each window is resampled to it
-    before it is measured. `received_ms` is that column of the packet that completed the window, if there is one.
+    that of the packet before it, in this batch or an earlier one, is left out; a reset lets any seq follow. A packet without samples only brings its rate or reset. NaN and infinite samples become 0. With `target_rate`, each window is resampled to it
+    before it is measured. The speech ratio is the share of frames over `least_db`, or with `voice` that of the window's speech segments. `received_ms` is that column of the packet that completed the window, if there is one.
     """
     names = [c.split()[0] for c in WINDOWS.split(", ")]
 
@@ -43,11 +44,11 @@ def hopping_windows(
         held, start, rate, last = state.get if state.exists else ([], 0, 0, -1)
         held = np.array(held, float)
         rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
-        before, out = last, []
+        out = []
         for row in rows.to_dict("records"):
             if row.get("reset"):
-                held, start, before = held[:0], 0, -1
-            elif row["seq"] <= before:
+                held, start = held[:0], 0
+            elif row["seq"] <= last:
                 continue
             last = row["seq"]
             if rate and row["sample_rate"] != rate:
@@ -57,7 +58,7 @@ def hopping_windows(
             held = np.concatenate([held, np.where(np.isfinite(new), new, 0.0)])
             while len(held) >= size:
                 w = resample(held[:size], rate, target_rate) if target_rate and target_rate != rate else held[:size]
-                out.append((key[0], start // hop, start, len(w), w.mean(), np.abs(w).max(), np.sqrt((w * w).mean()), speech_ratio(w, frame, least_db), row.get("received_ms")))
+                out.append((key[0], start // hop, start, len(w), w.mean(), np.abs(w).max(), np.sqrt((w * w).mean()), speech_share(w, target_rate or rate) if voice else speech_ratio(w, frame, least_db), row.get("received_ms")))
                 held, start = held[hop:], start + hop
         state.update((held.tolist(), int(start), rate, int(last)))
         if idle_minutes:
