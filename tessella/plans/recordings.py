@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..operators import analysis, blocks, embedding, features, frames, recurrence, reports, training
+from ..operators import analysis, blocks, embedding, features, frames, ingestion, recurrence, reports, training
 from ..schema import FEATURES
 from ..sources import adapters, store
 from ..streaming import sinks
@@ -156,6 +156,38 @@ def stream_batches(spark, progress: str) -> int:
     return max(int(f.getPath().getName()) for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if f.getPath().getName().isdigit())
 
 
+LE = "substr(printf('%08x', {0}), 7, 2) || substr(printf('%08x', {0}), 5, 2) || substr(printf('%08x', {0}), 3, 2) || substr(printf('%08x', {0}), 1, 2)"
+HEADER = "52494646", "57415645666D7420100000000100010080BB000080BB00000100080064617461"
+
+
+def wav_files(spark, sf) -> DataFrame:
+    """(audio_id, path, content): documents' bytes in WAV files of 8 bits at 48 kHz; a document without text is an empty file."""
+    n = F.octet_length("text")
+    le = lambda v: F.unhex(F.regexp_replace(F.lpad(F.hex(v.cast("long")), 8, "0"), "(..)(..)(..)(..)", "$4$3$2$1"))
+    head = lambda h: F.unhex(F.lit(h))
+    content = F.when(F.coalesce(n, F.lit(0)) > 0, F.concat(head(HEADER[0]), le(n + 36), head(HEADER[1]), le(n), F.encode("text", "UTF-8"))).otherwise(F.lit(b""))
+    return adapters.table(spark, sf, "documents").select(F.col("doc_id").alias("audio_id"), F.concat(F.lit("in/"), F.coalesce("source", F.lit("none")), F.lit("/a.WAV")).alias("path"), content.alias("content"))
+
+
+@query(f"""WITH fs AS (SELECT doc_id AS audio_id, coalesce(text, '') AS t, CASE WHEN coalesce(text, '') = '' THEN ''::BLOB ELSE unhex('{HEADER[0]}' || {LE.format("strlen(text) + 36")} || '{HEADER[1]}' || {LE.format("strlen(text)")}) || encode(text) END AS c FROM documents)
+ SELECT audio_id, audio_id || '_forensic.wav' AS archived_as, sha256(c) AS sha256, md5(c) AS md5, CASE WHEN t = '' THEN 0 ELSE strlen(t) + 44 END AS n_bytes, true AS verified, CASE WHEN t <> '' THEN strlen(t) END AS source_samples, CASE WHEN t <> '' THEN 48000 END AS source_rate,
+ CASE WHEN t <> '' THEN 1 END AS channels, CASE WHEN t <> '' THEN 8 END AS bit_depth, CASE WHEN t <> '' THEN (strlen(t) + 2) // 3 END AS num_samples, CASE WHEN t <> '' THEN CASE WHEN (strlen(t) + 2) // 3 < 8000 THEN 0 WHEN (strlen(t) + 2) // 3 < 48000 THEN 1 ELSE ((strlen(t) + 2) // 3 - 48000) // 16000 + 1
+ + CASE WHEN ((strlen(t) + 2) // 3 - 48000) % 16000 > 0 AND (strlen(t) + 2) // 3 - (((strlen(t) + 2) // 3 - 48000) // 16000 + 1) * 16000 >= 8000 THEN 1 ELSE 0 END END END AS chunks, t = '' AS failed FROM fs""")
+def ingest_files(spark, sf):
+    """Files to records in one flow: hashes and archive, decoding, downmix, offset, resampling, loudness, voice activity and chunks; unreadable files are errors."""
+    got = ingestion.ingest(wav_files(spark, sf), folder(spark, "archive"))
+    count = lambda c, name: F.when(F.col(c).isNotNull(), F.size(c).cast("long")).alias(name)
+    return got.select("audio_id", "archived_as", "sha256", "md5", "n_bytes", "verified", "source_samples", "source_rate", "channels", "bit_depth", count("samples", "num_samples"), count("chunks", "chunks"), F.col("error").isNotNull().alias("failed"))
+
+
+@query()
+def ingest_voice(spark, sf):
+    """Of every file that can be read, level, speech and silence after clean-up, and its chunks with speech."""
+    got = ingestion.records(wav_files(spark, sf)).where("error IS NULL")
+    spoken = F.size(F.filter("chunks", lambda c: c["speech_ratio"] > 0.05)).cast("long")
+    return r6(got.select("audio_id", "peak_dbfs", "rms_dbfs", "is_clipped", "speech_sec", "silence_sec", "speech_ratio", F.size("segments").alias("segments"), spoken.alias("speech_chunks")))
+
+
 K = "tan(pi() * 20 / 16000)"
 
 

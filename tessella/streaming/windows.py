@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.activity import speech_share
-from ..functions.kernels import resample
+from ..functions.resample import polyphase
 from ..plans import scoring
 
 WINDOWS = "session_id string, window_no long, start_idx long, n int, mean double, peak double, rms double, speech_ratio double, received_ms double"
@@ -57,7 +57,7 @@ def hopping_windows(
             new = np.array([0.0 if v is None else v for v in samples], float) if samples is not None else np.zeros(0)
             held = np.concatenate([held, np.where(np.isfinite(new), new, 0.0)])
             while len(held) >= size:
-                w = resample(held[:size], rate, target_rate) if target_rate and target_rate != rate else held[:size]
+                w = polyphase(held[:size], rate, target_rate) if target_rate and target_rate != rate else held[:size]
                 out.append((key[0], start // hop, start, len(w), w.mean(), np.abs(w).max(), np.sqrt((w * w).mean()), speech_share(w, target_rate or rate) if voice else speech_ratio(w, frame, least_db), row.get("received_ms")))
                 held, start = held[hop:], start + hop
         state.update((held.tolist(), int(start), rate, int(last)))

@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import activity, kernels
+from tessella.functions import activity
+from tessella.functions.resample import polyphase
 from tessella.streaming import sinks, windows
 
 RATE = 16000
@@ -84,7 +85,7 @@ def test_windows_are_resampled_and_searched_for_voice(spark, tmp_path):
     got = stream(spark, f"file://{tmp_path}", batches, 48000, 48000, target_rate=RATE, voice=True).orderBy("window_no").collect()
     assert [r.n for r in got] == [16000] * 4 and [r.received_ms for r in got] == [1000.0, 3000.0, 5000.0, 7000.0]
     for k, r in enumerate(got):
-        w = kernels.resample(x[48000 * k : 48000 * (k + 1)], 48000, RATE)
+        w = polyphase(x[48000 * k : 48000 * (k + 1)], 48000, RATE)
         assert (r.rms, r.speech_ratio) == pytest.approx((np.sqrt((w * w).mean()), activity.speech_share(w, RATE)))
     assert got[0].speech_ratio > 0.9 and got[2].speech_ratio > 0.9 and got[3].speech_ratio < 0.6
 
