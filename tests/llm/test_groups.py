@@ -217,6 +217,45 @@ def test_html_article_keeps_headline_and_lead_beside_the_body():
         assert html.extract(html.parse(shape.format(n=7)), t).split("\n\n")[:3] == ["Title 7", "Lead 7", "7 long"]
 
 
+def test_html_names_that_only_look_like_boilerplate_are_kept():
+    """Compound class names, and addresses and titles that hold a telling word; what hides or is named outright still goes."""
+    page = (
+        '<body><nav>Top</nav><article><h1>Head {n}</h1><div class="side-by-side"><p>One {n}</p></div><section id="related-work"><p>Two {n}</p></section><p class="share-price">Three {n} '
+        '<a href="/blog/hidden-gems">gems</a> <img alt="a hidden one"><a title="hidden comment">told</a></p><div class="comment-list"><p>Nice {n}</p></div><div class="related">More {n}</div>'
+        '<p hidden>gone</p><p style="color:red; display:none">gone</p><p aria-hidden="true">gone</p><p aria-hidden=false>stays</p></article></body>'
+    )
+    want = "Head {n}\n\nOne {n}\n\nTwo {n}\n\nThree {n} gems told\n\nstays"
+    t = html.Template()
+    for n in range(5):
+        t.add_page(html.parse(page.format(n=n)))
+    assert html.extract(html.parse(page.format(n=8)), t) == html.extract(html.parse(page.format(n=8)), None) == want.format(n=8)
+
+
+def test_html_many_siblings_are_matched_in_order():
+    def slow(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (x == y) * weights[x])
+        return best[-1][-1] + 1
+
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        weights = dict(zip("abcde", rng.integers(1, 5, 5).tolist(), strict=True))
+        a, b = ("".join(rng.choice(list("abcde"), rng.integers(0, 9))) for _ in range(2))
+        left, right = list(range(len(a))), list(range(len(b)))
+        size = {(i, j): weights[a[i]] for i in left for j in right if a[i] == b[j]}
+        most, own = html.heaviest(left, right, list(a), list(b), size)
+        assert most == slow(a, b) == 1 + sum(weights[b[j]] for j in own)
+        assert all(a[i] == b[j] for j, i in own.items()) and [own[j] for j in sorted(own)] == sorted(own.values())
+    wide = lambda n: "<body>" + "".join(f'<div class="c{k}"><p>{n} {k}</p></div>' for k in range(20_000)) + "</body>"
+    began = time.process_time()
+    t = html.Template()
+    for n in range(2):
+        t.add_page(html.parse(wide(n)))
+    assert time.process_time() - began < 15 and t.seen[1:].count(2) == 40_001  # the body, and a container and a paragraph each
+
+
 def test_html_on_the_table(spark, sf):
     import html as entities
 

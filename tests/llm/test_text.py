@@ -64,15 +64,24 @@ def test_quality_base_columns_and_verdicts(docs, raw, empty):
 
 def test_quality_rejects_symbol_noise_and_keeps_prose(spark, docs):
     rng = np.random.default_rng(0)
-    good = [r.text for r in docs.where("doc_id < 200").select("text").collect() if r.text.count("&") + r.text.count("#") + r.text.count("|") == 0 and len(r.text) > 1500][:5]
+    good = [(r.text, r.lang) for r in docs.where("doc_id < 200").select("text", "lang").collect() if r.text.count("&") + r.text.count("#") + r.text.count("|") == 0 and len(r.text) > 1500][:5]
     noise = [" ".join("".join(rng.choice(list("#*$%&|<>@"), 6)) + str(k) for k in range(90)) for _ in range(5)]
-    extra = spark.createDataFrame([(20_000 + k, t, "en") for k, t in enumerate(good + noise)], "doc_id long, text string, lang string")
+    extra = spark.createDataFrame([(20_000 + k, t, lang) for k, (t, lang) in enumerate([*good, *((t, "en") for t in noise)])], "doc_id long, text string, lang string")
     got = quality.quality_report(docs.select("doc_id", "text", "lang").unionByName(extra)).where("doc_id >= 20000").orderBy("doc_id").collect()
     base_ok = [r for r in got[:5] if not r.base_failed]
     assert base_ok and all(r.kept for r in base_ok)
     assert not any(r.kept for r in got[5:])
 
 
+def test_quality_rejects_a_text_under_another_languages_label(spark, docs):
+    """A German and a Spanish text among English ones are as unlikely there as noise, and so is an English one among German ones."""
+    texts = {lang: docs.where(f"doc_id < 200 AND lang = '{lang}' AND length(text) > 1500").where("NOT text RLIKE '[#*$%&|<>]'").orderBy("doc_id").first().text for lang in ("en", "de", "es")}
+    wrong = [("de", "en"), ("es", "en"), ("en", "de")]
+    extra = spark.createDataFrame([(20_000 + k, texts[own], label) for k, (own, label) in enumerate(wrong)], "doc_id long, text string, lang string")
+    got = quality.quality_report(docs.select("doc_id", "text", "lang").unionByName(extra)).where("doc_id >= 20000").collect()
+    assert len(got) == 3 and not any(r.base_failed or r.kept for r in got)
+
+
 def plain_perplexities(raw):
     """Language group and mean negative log10 probability of each text's characters, from dictionaries of class n-grams, by the definition of the model."""
     classes = lambda t: [0, 0, 0, *(quality.character_class(ord(c)) for c in t or "")]
