@@ -12,6 +12,7 @@ from ..functions import kernels
 from ..operators import analysis, blocks, embedding, features, frames, ingestion, recurrence, reports, training
 from ..schema import FEATURES
 from ..sources import adapters, store
+from ..streaming import packets as packet_codec
 from ..streaming import sinks
 from . import scoring
 from .catalog import ACTION, FRAMES, HOP, SIGNAL, SIZE, VERDICTS, _assessed, r6
@@ -83,22 +84,29 @@ def analysis_vector(spark, sf):
     return rows.join(top, "recording_id").select("recording_id", "v", "z", F.col("top.feature").alias("top"))
 
 
-def verdicts(table: DataFrame, probability: DataFrame | None = None, scenario: str = "general_telephony") -> DataFrame:
-    """What `scoring.assess` makes of the analysers' features: five anomaly scores, the clamped classifier, fusion, calibration, verdict, risk and action.
+def _flag(name: str):
+    return F.col(name) > 0.5
 
-    `probability` (recording_id, probability) is a network's; without one its score is 0.5 before the rules clamp it. Recordings without a voiced quarter
-    second are NO_SPEECH and score 0, and so are those under the analysers' gate. There is one window, so windows agree.
-    """
-    f = {c: F.col(c) for c in FEATURES}
-    flag = lambda c: f[c] > 0.5
-    sec = F.col("duration_sec")
-    pairs = {
+
+def analyser_scores() -> dict:
+    """(anomaly score, confidence) of each analyser, from its features."""
+    f, flag, sec = {c: F.col(c) for c in FEATURES}, _flag, F.col("duration_sec")
+    return {
         "acoustic": scoring.acoustic_anomaly(f["pitch_voiced_fraction"], f["pitch_mean_f0"], f["jitter_local_pct"], f["shimmer_local_pct"], f["hnr_mean_db"], f["vocal_tract_length_cm"], sec),
         "spectral": scoring.spectral_anomaly(flag("has_artificial_cutoff"), f["spectral_flatness_mean"], f["spectral_flux_mean"], sec),
         "prosody": scoring.prosody_anomaly(f["prosody_syllable_count"], f["prosody_f0_range_semitones"], flag("prosody_is_monotone"), f["prosody_npvi"], sec),
         "synthesis_artifacts": scoring.artifact_anomaly(flag("artifact_periodic_detected"), f["artifact_checkerboard_ratio"], f["artifact_splice_points"], f["artifact_max_energy_jump_db"], sec),
         "phase": scoring.phase_anomaly(f["phase_if_clustering"], f["phase_dispersion_entropy"], f["phase_roughness"], sec),
     }
+
+
+def verdicts(table: DataFrame, probability: DataFrame | None = None, scenario: str = "general_telephony") -> DataFrame:
+    """What `scoring.assess` makes of the analysers' features: five anomaly scores, the clamped classifier, fusion, calibration, verdict, risk and action.
+
+    `probability` (recording_id, probability) is a network's; without one its score is 0.5 before the rules clamp it. Recordings without a voiced quarter
+    second are NO_SPEECH and score 0, and so are those under the analysers' gate. There is one window, so windows agree.
+    """
+    f, flag, sec, pairs = {c: F.col(c) for c in FEATURES}, _flag, F.col("duration_sec"), analyser_scores()
     rows = table if probability is None else table.join(probability.select("recording_id", "probability"), "recording_id", "left")
     p = F.lit(0.5) if probability is None else F.coalesce("probability", F.lit(0.5))
     ml = scoring.classify(p, flag("artifact_periodic_detected"), flag("has_artificial_cutoff"), flag("prosody_is_monotone"), f["prosody_f0_range_semitones"], f["artifact_splice_points"], f["jitter_local_pct"], f["shimmer_local_pct"])
@@ -188,6 +196,28 @@ def ingest_voice(spark, sf):
     return r6(got.select("audio_id", "peak_dbfs", "rms_dbfs", "is_clipped", "speech_sec", "silence_sec", "speech_ratio", F.size("segments").alias("segments"), spoken.alias("speech_chunks")))
 
 
+@query()
+def analysis_summaries(spark, sf):
+    """The five analysers' findings on every recording as text."""
+    scores = analyser_scores()
+    table = analysed(adapters.recordings(spark, sf))
+    return table.select("recording_id", *[reports.summary(name, score, sure, F.filter(F.array(F.when(score >= 0.3, f"{name} anomaly")), lambda x: x.isNotNull())).alias(name) for name, (score, sure) in scores.items()])
+
+
+@query(f"""WITH {SIGNAL}, p AS (SELECT recording_id, idx // 10 AS seq, idx, round_even(greatest(-1, least(1, x)) * 32767, 0) / 32768 AS x FROM signal)
+ SELECT CAST(recording_id AS VARCHAR) AS session_id, seq, count(*) AS n, round(max(abs(x)), 6) AS peak, round(sqrt(avg(x * x)), 6) AS rms, CASE WHEN max(abs(x)) < 0.01 OR 20 * log10(greatest(sqrt(avg(x * x)), 1e-7)) < -50 THEN 'silence' WHEN max(abs(x)) < 0.015 THEN 'non-speech' ELSE 'pass' END AS gate FROM p GROUP BY 1, 2""")
+def packet_gate(spark, sf):
+    """Packets of bytes, each with its own encoding, decoded and gated without state."""
+    s = adapters.signal(spark, sf)
+    packets = s.groupBy(F.col("recording_id").cast("string").alias("session_id"), F.floor(F.col("idx") / 10).alias("seq")).agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("s"))
+    sent = packets.select("session_id", "seq", packet_codec.encoded(F.col("s.x"), F.lit("int16")).alias("payload"), F.lit("int16").alias("encoding"))
+    got = sent.select("session_id", "seq", packet_codec.decoded(F.col("payload"), F.col("encoding")).alias("x"))
+    n, square = F.size("x"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
+    levels = got.select("session_id", "seq", n.cast("long").alias("n"), F.array_max(F.transform("x", F.abs)).alias("peak"), F.sqrt(square / n).alias("rms"))
+    db = 20 * F.log10(F.greatest("rms", F.lit(1e-7)))
+    return r6(levels.withColumn("gate", scoring.stream_gate(F.lit(True), F.col("peak"), F.lit(1.0), db)))
+
+
 K = "tan(pi() * 20 / 16000)"
 
 
