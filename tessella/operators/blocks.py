@@ -71,6 +71,22 @@ def pcm_blocks(contents: DataFrame, size: int, before: int = 0, after: int = 0)
     return contents.select(F.col(KEY).cast("long").alias(KEY), "content").mapInArrow(run, SCHEMA)
 
 
+def array_blocks(recordings: DataFrame, size: int, before: int = 0, after: int = 0) -> DataFrame:
+    """Blocks of recordings (recording_id, samples) that are rows already, such as windows of a stream. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rid, x in zip(batch.column(0).to_pylist(), rows_of(batch.column(1)), strict=True):
+                starts = [max(0, b * size - before) for b in range(-(-len(x) // size))]
+                parts = [x[s : (b + 1) * size + after] for b, s in enumerate(starts)]
+                if parts:
+                    k = len(parts)
+                    columns = ([rid] * k, range(k), [len(x)] * k, starts)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns] + [lists(parts)], ["recording_id", "block", "n", "start", "samples"])
+
+    return recordings.select(F.col(KEY).cast("long").alias(KEY), F.col("samples").cast("array<double>").alias("samples")).mapInArrow(run, SCHEMA)
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """(key, rows) of batches sorted by keys: a key's rows come in one or more parts, one after another."""
     for batch in batches:

@@ -14,6 +14,7 @@ from ..schema import FEATURES
 from ..sources import adapters, store
 from ..streaming import packets as packet_codec
 from ..streaming import sinks
+from ..streaming import windows as hopping
 from . import scoring
 from .catalog import ACTION, FRAMES, HOP, SIGNAL, SIZE, VERDICTS, _assessed, r6
 from .records import folder
@@ -42,11 +43,11 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def analysed(contents: DataFrame, parity: bool = True, size: int = analysis.SIZE) -> DataFrame:
-    """recording_id, duration_sec and the 60 features of recordings (recording_id, content), written; the frames they come from are deleted again."""
-    spark = contents.sparkSession
+def analysed_blocks(cut: DataFrame, parity: bool = True, size: int = analysis.SIZE) -> DataFrame:
+    """recording_id, duration_sec and the 60 features of recordings in blocks, written; the frames they come from are deleted again."""
+    spark = cut.sparkSession
     at, out = folder(spark, "analysis-frames"), folder(spark, "analysis")
-    rows = analysis.frame_rows(blocks.pcm_blocks(contents, size, analysis.BEFORE, analysis.AFTER), size)
+    rows = analysis.frame_rows(cut, size)
     rows.write.partitionBy("kind").parquet(at)
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
     analysis.features(spark.read.schema(schema).parquet(at), parity=parity).write.parquet(out)
@@ -54,6 +55,11 @@ def analysed(contents: DataFrame, parity: bool = True, size: int = analysis.SIZE
     return spark.read.parquet(out)
 
 
+def analysed(contents: DataFrame, parity: bool = True, size: int = analysis.SIZE) -> DataFrame:
+    """The features of recordings (recording_id, content) of unsigned 8-bit samples."""
+    return analysed_blocks(blocks.pcm_blocks(contents, size, analysis.BEFORE, analysis.AFTER), parity, size)
+
+
 @query()
 def analyse_recordings(spark, sf):
     """The five analysers' 60 features of every recording."""
@@ -218,6 +224,37 @@ def packet_gate(spark, sf):
     return r6(levels.withColumn("gate", scoring.stream_gate(F.lit(True), F.col("peak"), F.lit(1.0), db)))
 
 
+def live_verdicts(windows: DataFrame, probability: DataFrame | None = None, scenario: str = "general_telephony") -> DataFrame:
+    """The fast lane over a batch of windows (session_id, window_no, samples, peak, rms, speech_ratio): the gate, then analysis, classifier, fusion, calibration and
+    assessment of each window that passes, on its own. Windows that do not pass score 0 and are not analysed. Nothing is alerted here.
+    """
+    db = 20 * F.log10(F.greatest("rms", F.lit(1e-7)))
+    gate = scoring.stream_gate(F.col("speech_ratio") > 0, F.col("peak"), F.col("speech_ratio"), db)
+    rows = windows.withColumn("gate", gate).withColumn("recording_id", F.xxhash64("session_id", "window_no"))
+    open_ = rows.where("gate = 'pass'").select("recording_id", "samples")
+    table = analysed_blocks(blocks.array_blocks(open_, analysis.SIZE, analysis.BEFORE, analysis.AFTER))
+    found = verdicts(table, probability, scenario).drop("duration_sec")
+    got = rows.select("session_id", "window_no", "start_idx", "gate", "speech_ratio", "received_ms", "recording_id").join(found, "recording_id", "left").drop("recording_id")
+    quiet = {"probability": F.lit(0.0), "confidence": F.lit(0.0), "verdict": F.lit("NO_SPEECH"), "risk_level": F.lit("LOW"), "action": F.lit("AWAIT_CALLER_SPEECH"), "category": F.lit("No speech"), "factors": F.array().cast("array<string>")}
+    return got.withColumns({c: F.coalesce(c, v) for c, v in quiet.items()})
+
+
+@query()
+def stream_verify(spark, sf):
+    """A stream of packets to verdicts from samples: windows of a second, each 0.5 s, gated by voice and verified on their own; a batch that runs again replaces itself."""
+    at = folder(spark, "stream-verify")
+    long = adapters.recordings(spark, sf).where("content IS NOT NULL").select(F.col("recording_id").cast("string").alias("session_id"), packet_codec.decoded(F.col("content"), F.lit("uint8")).alias("x"))
+    packet = F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.size("x") - 1) / 4000), F.lit(0)).cast("int"))).alias("seq")
+    rows = long.select("session_id", "x", packet).select("session_id", F.col("seq").cast("long").alias("seq"), F.lit(analysis.RATE).alias("sample_rate"), F.slice("x", F.col("seq") * 4000 + 1, F.lit(4000)).alias("samples"), F.lit(False).alias("reset"))
+    rows.write.parquet(f"{at}/packets")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{at}/packets")
+    cut = hopping.hopping_windows(stream, analysis.RATE, analysis.RATE // 2, voice=True, keep=True)
+    run = cut.writeStream.foreachBatch(lambda batch, n: sinks.write_batch(live_verdicts(batch), n, f"{at}/verdicts")).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    names = "session_id string, window_no long, start_idx long, gate string, speech_ratio double, probability double, verdict string, risk_level string, action string"
+    return r6(sinks.read_sink(spark, f"{at}/verdicts", names).drop("batch"))
+
+
 K = "tan(pi() * 20 / 16000)"
 
 

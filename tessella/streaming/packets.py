@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Encodings of samples, and what a full scale is in each.
-ENCODINGS = {"int16": ("<i2", 32768.0), "int32": ("<i4", 2147483648.0), "float32": ("<f4", 1.0), "float64": ("<f8", 1.0)}
+ENCODINGS = {"int16": ("<i2", 32768.0), "int32": ("<i4", 2147483648.0), "float32": ("<f4", 1.0), "float64": ("<f8", 1.0), "uint8": ("u1", 128.0)}
 #: A chunk that arrives as JSON.
 CHUNK = "samples array<double>, sample_rate int, scenario string"
 
@@ -19,7 +19,8 @@ def samples_of(payload: bytes | None, encoding: str | None) -> np.ndarray | None
         return None
     kind, full = ENCODINGS[encoding]
     raw = payload or b""
-    x = np.frombuffer(raw[: len(raw) // np.dtype(kind).itemsize * np.dtype(kind).itemsize], kind).astype(float) / full
+    x = np.frombuffer(raw[: len(raw) // np.dtype(kind).itemsize * np.dtype(kind).itemsize], kind).astype(float)
+    x = (x - 128) / full if kind == "u1" else x / full  # silence of unsigned samples is in the middle
     return np.where(np.isfinite(x), x, 0.0)
 
 
@@ -40,7 +41,7 @@ def encoded(samples: Column, encoding: Column) -> Column:
         for x, e in zip(rows, encodings, strict=True):
             kind, full = ENCODINGS[e]
             y = np.clip(np.asarray(x, float), -1, 1)
-            out.append((np.round(y * (full - 1)) if full > 1 else y).astype(kind).tobytes())
+            out.append((np.round(y * (full - 1) + 128 * (kind == "u1")) if full > 1 else y).astype(kind).tobytes())
         return pd.Series(out, dtype=object)
 
     return encode(samples, encoding)

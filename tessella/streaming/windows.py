@@ -25,7 +25,7 @@ def speech_ratio(window: np.ndarray, frame: int, least_db: float) -> float:
 
 
 def hopping_windows(
-    packets: DataFrame, size: int, hop: int, target_rate: int | None = None, frame: int = 320, least_db: float = -48.0, idle_minutes: int | None = None, voice: bool = False
+    packets: DataFrame, size: int, hop: int, target_rate: int | None = None, frame: int = 320, least_db: float = -48.0, idle_minutes: int | None = None, voice: bool = False, keep: bool = False
 ) -> DataFrame:
     """Windows of `size` samples each `hop` samples, of packets (session_id, seq, sample_rate, samples), with level and speech ratio.
 
@@ -33,9 +33,10 @@ def hopping_windows(
     dropped after `idle_minutes` without a packet, if given (such a query goes on until it is stopped). A change of rate drops held samples and goes on counting; a packet with a true
     `reset` column starts the session anew. No tail is emitted. Packets of one batch are taken by seq, and one whose seq is not above
     that of the packet before it, in this batch or an earlier one, is left out; a reset lets any seq follow. A packet without samples only brings its rate or reset. NaN and infinite samples become 0. With `target_rate`, each window is resampled to it
-    before it is measured. The speech ratio is the share of frames over `least_db`, or with `voice` that of the window's speech segments. `received_ms` is that column of the packet that completed the window, if there is one.
+    before it is measured. The speech ratio is the share of frames over `least_db`, or with `voice` that of the window's speech segments. `received_ms` is that column of the packet that completed the window, if there is one. `keep` adds the window's samples, for what is to be found in them.
     """
-    names = [c.split()[0] for c in WINDOWS.split(", ")]
+    schema = WINDOWS + ", samples array<double>" * keep
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -58,7 +59,7 @@ def hopping_windows(
             held = np.concatenate([held, np.where(np.isfinite(new), new, 0.0)])
             while len(held) >= size:
                 w = polyphase(held[:size], rate, target_rate) if target_rate and target_rate != rate else held[:size]
-                out.append((key[0], start // hop, start, len(w), w.mean(), np.abs(w).max(), np.sqrt((w * w).mean()), speech_share(w, target_rate or rate) if voice else speech_ratio(w, frame, least_db), row.get("received_ms")))
+                out.append((key[0], start // hop, start, len(w), w.mean(), np.abs(w).max(), np.sqrt((w * w).mean()), speech_share(w, target_rate or rate) if voice else speech_ratio(w, frame, least_db), row.get("received_ms"), *([w.tolist()] if keep else [])))
                 held, start = held[hop:], start + hop
         state.update((held.tolist(), int(start), rate, int(last)))
         if idle_minutes:
@@ -66,7 +67,7 @@ def hopping_windows(
         if out:
             yield pd.DataFrame(out, columns=names).astype({"received_ms": float})
 
-    return packets.groupBy("session_id").applyInPandasWithState(step, WINDOWS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_minutes else GroupStateTimeout.NoTimeout)
+    return packets.groupBy("session_id").applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_minutes else GroupStateTimeout.NoTimeout)
 
 
 def fast_lane(windows: DataFrame, raw: Column) -> DataFrame:
