@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,11 +132,18 @@ def stat_pooling(mels: DataFrame) -> DataFrame:
 
 
 def dft_power(frames: DataFrame, size: int) -> DataFrame:
-    """(recording_id, frame_idx, k, power) of frames in rows (pos, x): each sample meets size / 2 + 1 basis values."""
-    angle = F.lit(2 * math.pi / size) * (F.col("k") * F.col("pos") % size)
-    rows = frames.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(size // 2))))
-    got = rows.groupBy(*FRAME, "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))
-    return got.select(*FRAME, "k", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
+    """(recording_id, frame_idx, k, power) of whole frames in rows (pos, x): a frame's samples meet once and are transformed in Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("x").to_pylist(), float).reshape(-1, size)
+            power = np.abs(np.fft.rfft(x, axis=1)) ** 2
+            n = power.shape[1]
+            ids = [pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in FRAME]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(np.tile(np.arange(n, dtype=np.int32), len(x))), pa.array(power.ravel())], [*FRAME, "k", "power"])
+
+    whole = frames.groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("s")).where(F.size("s") == size)
+    return whole.select(*[F.col(c).cast("long").alias(c) for c in FRAME], F.col("s.x").alias("x")).mapInArrow(run, "recording_id long, frame_idx long, k int, power double")
 
 
 def band_ratio(power: DataFrame, low: int, high: int) -> DataFrame:

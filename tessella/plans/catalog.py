@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -472,9 +472,12 @@ def vocal_tract(spark, sf):
 def formant_pick(spark, sf):
     """The four lowest candidate frequencies in range, from an array of them."""
     found = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(F.abs(x) * 20000).cast("double"))
-    rows = adapters.table(spark, sf, "embeddings").select("label", F.filter(found, lambda f: f.between(200, 5000)).alias("f"))
-    low = rows.groupBy("label").agg(F.flatten(F.collect_list(F.slice(F.sort_array("f"), 1, 4))).alias("f")).select("label", F.slice(F.sort_array("f"), 1, 4).alias("f"))
-    return low.select("label", *[F.get("f", F.lit(k)).alias(f"f{k + 1}") for k in range(4)])
+    own = F.slice(F.sort_array(F.filter(found, lambda f: f.between(200, 5000))), 1, 4)
+    rows = adapters.table(spark, sf, "embeddings").select("label", F.explode_outer(own).alias("f"))
+    # the limit on the rank is applied in each task before the shuffle, so a label sends four rows a task
+    low = rows.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.asc_nulls_last("f")))).where("k <= 4")
+    found = low.groupBy("label").agg(F.count("f").alias("n"), *[F.max(F.when(F.col("k") == k, F.col("f"))).alias(f"f{k}") for k in range(1, 5)])
+    return found.where("n > 0").drop("n")
 
 
 @query("SELECT doc_id, len(list_filter(l, lambda x: NOT starts_with(x, 'None') AND NOT starts_with(x, 'No audio'))) AS kept FROM (SELECT doc_id, ['None found', source, 'No audio', lang, CASE WHEN doc_id % 2 = 0 THEN 'None' ELSE 'low jitter' END] AS l FROM documents)")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..operators import analysis, blocks, embedding, features, frames, ingestion, recurrence, reports, training
 from ..schema import FEATURES
-from ..sources import adapters, store
+from ..sources import adapters, store, wav
 from ..streaming import packets as packet_codec
 from ..streaming import sinks
 from ..streaming import windows as hopping
@@ -255,6 +255,22 @@ def stream_verify(spark, sf):
     return r6(sinks.read_sink(spark, f"{at}/verdicts", names).drop("batch"))
 
 
+@query("""SELECT doc_id AS audio_id, CASE WHEN coalesce(text, '') = '' THEN 'unreadable' ELSE 'WAV' END AS container, CASE WHEN coalesce(text, '') <> '' THEN 48000 END AS rate, CASE WHEN coalesce(text, '') <> '' THEN 1 END AS channels,
+ CASE WHEN coalesce(text, '') <> '' THEN 8 END AS bits, CASE WHEN coalesce(text, '') <> '' THEN strlen(text) END AS num_samples, CASE WHEN coalesce(text, '') <> '' THEN 384.0 END AS bitrate_kbps FROM documents""")
+def container_probe(spark, sf):
+    """What the headers of files say, without their samples; files without a header are unreadable."""
+    got = wav.probe(wav_files(spark, sf).select("audio_id", F.substring("content", 1, 4096).alias("head"), F.octet_length("content").cast("long").alias("size")))
+    return got.select("audio_id", "container", "rate", "channels", "bits", F.round(F.col("duration_sec") * F.col("rate")).cast("long").alias("num_samples"), "bitrate_kbps")
+
+
+@query(f"""WITH {VERDICTS}, v AS (SELECT count(*) AS verdicts, count(*) FILTER (verdict = 'SYNTHETIC') AS synthetic, count(*) FILTER (risk_level <> 'LOW') AS alerts FROM ri) SELECT (SELECT count(DISTINCT label) FROM embeddings) AS speakers, (SELECT count(*) FROM embeddings) AS enrolments, verdicts, synthetic, alerts FROM v""")
+def service_stats(spark, sf):
+    """How much the service holds and has decided."""
+    speakers = adapters.voiceprints(spark, sf).agg(F.count_distinct("speaker_id").alias("speakers"), F.count("*").alias("enrolments"))
+    made = _assessed(spark, sf).agg(F.count("*").alias("verdicts"), F.count_if(F.col("verdict") == "SYNTHETIC").alias("synthetic"), F.count_if(F.col("risk_level") != "LOW").alias("alerts"))
+    return speakers.withColumn("k", F.lit(1)).join(made.withColumn("k", F.lit(1)), "k").drop("k")  # one row each
+
+
 K = "tan(pi() * 20 / 16000)"
 
 

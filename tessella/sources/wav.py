@@ -82,6 +82,43 @@ def decode_column(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, DECODED)
 
 
+def header(head: bytes, size: int) -> tuple[int, int, int, int]:
+    """(rate, channels, bits, bytes of samples) from the beginning of a file of `size` bytes; ValueError if it has no WAV header there."""
+    if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+        raise ValueError("not a RIFF/WAVE file")
+    at, form = 12, None
+    while at + 8 <= len(head):
+        name, n = head[at : at + 4], struct.unpack_from("<I", head, at + 4)[0]
+        if name == b"fmt ":
+            if at + 24 > len(head) or n < 16:
+                raise ValueError("the format is cut short")
+            form = struct.unpack_from("<HHIIHH", head, at + 8)
+        elif name == b"data" and form and form[1] and form[2] and form[5]:
+            return form[2], form[1], form[5], min(n, size - at - 8)
+        at += 8 + n + n % 2
+    raise ValueError("the file has no format or no data")
+
+
+def probe(files: DataFrame) -> DataFrame:
+    """audio_id, container, rate, channels, bits, duration_sec and bitrate_kbps of files (audio_id, head, size), where head is a file's beginning; `unreadable` where it is no WAV header."""
+    names = ["audio_id", "container", "rate", "channels", "bits", "duration_sec", "bitrate_kbps"]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for audio_id, head, size in zip(*(batch.column(c).to_pylist() for c in ("audio_id", "head", "size")), strict=True):
+                try:
+                    rate, channels, bits, n = header(head or b"", size or 0)
+                    rows.append((audio_id, "WAV", rate, channels, bits, n * 8 / (bits * channels * rate), bits * channels * rate / 1000))
+                except ValueError:
+                    rows.append((audio_id, "unreadable", None, None, None, None, None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return files.select(F.col("audio_id").cast("long").alias("audio_id"), "head", "size").mapInArrow(run, "audio_id long, container string, rate int, channels int, bits int, duration_sec double, bitrate_kbps double")
+
+
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
     """Recordings under a folder; the name of the folder a file is in is its label."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[wW][aA][vV]").load(path)
