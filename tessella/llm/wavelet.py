@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .bpe import resolve
 from .common import materialize, shared_dir, split_words, text_slices
+from .warc import put
 
 MAGIC = b"WAVELET1"
 END_ID = 1
@@ -395,7 +396,7 @@ def write_shards(docs: DataFrame, folder: str, name: str, ranges: int | None = N
             flat = np.concatenate(ids)
             with store.open_output_stream(scratch, compression=None) as f:
                 f.write(pack(WaveletMatrix.build(flat), doc_ids, lengths))
-            store.move(scratch, f"{base}/{title}")
+            put(store, scratch, f"{base}/{title}")  # a task that runs again replaces what it has left
             row = [part, shard, title, len(flat), len(doc_ids)]
             shard += 1
             for x in (ids, doc_ids, lengths):

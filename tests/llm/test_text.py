@@ -386,6 +386,38 @@ def test_dsir_ngrams_match_a_plain_count():
     assert bucket[offsets[3]] == xxhash.xxh64_intdigest("one") % 97
 
 
+def test_dsir_weights_by_definition(spark, docs, labels, raw):
+    """Log weights from counts in dictionaries, a part and a pair of parts at a time."""
+    import xxhash
+
+    good = {r.doc_id for r in labels.groupBy("doc_id").agg(dsir.F.max("quality").alias("q")).where("q = 1").collect() if r.doc_id is not None}
+    mixed = lambda h: int(dsir.mix64(np.array([h], np.uint64))[0])
+    part = lru_cache(None)(lambda w: xxhash.xxh64_intdigest(w))
+
+    def grams(text):
+        p = [part(w) for word in WORD.findall(text or "") for w in re.findall(r"\w+|[^\w\s]+", word)]
+        return [h % 1000 for h in p] + [mixed((mixed(a) + b) % 2**64) % 1000 for a, b in zip(p, p[1:], strict=False)]
+
+    rows = [(r[0], grams(r[1])) for r in raw[:60] + raw[-10:]]
+    some = spark.createDataFrame([(*r, "clash", 0.5, 7, 7) for r in raw[:60] + raw[-10:]], docs.schema).repartition(3)
+    every, target = Counter(g for _, found in rows for g in found), Counter(g for i, found in rows for g in found if i in good)
+    assert target
+    n_every, n_target = sum(every.values()) + 1000, sum(target.values()) + 1000
+    weight = lambda g: math.log((target[g] + 1) / n_target) - math.log((every[g] + 1) / n_every)
+    expected = sorted(((i, len(found), sum(map(weight, found))) for i, found in rows), key=lambda r: (r[0] is None, r[0] or 0))
+    ratios = dsir.log_ratios(some, labels, buckets=1000)
+    got = sorted(((r.doc_id, r.n_ngrams, r.log_weight) for r in dsir.log_weights(some, ratios).collect()), key=lambda r: (r[0] is None, r[0] or 0))
+    assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in expected]
+    assert [c for _, _, c in got] == pytest.approx([c for _, _, c in expected], abs=1e-6)
+
+
+def test_wavelet_shards_may_be_written_twice(docs, tmp_path):
+    """A task that runs again finds its own files there."""
+    folder = f"file://{tmp_path}/shards"
+    first, second = (sorted(map(tuple, wavelet.write_shards(docs, folder, "word_bpe_49k.json", 2).collect())) for _ in range(2))
+    assert first == second and len(list((tmp_path / "shards").glob("shard-*"))) == len(first) and not list((tmp_path / "shards").glob("_attempt*"))
+
+
 INSULTS = ["blarghul", "zonkwit", "vexmudge"]
 
 
