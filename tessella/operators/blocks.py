@@ -34,6 +34,12 @@ def rows_of(column: pa.Array) -> Iterator[np.ndarray]:
         yield flat[offsets[k] : offsets[k + 1]]
 
 
+def dealt(rows: DataFrame, key: str = KEY) -> DataFrame:
+    """The rows, dealt by key where the input comes in fewer splits than there are cores, as for a small table in one file; larger inputs stay where they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores, key) if rows.rdd.getNumPartitions() < 2 * cores else rows
+
+
 def sample_blocks(samples: DataFrame, size: int, before: int = 0, after: int = 0) -> DataFrame:
     """Blocks of samples (recording_id, idx, x), idx from 0 without gaps; one shuffle of the samples, by recording and block."""
     n = samples.groupBy(KEY).agg(F.count("*").alias("n"))

@@ -57,7 +57,7 @@ def analysed_blocks(cut: DataFrame, parity: bool = True, size: int = analysis.SI
 
 def analysed(contents: DataFrame, parity: bool = True, size: int = analysis.SIZE) -> DataFrame:
     """The features of recordings (recording_id, content) of unsigned 8-bit samples."""
-    return analysed_blocks(blocks.pcm_blocks(contents, size, analysis.BEFORE, analysis.AFTER), parity, size)
+    return analysed_blocks(blocks.pcm_blocks(blocks.dealt(contents), size, analysis.BEFORE, analysis.AFTER), parity, size)
 
 
 @query()
@@ -197,7 +197,7 @@ def ingest_files(spark, sf):
 @query()
 def ingest_voice(spark, sf):
     """Of every file that can be read, level, speech and silence after clean-up, and its chunks with speech."""
-    got = ingestion.records(wav_files(spark, sf)).where("error IS NULL")
+    got = ingestion.records(blocks.dealt(wav_files(spark, sf), "audio_id")).where("error IS NULL")
     spoken = F.size(F.filter("chunks", lambda c: c["speech_ratio"] > 0.05)).cast("long")
     return r6(got.select("audio_id", "peak_dbfs", "rms_dbfs", "is_clipped", "speech_sec", "silence_sec", "speech_ratio", F.size("segments").alias("segments"), spoken.alias("speech_chunks")))
 
