@@ -5,13 +5,14 @@ the text. Smoothed n-grams are states and arcs: the root has an arc for each eve
 tokens; what the discount takes is the unknown word's), each word is a state with arcs for the events that follow it,
 and so is each pair of words. Where a state has no arc for an event, its failure arc leads to the state that
 forgets the oldest word, at the weight that makes all probabilities sum to one. A text is read once from left to right,
-carrying the state and adding log-probabilities.
+carrying the state and adding log-probabilities. A state remembers two words, so a long text is read as pieces side by side, each of which
+first reads the two words before it, unscored, and so comes to the state in which a reader of the whole text would be.
 
 Scale. Words, pairs and triples of all training documents are counted, rare ones too; they grow with the corpus, so they are never
 broadcast. Texts are cut into chunks whose words are dictionary-coded once. A chunk sends each of its distinct n-grams once, as a
 sorted block of 64-bit keys (hashes) and counts for each range of keys; the task of a range sums its blocks and answers
 each block in its order, so a chunk receives the counts of the n-grams it uses. One chunk of those that hold an n-gram is told to count it among the
-successors of its context, and these numbers are summed in the same way. Each chunk is then read by the part of the automaton that its texts use.
+successors of its context, and these numbers are summed in the same way. From them each chunk's task builds the states and arcs that its texts can pass, and reads the texts with them.
 Chunks and their counts are written in buckets of chunks, so joins do not shuffle them. There are as many ranges as keep each near RANGE keys; n-grams whose hashes of 48 to 62 bits clash share a count.
 
 Defined results: null and empty texts are one end token. A null doc_id is not held out. With nothing to learn from, the base score
@@ -39,6 +40,9 @@ from .kneser_ney import discounts
 #: Keys (of words, pairs and triples, once for each chunk) that one task sums at a time.
 RANGE = 2_000_000
 CHUNK_BYTES = 6 << 20
+#: Symbols of a text that are read in one go; the next piece starts from the MEMORY symbols before it.
+PIECE = 256
+MEMORY = 2
 CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, hashes binary, tokens long"
 BLOCK = "chunk long, part long, size long, keys binary, sums array<binary>"
 ANSWER = "chunk long, part long, size long, sums array<binary>"
@@ -80,11 +84,11 @@ def word_hashes(vocab: pa.Array) -> np.ndarray:
 class Automaton:
     """States are contexts; arcs: sorted state * symbols + symbol, with log10 probability and next state.
 
-    Symbols: the words 0 to len(`heads`) - 1, then other words, the start and the end. State 0 is the root, whose
-    arcs carry the events' own probabilities.
+    Symbols: the words, then other words, the start and the end. State 0 is the root, whose arcs carry the events' own
+    probabilities and lead to `root_target`. No state remembers more than MEMORY symbols.
     """
 
-    heads: Sequence
+    symbols: int
     arcs: np.ndarray
     logp: np.ndarray
     target: np.ndarray
@@ -93,45 +97,47 @@ class Automaton:
     root_target: np.ndarray
     start: int
 
-    @property
-    def symbols(self) -> int:
-        return len(self.heads) + 3
+    def step(self, state: np.ndarray, event: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state and the log10 probability of an event read in each state; failure arcs are followed until one has an arc for it."""
+        into, logp = self.root_target[event], own.copy()
+        left = np.flatnonzero(state)
+        now, paid = state[left], np.zeros(len(left))
+        while len(left):
+            key = now * self.symbols + event[left]
+            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            hit = self.arcs[arc] == key
+            found = left[hit]
+            into[found], logp[found] = self.target[arc[hit]], paid[hit] + self.logp[arc[hit]]
+            left, now, paid = left[~hit], now[~hit], paid[~hit]
+            paid, now = paid + self.weight[now], self.fail[now]
+            root = now == 0
+            logp[left[root]] += paid[root]
+            left, now, paid = left[~root], now[~root], paid[~root]
+        return into, logp
 
     def read(self, symbol: np.ndarray, own: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each row's events, given each event's own: all rows are read in step, left to right."""
+        """log10 probability of each text's events, given each event's own: pieces of texts are read in step, left to right."""
         length = np.diff(offsets)
-        total, state = np.zeros(len(length)), np.full(len(length), self.start, np.int64)
-        order = np.argsort(-length, kind="stable")
-        active = np.searchsorted(-length[order], -np.arange(1, (length.max() if len(length) else 0) + 1), "right")
+        pieces = -(-length // PIECE)
+        text = np.repeat(np.arange(len(length)), pieces)
+        k = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        size = np.minimum(PIECE, length[text] - k * PIECE) + MEMORY * (k > 0)
+        order = np.argsort(-size, kind="stable")
+        text, k, size = text[order], k[order], size[order]
+        begin = offsets[text] + k * PIECE - MEMORY * (k > 0)
+        total, state = np.zeros(len(text)), np.where(k > 0, 0, self.start)
+        active = np.searchsorted(-size, -np.arange(1, size.max(initial=0) + 1), "right")
         for place, n in enumerate(active.tolist()):
-            rows = order[:n]
-            at = offsets[rows] + place
-            left, event = rows, symbol[at]
-            while True:
-                now = state[left]
-                deep = now > 0
-                if not deep.all():
-                    root = left[~deep]
-                    total[root] += own[offsets[root] + place]
-                    state[root] = self.root_target[event[~deep]]
-                    left, event, now = left[deep], event[deep], now[deep]
-                if not len(left):
-                    break
-                key = now * self.symbols + event
-                arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-                hit = self.arcs[arc] == key
-                total[left[hit]] += self.logp[arc[hit]]
-                state[left[hit]] = self.target[arc[hit]]
-                left, event, now = left[~hit], event[~hit], now[~hit]
-                total[left] += self.weight[now]
-                state[left] = self.fail[now]
-        return total
+            at = begin[:n] + place
+            state[:n], logp = self.step(state[:n], symbol[at], own[at])
+            total[:n] += logp if place >= MEMORY else np.where(k[:n] > 0, 0.0, logp)
+        return np.bincount(text, total, len(length))
 
 
 def build_automaton(heads: list[str], own: np.ndarray, pairs: dict[tuple[int, int], int], triples: dict[tuple[int, int, int], int]) -> Automaton:
     """The whole automaton, from the events' own probabilities (by symbol) and the counts of all symbol pairs and triples.
 
-    The plain definition of the model, for small corpora; `chunk_scores` follows the part of it that a chunk uses.
+    The plain definition of the model, for small corpora; `chunk_automaton` is the part of it that a chunk uses.
     """
     other, symbols = len(heads), len(heads) + 3
     state_of: dict[tuple[int, ...], int] = {(): 0}
@@ -161,7 +167,7 @@ def build_automaton(heads: list[str], own: np.ndarray, pairs: dict[tuple[int, in
     weight = np.array([np.log10(max(left[c], 1e-12)) for c in contexts])
     root_target = np.array([longest((s,)) for s in range(symbols)])
     column = lambda k, kind: np.array([a[k] for a in arcs] or [-1], kind)
-    return Automaton(heads, column(0, np.int64), column(1, float), column(2, np.int64), fail, weight, root_target, longest((other + 1,)))
+    return Automaton(symbols, column(0, np.int64), column(1, float), column(2, np.int64), fail, weight, root_target, longest((other + 1,)))
 
 
 def full(prob: dict, left: dict, own: np.ndarray, key: tuple[int, ...]) -> float:
@@ -329,13 +335,11 @@ def successors(g: Grams, counted: list[np.ndarray]) -> tuple[np.ndarray, list[np
     return ask, out
 
 
-def chunk_scores(g: Grams, counts: list[np.ndarray], kinds: np.ndarray, own: np.ndarray, d2: np.ndarray, d3: np.ndarray) -> np.ndarray:
-    """log10 probability of each of a chunk's texts; `kinds` has the numbers of successors of all its symbols and pairs.
+def chunk_automaton(g: Grams, counts: list[np.ndarray], kinds: np.ndarray, own: np.ndarray, d2: np.ndarray, d3: np.ndarray) -> Automaton:
+    """The states and arcs that a chunk's texts can pass; `kinds` has the numbers of successors of all its symbols and pairs.
 
-    The states that its texts pass are its words, its pairs and the start, where they were counted; else the root. A state and the
-    symbol read there are a pair or a triple of the chunk, so the failure arcs from a state to an arc of that symbol (or to the root's) are
-    followed once for each of these, with the shorter state's way known before the longer one's. The texts are then read from left
-    to right: the state that two symbols lead to is the one in which the next is read.
+    State 1 + a is the symbol a's, state 1 + symbols + p the pair p's. Those that were never counted have no arc to them: what
+    would lead there leads to the longest shorter context that was.
     """
     s, (one, two, three) = g.symbols, counts
     a, b = g.pairs // s, g.pairs % s
@@ -344,19 +348,18 @@ def chunk_scores(g: Grams, counts: list[np.ndarray], kinds: np.ndarray, own: np.
     shorter[g.triple_at] = g.pair_at[g.later]
     left_one = kinds[:, :s].T @ d2[1:] / np.maximum(one, 1)
     left_two = kinds[:, s:].T @ d3[1:] / np.maximum(two, 1)
-    fail_one = np.where(one > 0, np.log10(np.maximum(left_one, 1e-12)), 0.0)
-    fail_two = np.where(two > 0, np.log10(np.maximum(left_two, 1e-12)), 0.0)
-    log_own = np.log10(own)
     near = (two - d2[np.minimum(two, 3)]) / np.maximum(one, 1)[a] + left_one[a] * own[b]
-    t = np.flatnonzero(three)
+    p = np.flatnonzero((two > 0) & (one[a] > 0))
+    t = np.flatnonzero((three > 0) & (two[ctx] > 0) & (two[shorter] > 0))
     deep = (three[t] - d3[np.minimum(three[t], 3)]) / two[ctx[t]] + left_two[ctx[t]] * near[shorter[t]]
-    with np.errstate(divide="ignore"):
-        in_word = np.where(two > 0, np.log10(near), fail_one[a] + log_own[b])  # read in the state of one word, or in the root
-    in_pair = fail_two[ctx] + in_word[shorter]
-    in_pair[t] = np.log10(deep)
-    at = in_word[g.pair_at]
-    at[g.later] = in_pair[g.triple_at]
-    return sums_by_row(at, g.offsets)
+    word = np.where(one > 0, 1 + np.arange(s), 0)
+    pair = np.where(two > 0, 1 + s + np.arange(len(two)), word[b])
+    arcs = np.concatenate([(1 + a[p]) * s + b[p], (1 + s + ctx[t]) * s + c[t]])  # sorted, as pairs and triples are
+    logp, target = np.log10(np.concatenate([near[p], deep])), np.concatenate([pair[p], pair[shorter[t]]])
+    if not len(arcs):
+        arcs, logp, target = np.array([-1]), np.zeros(1), np.zeros(1, np.int64)
+    weight = np.log10(np.maximum(np.concatenate([[1.0], left_one, left_two]), 1e-12))
+    return Automaton(s, arcs, logp, target, np.concatenate([np.zeros(1 + s, np.int64), word[b]]), weight, word, int(word[s - 2]))
 
 
 def per_row(work: Callable[[dict], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -441,7 +444,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         kinds[:, ask] = answers(row["kinds"], np.concatenate(keys[:2])[ask], 3)
         count, own = counts[0], own_of(counts[0])
         count[-1], own[-1] = ends, end_own
-        score = chunk_scores(g, counts, kinds, own, d2, d3)
+        score = chunk_automaton(g, counts, kinds, own, d2, d3).read(g.symbol, np.log10(own)[g.symbol], g.offsets)
         base = sums_by_row(np.log10((count[g.symbol] + 1) / (n + v + 1)), g.offsets)
         length = np.diff(g.offsets)
         values = [row["doc_ids"].values, row["held"].values, length, sums_by_row((count[g.symbol] > 0).astype(np.int64), g.offsets), np.full(len(length), n), base, score]

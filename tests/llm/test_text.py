@@ -250,6 +250,33 @@ def test_lm_learns_pairs_and_triples_of_rare_words(spark, monkeypatch):
         assert np.allclose([got[i] for i in ids], expected, rtol=1e-9)
 
 
+@pytest.mark.parametrize("piece", [1, 2, 3, 50, 4000])
+def test_lm_pieces_of_a_text_come_to_the_states_of_the_whole(monkeypatch, piece):
+    """Read in pieces or at once, a text's score is that of a walk through the automaton, symbol by symbol."""
+    rng = np.random.default_rng(piece)
+    own = np.array([0.3, 0.2, 0.1, 0.05, 0.3, 1.0, 0.05])  # four words, the others' sum, the start, the end
+    learnt = [[5, *rng.integers(0, 5, 30).tolist(), 6] for _ in range(6)]
+    pairs, triples = (Counter(p for c in learnt for p in zip(*(c[k:] for k in range(n)), strict=False)) for n in (2, 3))
+    a = lm.build_automaton(list("abcd"), own, {p: n for p, n in pairs.items() if n > 1}, {t: n for t, n in triples.items() if n > 1})
+    texts = [rng.integers(0, 5, n).tolist() + [6] for n in (0, 1, 2, 49, 50, 51, 700)]
+    expected = []
+    for text in texts:
+        state, total = a.start, 0.0
+        for symbol in text:
+            while state and state * a.symbols + symbol not in a.arcs:
+                total, state = total + a.weight[state], a.fail[state]
+            if state:
+                arc = np.searchsorted(a.arcs, state * a.symbols + symbol)
+                total, state = total + a.logp[arc], a.target[arc]
+            else:
+                total, state = total + math.log10(own[symbol]), a.root_target[symbol]
+        expected.append(total)
+    monkeypatch.setattr(lm, "PIECE", piece)
+    flat = np.concatenate([np.array(x) for x in texts])
+    assert np.allclose(a.read(flat, np.log10(own)[flat], np.concatenate([[0], np.cumsum([len(x) for x in texts])])), expected, rtol=1e-12)
+    assert not len(a.read(flat[:0], own[:0], np.zeros(1, np.int64)))
+
+
 @pytest.fixture(scope="module")
 def byte_level():
     path = bpe.resolve("byte_bpe_50k.json")
