@@ -67,6 +67,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, label: str) -> DataFrame:
+    """`materialize` in buckets of a column, so that joins on it do not shuffle these rows. The table's name is dropped at once, its files stay."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    writer = df.write.option("compression", "zstd").option("path", path)
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).saveAsTable(name)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(first row, slice) of a string array; null counts as empty; slices hold about `limit` bytes."""
     texts = pc.fill_null(texts, "")

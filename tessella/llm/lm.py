@@ -22,7 +22,6 @@ Extra columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, remove, shared_dir, split_words, sums_by_row, text_bytes, text_slices, written
+from .common import bucketed, materialize, mix64, remove, split_words, sums_by_row, text_bytes, text_slices, written
 from .kneser_ney import discounts
 
 #: Keys (of words, pairs and triples, once for each chunk) that one task sums at a time.
@@ -383,21 +382,10 @@ def cleaned(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def by_chunk(df: DataFrame, label: str) -> DataFrame:
-    """`materialize` in buckets of `chunk`, so that joins on it do not shuffle these rows. The table's name is dropped at once, its files stay."""
-    spark = df.sparkSession
-    name = f"{label}_{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
-    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").saveAsTable(name)
-    out = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")
-    return out
-
-
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
-    chunks = by_chunk(chunk_table(docs), "lm_chunks")
+    chunks = bucketed(chunk_table(docs), "chunk", "lm_chunks")
     got = chunks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     ends, parts, bits = got[0], max(1, -(-2 * got[1] // RANGE)), key_bits(got[1])
 
@@ -420,8 +408,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
         stats = np.zeros((3, 6), np.int64)
         for r in sums.where("chunk < 0").select("sums").toLocalIterator():
             stats += np.array([np.frombuffer(b, "<i8") for b in r.sums])
-        known = chunks.join(by_chunk(gathered(sums, "counts"), "lm_counts").hint("merge"), "chunk")
-        remove(spark, paths)
+        known = chunks.join(bucketed(gathered(sums, "counts"), "chunk", "lm_counts").hint("merge"), "chunk")
+        remove(spark, paths[:1])  # the sums; the counts are read to the end
     with cleaned(spark):
         kinds_ = materialize(sum_blocks(known.mapInArrow(per_row(send_successors), BLOCK), False), "lm-kinds")
     n, v = int(stats[0, 5]) + ends, int(stats[0, 4]) + (ends > 0)

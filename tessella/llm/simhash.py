@@ -18,7 +18,7 @@ Defined results: null, empty and blank texts have fingerprint zero and link as a
 words than a shingle are one shingle. Rows that repeat a doc_id are one document. A row with a
 null doc_id has a fingerprint and belongs to the component of equal and linked fingerprints, or to none (null)
 if no document with an id is there. Extra columns are ignored by `components` and returned unchanged by
-`keep_one`. An empty table gives an empty result.
+`one_of_each`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,13 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_slices
+from .common import bucketed, materialize, text_slices
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Groups up to this size are compared at once; larger ones in blocks of half of it, up to so many blocks.
 GROUP, BLOCKS = 1024, 128
 #: Parts into which rows of one key are dealt where a large group's size is joined to them.
 SALTS = 64
+#: Two to this power consecutive row numbers share a bitmap; bitmaps hold no more.
+BITMAP = 15
 #: Mean group size up to which fewer, shorter blocks do.
 MEAN_GROUP = 64
 
@@ -303,24 +305,17 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, gr
     return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
-    """The documents with one row for each component: that of its smallest doc_id; null ids in no component go with their text."""
-    rows = materialize(components(docs, shingle, radius, group), "simhash-rows")
-    kept = rows.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
-    kept = materialize(kept, "simhash-kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if kept.where("times > 1").isEmpty():
-        return out
-    return out.dropDuplicates(["doc_id"])
-
-
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
     """The documents with one row for each component, all columns unchanged: of its smallest doc_id, the first such row; nulls come last.
 
     Rows are told apart by a number written with their fingerprints, and the fingerprints are the nodes, so rows without an id
     link and stay like any other, and rows that repeat a doc_id with other texts are not one document.
+
+    Texts are written once, in buckets of blocks of consecutive numbers, and not shuffled: numbers of the rows that stay meet in
+    a bitmap for each block, 4 KB, and each bucket's texts stream past the bitmaps of its blocks.
     """
-    number, mark = "near_dedup_row", "near_dedup_fp"
+    names = ("near_dedup_row", "near_dedup_fp", "near_dedup_block", "in_block", "bits")
+    number, mark, block, in_block, bits = (_free(name, docs.columns) for name in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,12 +324,25 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, g
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns, pa.array(fp)], [*batch.schema.names, mark])
 
     numbered = docs.withColumn(number, F.monotonically_increasing_id())
-    rows = materialize(numbered.mapInArrow(run, T.StructType([*numbered.schema.fields, T.StructField(mark, T.LongType())])), "simhash-texts")
+    marked = numbered.mapInArrow(run, T.StructType([*numbered.schema.fields, T.StructField(mark, T.LongType())]))
+    rows = bucketed(marked.withColumn(block, F.shiftright(number, BITMAP)), block, "simhash_texts")
     doc_id = F.col("doc_id").cast("long")
     first = F.min(F.struct(doc_id.isNull().alias("last"), doc_id.alias("doc_id"), F.col(number).alias("number"))).alias("first")
     nodes = materialize(rows.groupBy(F.col(mark).alias("fp")).agg(first), "simhash-nodes")
     found = connected(links(nodes.select("fp", F.col("fp").alias("rep")), radius, group))
     named = nodes.join(found, nodes["fp"] == found["node"], "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
-    kept = materialize(named.select(F.col("first.number").alias(number)), "simhash-kept")
-    # as many keys as documents are kept, so they are never sent to every executor
-    return rows.join(kept.hint("merge"), number, "left_semi").select(*docs.columns)
+    stays = named.select(F.shiftright("first.number", BITMAP).alias(in_block), F.col("first.number").bitwiseAND((1 << BITMAP) - 1).alias("bit"))
+    # numbers are shuffled before they become bitmaps: a task would else send a whole bitmap for each block it has a number of
+    stays = stays.repartition(in_block).groupBy(in_block).agg(F.bitmap_construct_agg("bit").alias(bits))
+    stays = materialize(stays, "simhash-kept")
+    bit = F.col(number).bitwiseAND((1 << BITMAP) - 1)
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("long")
+    kept = rows.join(stays.hint("shuffle_hash"), F.col(block) == F.col(in_block))
+    return kept.where(F.expr(f"1 << (`{number}` & 7)").bitwiseAND(byte) != 0).select(*(rows[f"`{c}`"] for c in docs.columns))
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """The name, lengthened until no column has it."""
+    while name.lower() in (c.lower() for c in taken):
+        name += "_"
+    return name

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessella.llm import bpe, decontaminate, html, queries, simhash, warc
@@ -70,11 +71,25 @@ def test_simhash_links_in_dense_groups(spark):
 
 
 def test_simhash_keeps_one_of_each(docs, raw, empty):
+    """Columns named as those used inside come back as they were."""
     rows = components([(r[0], fingerprint(r[1])) for r in raw])
-    kept = simhash.keep_one(docs)
-    assert set(kept.columns) == set(docs.columns)
-    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted({j for _, _, j in rows if j is not None})
-    assert simhash.components(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+    clash = docs.withColumns({"near_dedup_row": F.col("doc_id"), "Near_Dedup_FP": F.lit("x"), "bits": F.lit(1), "in_block": F.lit(2)})
+    kept = simhash.one_of_each(clash)
+    assert kept.columns == clash.columns
+    got = kept.collect()
+    assert all((r.near_dedup_row, r.Near_Dedup_FP, r.bits, r.in_block) == (r.doc_id, "x", 1, 2) for r in got)
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted({j for _, _, j in rows if j is not None})
+    assert simhash.components(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
+
+
+def test_one_of_each_over_several_bitmaps(spark):
+    """Row numbers of one partition run over many bitmaps, whose first and last bits count; texts are not shuffled for the last join."""
+    n = 3 << simhash.BITMAP
+    twice = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.when(F.col("id") % 1000 == 999, F.col("id") - 1).otherwise(F.col("id"))).alias("text"))
+    kept = simhash.one_of_each(twice.coalesce(1), radius=0)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [k for k in range(n) if k % 1000 != 999]
+    plan = kept._jdf.queryExecution().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1
 
 
 def test_near_dedup_keeps_rows_without_ids(spark, docs, raw):
