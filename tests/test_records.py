@@ -36,3 +36,9 @@ def test_enrolment_folds_all_samples(spark):
     rows = spark.createDataFrame([("s", k, x.tolist()) for k, x in enumerate(e)], "speaker_id string, sample_no long, embedding array<double>")
     got = speakers.enroll(rows).first()
     assert got.sample_count == 12 and np.allclose(got.voiceprint, v)
+
+
+@pytest.mark.parametrize("name", ["full_vector", "top_five_features", "vector_to_map"])
+def test_maps_of_analysers_meet_in_shuffles(spark, sf, name):
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "map_concat" not in plan
