@@ -252,3 +252,36 @@ def test_resonances_of_a_known_filter():
     poles = [0.97 * np.exp(2j * np.pi * f / RATE) for f in (700, 1220, 2600, 3500)]
     polynomial = np.real(np.poly([*poles, *np.conj(poles)]))
     assert np.allclose(analysis.resonances(polynomial[None]), [[700, 1220, 2600, 3500]], atol=0.1)
+
+
+def test_a_recording_of_one_block_is_summed_where_it_is(spark):
+    rows = spark.createDataFrame([(1, bytes(np.random.default_rng(3).integers(90, 166, 5000, dtype=np.uint8)))], "recording_id long, content binary")
+    made = analysis.frame_rows(blocks.pcm_blocks(rows, analysis.SIZE, analysis.BEFORE, analysis.AFTER))
+    kinds = {r.kind for r in made.select("kind").distinct().collect()}
+    assert "sums" in kinds and not kinds & {"power", "harmonics", "steps", "strong", "delay", "bend", "slopes"}
+    cut = analysis.frame_rows(blocks.pcm_blocks(rows, 1280, analysis.BEFORE, analysis.AFTER), 1280)
+    one, many = (analysis.summed(r).first().asDict() for r in (made, cut))
+    assert all(one[c] == pytest.approx(many[c], rel=1e-9, abs=1e-9) for c in analysis.SUMMED)
+
+
+def test_top_names_rank_as_top_features(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.operators import features
+
+    z = spark.createDataFrame([(1, [0.5, -2.0, 2.0, 0.0, -0.0, 1.0, 5.0, -5.0])], "recording_id long, z array<double>")
+    names = list("abcdefgh")
+    long = z.select("recording_id", F.posexplode("z").alias("pos", "z")).withColumn("feature", F.element_at(F.array(*map(F.lit, names)), F.col("pos") + 1))
+    ranked = [r.feature for r in features.top_features(long, 5).orderBy("rank").collect()]
+    assert z.select(features.top_names(F.col("z"), names)).first()[0] == ranked == ["h", "g", "c", "b", "f"]
+
+
+def test_embeddings_of_one_block_equal_those_of_many(spark):
+    from tessella.operators import embedding
+
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(k, bytes(rng.integers(0, 256, n, dtype=np.uint8))) for k, n in enumerate((900, 1024, 3000, 4000))], "recording_id long, content binary")
+    one, many = ({(r.recording_id, r.j): r.value for r in embedding.voice_embeddings(blocks.pcm_blocks(rows, size, 0, embedding.FFT), size).collect()} for size in (20480, 1280))
+    assert len(one) == 4 * embedding.DIM and one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-9 for k in one)
+    pooled = embedding.pooled_blocks(blocks.pcm_blocks(rows, 20480, 0, embedding.FFT).where("n >= 1024"))
+    assert pooled.count() == 3 and "Exchange" not in pooled._jdf.queryExecution().executedPlan().toString()
