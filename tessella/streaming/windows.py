@@ -31,7 +31,7 @@ def hopping_windows(
 
     A session's state is the samples that a later window still needs, fewer than size + a packet, whatever the stream's length; it is
     dropped after `idle_minutes` without a packet, if given (such a query goes on until it is stopped). A change of rate drops held samples and goes on counting; a packet with a true
-    `reset` column starts the session anew. No tail is emitted. Packets of one batch are taken by seq, and one whose seq is not above
+    `reset` column starts the session anew. One with a true `end` column is the session's last: its state is dropped with the batch, so finished sessions hold nothing. No tail is emitted. Packets of one batch are taken by seq, and one whose seq is not above
     that of the packet before it, in this batch or an earlier one, is left out; a reset lets any seq follow. A packet without samples only brings its rate or reset. NaN and infinite samples become 0. With `target_rate`, each window is resampled to it
     before it is measured. The speech ratio is the share of frames over `least_db`, or with `voice` that of the window's speech segments. `received_ms` is that column of the packet that completed the window, if there is one. `keep` adds the window's samples, for what is to be found in them.
     """
@@ -45,8 +45,9 @@ def hopping_windows(
         held, start, rate, last = state.get if state.exists else ([], 0, 0, -1)
         held = np.array(held, float)
         rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
-        out = []
+        out, ended = [], False
         for row in rows.to_dict("records"):
+            ended = bool(row.get("end"))
             if row.get("reset"):
                 held, start = held[:0], 0
             elif row["seq"] <= last:
@@ -61,9 +62,12 @@ def hopping_windows(
                 w = polyphase(held[:size], rate, target_rate) if target_rate and target_rate != rate else held[:size]
                 out.append((key[0], start // hop, start, len(w), w.mean(), np.abs(w).max(), np.sqrt((w * w).mean()), speech_share(w, target_rate or rate) if voice else speech_ratio(w, frame, least_db), row.get("received_ms"), *([w.tolist()] if keep else [])))
                 held, start = held[hop:], start + hop
-        state.update((held.tolist(), int(start), rate, int(last)))
-        if idle_minutes:
-            state.setTimeoutDuration(idle_minutes * 60_000)
+        if not ended:
+            state.update((held.tolist(), int(start), rate, int(last)))
+            if idle_minutes:
+                state.setTimeoutDuration(idle_minutes * 60_000)
+        elif state.exists:
+            state.remove()
         if out:
             yield pd.DataFrame(out, columns=names).astype({"received_ms": float})
 

@@ -42,3 +42,15 @@ def test_rate_change_and_bad_samples(spark, tmp_path):
 def test_gate(spark):
     rows = spark.createDataFrame([(0.5, 0.1), (0.001, 0.1), (0.5, 1e-9)], "peak double, rms double")
     assert [r.scored for r in windows.gated(rows).collect()] == [True, False, False]
+
+
+def test_a_session_that_ends_leaves_no_state(spark, tmp_path):
+    rows = [("a", 0, 16000, [0.5] * 40, False), ("a", 1, 16000, [0.25] * 40, True), ("b", 0, 16000, [0.5] * 40, False)]
+    schema = "session_id string, seq long, sample_rate int, samples array<double>, `end` boolean"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    cut = windows.hopping_windows(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 32, 16)
+    run = cut.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sum(p.stateOperators[0].numRowsUpdated for p in run.recentProgress) == 1 and run.lastProgress.stateOperators[0].numRowsTotal == 1
+    got = sorted((r.session_id, r.window_no) for r in spark.read.schema(cut.schema).parquet(f"{tmp_path}/out").collect())
+    assert got == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0)]
