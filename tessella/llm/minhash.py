@@ -1,20 +1,19 @@
 """MinHash near-dedup with a signature-coordinate inverted join.
 
 A document's set holds its distinct word shingles, as 64-bit hashes. Its signature has COORDINATES coordinates, each the smallest hash of the
-set under its own order, and a document is posted under each (coordinate, value), its tokens. Two documents whose sets are as near as 85 % of their
-union agree in MATCHES or more of 64 coordinates but for one pair in three thousand million, so:
-
-- Prefix: tokens are ordered by how many documents hold them, rare ones first. Documents that share MATCHES tokens share one among the first
-  COORDINATES - MATCHES + 1 of each. Tokens of one document only are of no use, so a document with fewer than MATCHES others is out, and common
-  tokens, which would make long lists, are hardly ever in a prefix.
-- Skip: where two documents meet in a list, the other lists are not merged; their agreements are counted on short signatures, a byte for each
-  coordinate, which can only count too many. Sketches of the full sets go with them: a bit of a sketch is the parity of how many members fall
-  there, so equal members cancel out and two sketches cannot differ in more bits than the sets in members.
+set under its own order; BAND coordinates at a time make a band, and a document is posted under each of its bands, its tokens.
+
+- Bands: two documents whose sets are as near as 85 % of their union share a band but for one pair in eight thousand million, while sets that
+  merely have some passages in common hardly ever do. So lists hold candidates, and their number grows with the documents. Tokens of one document
+  only are of no use and are not posted.
+- Short signatures: such documents agree in MATCHES or more of the coordinates but for one pair in ten thousand million. Agreements of those that
+  meet in a list are counted on a byte for each coordinate, which can only count too many. Sketches of the full sets go with them: a bit of a
+  sketch is the parity of how many members fall there, so equal members cancel out and two sketches cannot differ in more bits than the sets in members.
 - What is left is confirmed on the full sets.
 
 Equal sets are one node throughout. A list does not form all its pairs: a round links its documents to the one that shares most with others, and
 confirmed links make components; documents of one component need no comparing. Rounds go on, with documents outside a list's largest component,
-as long as a fair share of their pairs turn out to be links. Then all pairs of different components are compared, those outside a list's largest
+as long as a fair share of their pairs turn out to be links, and these are more than a few. Then all pairs of different components are compared, those outside a list's largest
 component with each other and with it, in blocks. So no link between components is lost, and the outcome is that of comparing everybody.
 
 Sets are written only for documents that were posted. Which these are goes to the tasks as a Bloom filter of fixed size; more documents than it
@@ -32,7 +31,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, mix64, split_words, text_slices, vocab_hashes
@@ -41,11 +40,11 @@ from .simhash import connected
 SHINGLE = 3
 #: Links hold at least so many percent of the union in the intersection.
 PERCENT = 85
-COORDINATES, MATCHES = 64, 34
+COORDINATES, MATCHES, BAND = 72, 39, 3
 #: Rows that a block of a long list holds.
 BLOCK = 512
-#: Rounds of linking each list to one document at most, and the share of a round's pairs that must be links for another one.
-ROUNDS, YIELD = 6, 0.1
+#: Rounds of linking each list to one document at most, and what must be links for another one: a share of a round's pairs, and one of the posted documents.
+ROUNDS, YIELD, CALM = 6, 0.1, 0.005
 #: Bits of the parity sketch of a set.
 PARITY = 1024
 #: Bits of the Bloom filter of posted documents, as a power of two.
@@ -96,8 +95,17 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def bands(own: np.ndarray) -> np.ndarray:
+    """A token for each BAND coordinates of the signatures."""
+    parts = own.reshape(len(own), -1, BAND)
+    out = parts[:, :, 0]
+    for k in range(1, BAND):
+        out = mix64(out * _LANES[0] + parts[:, :, k])
+    return out
+
+
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(row, doc_id, n_shingles, digest, short, tokens): the last three are null for empty sets; short holds a byte of each token."""
+    """(row, doc_id, n_shingles, digest, short, tokens): the last three are null for empty sets; short holds a byte of each coordinate, tokens are bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,8 +114,8 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 n = np.diff(offsets)
                 own = signatures(values, offsets)
                 short = pa.array([x.tobytes() if k else None for x, k in zip(own.astype(np.uint8), n.tolist(), strict=True)], pa.binary())
-                flat = pa.array(own[n > 0].view(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n > 0)]) * COORDINATES, pa.int32()), flat, mask=pa.array(n == 0))
+                flat = pa.array(np.ascontiguousarray(bands(own[n > 0])).view(np.int64).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n > 0)]) * (COORDINATES // BAND), pa.int32()), flat, mask=pa.array(n == 0))
                 ids = [batch.column(c).slice(start, len(texts)) for c in ("row", "doc_id")]
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(n), pa.array(digests(values, offsets), pa.binary()), short, lists], ["row", "doc_id", "n_shingles", "digest", "short", "tokens"])
 
@@ -115,15 +123,11 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, n_shingles long, digest binary, short binary, tokens array<long>")
 
 
-def postings(nodes: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
-    """(token, node, popularity): nodes under the tokens of their prefixes, with how often all their tokens are held; nodes that cannot reach `matches` are out."""
+def postings(nodes: DataFrame) -> DataFrame:
+    """(token, node, popularity): nodes under the tokens that others hold too, with how often all their tokens are held."""
     tokens = nodes.select("node", F.explode("tokens").alias("token"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    held = tokens.join(common, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"), F.sum("df").alias("popularity"))  # at most as many as coordinates
-    first = F.slice("held", 1, F.size("held") - (matches - 1))
-    rows = held.where(F.size("held") >= matches).select("node", "popularity", F.explode(first).alias("entry"))
-    return rows.select(F.col("entry.token").alias("token"), "node", "popularity")
-
+    held = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    return held.select("token", "node", F.sum("df").over(Window.partitionBy("node")).alias("popularity"))
 
 
 def _bytes(column: pa.Array) -> np.ndarray:
@@ -299,7 +303,7 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, block: int
     listed = materialize(postings(nodes), "minhash-postings")
     posted = nodes.select("node", "digest", "n", "short").join(listed.select("node").distinct(), "node")
     sets = materialize(full_sets(docs, materialize(posted, "minhash-posted"), shingle), "minhash-sets")
-    marks = sets.select("node", "n", "short", "odd")
+    marks, n_posted = sets.select("node", "n", "short", "odd"), sets.count()
     rows, found, named = listed.withColumn("component", F.col("node")), None, None
     tried = nodes.sparkSession.createDataFrame([], "a long, b long")
     last = not rounds
@@ -318,7 +322,7 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, block: int
             rows = materialize(listed.join(named, "node", "left").withColumn("component", F.coalesce("component", "node")), "minhash-rows")
         if last:
             break
-        last = turn + 1 >= rounds or n_edges <= YIELD * n_pairs
+        last = turn + 1 >= rounds or n_edges <= max(YIELD * n_pairs, CALM * n_posted)
     return nodes.sparkSession.createDataFrame([], "node long, component long") if named is None else named
 
 

@@ -218,6 +218,23 @@ def test_minhash_signatures_estimate_the_similarity():
     assert not (tokens[:-2:2] == tokens[2::2]).any()
 
 
+def test_minhash_lists_hold_near_documents_and_not_those_that_share_passages(spark):
+    """Of sets with a third in common, hardly any are posted; all of those with 85 % are, and together."""
+    rng = np.random.default_rng(4)
+    passage, values, offsets = rng.integers(0, 1 << 63, 100).astype(np.uint64), [], [0]
+    for core in [passage] * 60 + [c for _ in range(30) for c in [rng.integers(0, 1 << 63, 170).astype(np.uint64)] * 2]:
+        values.append(np.sort(np.concatenate([core, rng.integers(0, 1 << 63, 200 - len(core) - 15 * (len(core) > 100)).astype(np.uint64)])))
+        offsets.append(offsets[-1] + len(values[-1]))
+    tokens = minhash.bands(minhash.signatures(np.concatenate(values), np.array(offsets)))
+    nodes = spark.createDataFrame([(k, t) for k, t in enumerate(tokens.view(np.int64).tolist())], "node long, tokens array<long>")
+    rows = minhash.postings(nodes).collect()
+    lists = {}
+    for r in rows:
+        lists.setdefault(r.token, set()).add(r.node)
+    assert all(any({k, k + 1} <= x for x in lists.values()) for k in range(60, 120, 2))
+    assert sum(r.node < 60 for r in rows) < 60 * 12  # of 24 tokens; those under single coordinates are nearly all held by others
+
+
 def test_parity_sketches_never_differ_more_than_the_sets():
     rng = np.random.default_rng(3)
     for size in (5, 200, 5000):
