@@ -49,3 +49,10 @@ def test_equal_voices_are_measured_once(spark, sf, name):
     plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     below = plan.split("MapInArrow")[1]
     assert "Aggregate [f0" in below and registry.QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/customer.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["top_five_features", "vector_to_map"])
+def test_vectors_are_read_within_their_rows(spark, sf, name):
+    """No row for each feature is ranked or collected: 60 times the recordings."""
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "collect_list" not in plan
