@@ -13,7 +13,7 @@ set under its own order; BAND coordinates at a time make a band, and a document
 
 Equal sets are one node throughout. A list does not form all its pairs: a round links its documents to the one that shares most with others, and
 confirmed links make components; documents of one component need no comparing. Rounds go on, with documents outside a list's largest component,
-as long as a fair share of their pairs turn out to be links, and these are more than a few. Then all pairs of different components are compared, those outside a list's largest
+as long as a fair share of their pairs turn out to be links, and these are more than a few, and more pairs are left than FEW for each posting. Then all pairs of different components are compared, those outside a list's largest
 component with each other and with it, in blocks. So no link between components is lost, and the outcome is that of comparing everybody.
 
 Sets are written only for documents that were posted. Which these are goes to the tasks as a Bloom filter of fixed size; more documents than it
@@ -45,6 +45,8 @@ COORDINATES, MATCHES, BAND = 72, 39, 3
 BLOCK = 512
 #: Rounds of linking each list to one document at most, and what must be links for another one: a share of a round's pairs, and one of the posted documents.
 ROUNDS, YIELD, CALM = 6, 0.1, 0.005
+#: Pairs of different components for each posting, up to which all are compared at once: a pair takes about a microsecond, and no more of them than grow with the postings.
+FEW = 256
 #: Bits of the parity sketch of a set.
 PARITY = 1024
 #: Bits of the Bloom filter of posted documents, as a power of two.
@@ -152,11 +154,11 @@ def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(np.ascontiguousarray(a).view(np.uint64) ^ np.ascontiguousarray(b).view(np.uint64)).sum(axis=1, dtype=np.int64)
 
 
-def star_pairs(rows: DataFrame, lists: DataFrame, first: bool) -> DataFrame:
-    """(a, b), a > b: the rows of each list with its most popular node, at first of all and later outside the largest component, where components differ."""
-    here = rows.join(lists.select("token", "major"), "token")
+def star_pairs(rows: DataFrame, lists: DataFrame | None) -> DataFrame:
+    """(a, b), a > b: the rows of each list with its most popular node, at first (no lists yet) of all and later outside the largest component, where components differ."""
+    here = rows if lists is None else rows.join(lists.select("token", "major"), "token")
     entry = F.struct("popularity", (-F.col("node")).alias("node"), "component")
-    best = here.groupBy("token").agg(F.max(entry if first else F.when(F.col("component") != F.col("major"), entry)).alias("c"))
+    best = here.groupBy("token").agg(F.max(entry if lists is None else F.when(F.col("component") != F.col("major"), entry)).alias("c"))
     both = here.join(best.select("token", (-F.col("c.node")).alias("other"), F.col("c.component").alias("other_component")), "token").where("component <> other_component")
     return both.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
@@ -298,30 +300,33 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, block: int = BLOCK, rounds: int = ROUNDS, few: int = FEW) -> DataFrame:
     """(node, component) of every node that links to another; nodes are (node, digest, n, short, tokens)."""
     listed = materialize(postings(nodes), "minhash-postings")
     posted = nodes.select("node", "digest", "n", "short").join(listed.select("node").distinct(), "node")
     sets = materialize(full_sets(docs, materialize(posted, "minhash-posted"), shingle), "minhash-sets")
-    marks, n_posted = sets.select("node", "n", "short", "odd"), sets.count()
-    rows, found, named = listed.withColumn("component", F.col("node")), None, None
-    tried = nodes.sparkSession.createDataFrame([], "a long, b long")
+    marks, n_posted, n_listed = sets.select("node", "n", "short", "odd"), sets.count(), listed.count()
+    rows, tried, named = listed.withColumn("component", F.col("node")), None, None
     last = not rounds
     for turn in count():
-        lists = materialize(lists_left(rows), "minhash-left")
+        lists = materialize(lists_left(rows), "minhash-left") if turn or last else None
+        last = last or (turn and lists.agg(F.coalesce(F.sum((F.col("size") - F.col("top")) * F.col("size")), F.lit(0))).first()[0] <= few * n_listed)
         if not last:
-            pairs = thinned(star_pairs(rows, lists, not turn).join(tried, ["a", "b"], "left_anti"), marks)
+            pairs = star_pairs(rows, lists)
+            pairs = thinned(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), marks)
         else:
-            pairs = all_pairs(block_pairs(rows, lists, block), marks).join(tried, ["a", "b"], "left_anti")
+            pairs = all_pairs(block_pairs(rows, lists, block), marks)
+            pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "minhash-pairs")
         edges = materialize(confirmed(pairs, sets), "minhash-links")
-        tried, found = tried.unionByName(pairs), edges if found is None else found.unionByName(edges)
+        tried = pairs if tried is None else tried.unionByName(pairs)
         n_pairs, n_edges = pairs.count(), edges.count()
-        if n_edges:
-            named = connected(found)
-            rows = materialize(listed.join(named, "node", "left").withColumn("component", F.coalesce("component", "node")), "minhash-rows")
+        if n_edges:  # what is connected so far stands for the links behind it
+            named = connected(edges if named is None else edges.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         if last:
             break
+        if n_edges:
+            rows = materialize(listed.join(named, "node", "left").withColumn("component", F.coalesce("component", "node")), "minhash-rows")
         last = turn + 1 >= rounds or n_edges <= max(YIELD * n_pairs, CALM * n_posted)
     return nodes.sparkSession.createDataFrame([], "node long, component long") if named is None else named
 

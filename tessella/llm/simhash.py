@@ -275,24 +275,22 @@ def _compare(rows: DataFrame, radius: int, group: int | None) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node connected to each node of the edges (a, b), a > b.
 
-    Large-star and small-star rounds until nothing changes; every round is written, so a lost
-    executor costs that round only, and minima are written before they are joined, so a hub's rows can be split.
+    Large-star and small-star rounds until the edges are stars: whoever has a smaller neighbour has no other. Edges that are stars, such as
+    an earlier result, cost no round. Every round is written, so a lost executor costs that round only, and minima are written before they
+    are joined, so a hub's rows can be split.
     """
     edges = materialize(edges, "components")
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "components-min")
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        near = materialize(both.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")), "components-min")
+        if near.where("low < a AND high > low").isEmpty():
+            return near.where("low < a").select(F.col("a").alias("node"), F.col("low").alias("component"))
+        large = both.join(near.drop("high"), "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct()
         large = materialize(large, "components-large")
         least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "components-min")
         joined = large.join(least, "a")
         small = joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         edges = materialize(small, "components")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = now
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, group: int = GROUP) -> DataFrame:

@@ -70,6 +70,20 @@ def test_simhash_links_in_dense_groups(spark):
         assert {k: got.get(k, k) for k in expected} == expected
 
 
+def test_connected_adds_links_to_stars_without_redoing_them(spark, monkeypatch):
+    """Stars, such as an earlier result, are found to be stars; with links between them they become the components of all links."""
+    rounds, write = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, label: (rounds.append(label), write(df, label))[1])
+    path = simhash.connected(spark.createDataFrame([(k + 1, k) for k in range(40) if k % 10 != 9], "a long, b long"))
+    rounds.clear()
+    stars = path.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    again = simhash.connected(stars)
+    assert rounds == ["components", "components-min"]
+    assert sorted(again.collect()) == sorted(path.collect()) == [(k, k // 10 * 10) for k in range(40) if k % 10]
+    more = simhash.connected(stars.unionByName(spark.createDataFrame([(25, 3), (3, 1)], "a long, b long")))
+    assert sorted(more.collect()) == [(k, 0 if k < 10 or 20 <= k < 30 else k // 10 * 10) for k in range(40) if k not in (0, 10, 30)]
+
+
 def test_simhash_keeps_one_of_each(docs, raw, empty):
     """Columns named as those used inside come back as they were."""
     rows = components([(r[0], fingerprint(r[1])) for r in raw])

@@ -7,6 +7,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import fim, minhash, queries, variants
 
@@ -204,6 +205,29 @@ def test_minhash_links_in_dense_groups(spark, block, rounds):
     assert rows_of(minhash.near_duplicates(docs, block=block, rounds=rounds)) == plain_groups(rows)
 
 
+@pytest.mark.parametrize("few", [0, minhash.FEW])
+def test_minhash_compares_at_once_when_few_pairs_are_left(spark, monkeypatch, few):
+    """Either way all links are found; where few pairs are left, one round and one comparison of all are enough."""
+    turns, left = [], minhash.lists_left
+    monkeypatch.setattr(minhash, "lists_left", lambda rows: (turns.append(1), left(rows))[1])
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(30):
+        base = [f"w{k}" for k in rng.integers(5000, size=60)]
+        for _ in range(6):  # each near to the one before, and less so to those before that
+            base = list(base)
+            base[int(rng.integers(60))] = f"x{rng.integers(10**9)}"
+            texts.append(" ".join(base))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = minhash.sketches(docs)
+    nodes = minhash.materialize(own.select(F.col("doc_id").alias("node"), "digest", F.col("n_shingles").alias("n"), "short", "tokens"), "test-nodes")
+    named = dict(minhash.links(docs, nodes, few=few).collect())
+    expected = {i: c for (i, _, c, _) in plain_groups(rows)}
+    assert {k: named.get(k, k) for k in expected} == expected
+    assert len(turns) == 1 if few else len(turns) > 1
+
+
 def test_minhash_signatures_estimate_the_similarity():
     rng = np.random.default_rng(2)
     values, offsets = [], [0]
