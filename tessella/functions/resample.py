@@ -33,12 +33,20 @@ def polyphase(x: np.ndarray, source: int, target: int, first: int = 0, end: int
         return x[first - base : end - base].astype(float)
     h = filter_taps(up, down)
     half = len(h) // 2
-    out = []
-    for a in range(first, end, 1 << 14):
-        at = np.arange(a, min(end, a + (1 << 14))) * down
-        near = (-(-(at - half) // up))[:, None] + np.arange(2 * half // up + 1)
-        tap = at[:, None] - near * up + half
-        k = near - base
-        use = (tap >= 0) & (tap < len(h)) & (k >= 0) & (k < len(x))
-        out.append((np.where(use, x[np.clip(k, 0, max(0, len(x) - 1))], 0.0) * h[np.clip(tap, 0, len(h) - 1)]).sum(axis=1))
-    return np.concatenate(out) if out else np.zeros(0)
+    width = 2 * half // up + 1
+    start_of = lambda k: -(-(k * down - half) // up)  # noqa: E731  the first sample that output k depends on
+    low = start_of(first)
+    wide = np.zeros(max(0, start_of(end - 1) + width - low))
+    a, b = max(low, base), min(low + len(wide), base + len(x))
+    if a < b:
+        wide[a - low : b - low] = x[a - base : b - base]
+    out = np.zeros(max(0, end - first))
+    for phase in range(min(up, len(out))):  # outputs `up` apart have the same taps, and samples `down` apart
+        start = start_of(first + phase)
+        tap = (first + phase) * down - (start + np.arange(width)) * up + half
+        taps = np.where((tap >= 0) & (tap < len(h)), h[np.clip(tap, 0, len(h) - 1)], 0.0)
+        rows = np.lib.stride_tricks.sliding_window_view(wide, width)[start - low :: down]
+        own = out[phase::up]
+        for k in range(0, len(own), 1 << 14):
+            own[k : k + (1 << 14)] = np.ascontiguousarray(rows[k : min(len(own), k + (1 << 14))]) @ taps
+    return out
