@@ -23,6 +23,7 @@ from .recurrence import Runner, cascade
 RATE, TARGET_DB, CEILING = 16000, -20.0, 0.95
 #: The high-pass is designed for RATE and runs before resampling.
 DC = kernels.butterworth(1, 20.0, RATE, "high")
+_DC_RUNNER = Runner(cascade(DC))
 CHUNK_SEC, HOP_SEC, LEAST_SEC = 3.0, 1.0, 0.5
 
 RECORD = (
@@ -40,7 +41,7 @@ def preprocess(x: np.ndarray, rate: int) -> np.ndarray:
     x = np.where(np.isfinite(x), x, 0.0)
     x = x - x.mean()
     if len(x) > 64:
-        x, _ = Runner(cascade(DC)).run(x, np.zeros(2))
+        x, _ = _DC_RUNNER.run(x, np.zeros(2))
     x = polyphase(x, rate, RATE)
     rms = np.sqrt((x * x).mean())
     if rms < 0.015:
@@ -84,30 +85,70 @@ def _record(content: bytes | None) -> tuple:
     return rate, x.shape[1], bits, len(x), _level(peak), _level(rms), peak >= 0.999, y, spans, round(spoken, 3), round(silent, 3), round(share, 3), chunks_of(len(y), spans), None
 
 
-def records(files: DataFrame) -> DataFrame:
-    """RECORD of each (audio_id, content)."""
+#: Samples that are held before they are handed on.
+HELD = 1 << 17
+
+
+def records(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """RECORD of each (audio_id, content); columns to keep stand after the number."""
     names = ["audio_id", "source_rate", "channels", "bit_depth", "source_samples", "peak_dbfs", "rms_dbfs", "is_clipped", "samples", "segments", "speech_sec", "silence_sec", "speech_ratio", "chunks", "error"]
     segment = pa.list_(pa.struct([("start_sample", pa.int64()), ("end_sample", pa.int64()), ("is_speech", pa.bool_())]))
     chunk = pa.list_(pa.struct([("start_sample", pa.int64()), ("end_sample", pa.int64()), ("speech_ratio", pa.float64()), ("is_padded", pa.bool_())]))
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), None, segment, pa.float64(), pa.float64(), pa.float64(), chunk, pa.string()]
-    keyed = lambda rows, kind: [dict(zip([f.name for f in kind.value_type], r, strict=True)) for r in rows] if rows is not None else None
+    rows = files.select(F.col("audio_id").cast("long").alias("audio_id"), *keep, "content")
+    kept = {f.name: f.dataType.simpleString() for f in rows.schema if f.name in keep}
+    schema = RECORD.replace("audio_id long", ", ".join(["audio_id long", *[f"{c} {kept[c]}" for c in keep]]), 1)
+
+    def keyed(of_rows: list, kind: pa.DataType) -> pa.Array:
+        """The rows' lists of tuples as lists of structs."""
+        flat = [r for own in of_rows for r in own or ()]
+        fields = [pa.array([r[k] for r in flat], f.type) for k, f in enumerate(kind.value_type)]
+        ends = np.cumsum([0, *[len(own or ()) for own in of_rows]])
+        values = pa.StructArray.from_arrays(fields, fields=list(kind.value_type))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([own is None for own in of_rows]))
+
+    def table(held: list, batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+        columns = []
+        for k, kind in enumerate(kinds):
+            own = [row[k] for row in held]
+            if k == 8:
+                columns.append(pa.ListArray.from_arrays(*_laid(own), mask=pa.array([x is None for x in own])))
+            else:
+                columns.append(keyed(own, kind) if kind in (segment, chunk) else pa.array(own, kind))
+        same = [batch.column(c).slice(at, len(held)) for c in keep]
+        return pa.RecordBatch.from_arrays([columns[0], *same, *columns[1:]], [names[0], *keep, *names[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, n, at = [], 0, 0
             for audio_id, content in zip(batch.column("audio_id").to_pylist(), batch.column("content"), strict=True):
                 try:
                     row = [audio_id, *_record(content.as_py())]
                 except ValueError as e:
                     row = [audio_id, *[None] * 13, str(e)]
-                row[9], row[13] = keyed(row[9], segment), keyed(row[13], chunk)
-                columns = [lists([row[8]]) if k == 8 and row[8] is not None else pa.array([v], t or pa.list_(pa.float64())) for k, (v, t) in enumerate(zip(row, kinds, strict=True))]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                held.append(row)
+                n += len(row[8]) if row[8] is not None else 0
+                if n >= HELD:
+                    yield table(held, batch, at)
+                    held, n, at = [], 0, at + len(held)
+            if held:
+                yield table(held, batch, at)
+
+    return rows.mapInArrow(run, schema)
 
-    return files.select(F.col("audio_id").cast("long").alias("audio_id"), "content").mapInArrow(run, RECORD)
+
+def _laid(own: list) -> tuple[pa.Array, pa.Array]:
+    """Offsets and values of rows of samples laid end to end; a null row holds none."""
+    full = [x for x in own if x is not None]
+    ends = np.cumsum([0, *[0 if x is None else len(x) for x in own]])
+    return pa.array(ends, pa.int32()), pa.array(np.concatenate([*full, np.zeros(0)]))
 
 
 def ingest(files: DataFrame, archive: str) -> DataFrame:
-    """A record for each file (audio_id, path, content), with its hashes; contents go to the archive byte for byte, and integrity is checked on what was archived."""
+    """A record for each file (audio_id, path, content), with its hashes; contents go to the archive byte for byte, and integrity is checked on what was archived.
+
+    The archive is read back once, and a file's hashes and record are made where its content is: nothing is shuffled.
+    """
     rows = files.select("audio_id", "path", F.coalesce("content", F.lit(b"")).alias("content"))
     kept = rows.select(
         "audio_id", "path", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"), F.octet_length("content").cast("long").alias("n_bytes"),
@@ -115,8 +156,7 @@ def ingest(files: DataFrame, archive: str) -> DataFrame:
     )
     kept.write.mode("append").parquet(archive)
     back = rows.sparkSession.read.schema(kept.schema).parquet(archive)
-    done = back.select("audio_id", "path", "sha256", "md5", "n_bytes", "archived_as", (F.sha2("content", 256) == F.col("sha256")).alias("verified"))
-    return done.join(records(back.select("audio_id", "content")), "audio_id")
+    return records(back.withColumn("verified", F.sha2("content", 256) == F.col("sha256")), ("path", "sha256", "md5", "n_bytes", "archived_as", "verified"))
 
 
 def resampled(blocks: DataFrame, size: int, source: int, target: int) -> DataFrame:

@@ -89,3 +89,23 @@ def test_ingestion_of_files(spark, tmp_path):
     assert (got[2].channels, got[2].source_rate, len(got[2].samples), got[2].is_clipped) == (2, 44100, 48000, False)
     assert got[3].speech_sec == 0 and got[3].silence_sec == 2 and got[3].peak_dbfs == -100
     assert got[7].source_samples == 0 and got[7].chunks == []
+
+
+def test_files_are_not_shuffled_and_all_have_their_record(spark, tmp_path):
+    """Files without a number or with one number keep a row each, with hashes of their own; rows are cut anywhere."""
+    made = [wav.encode(0.2 * np.sin(np.arange(n) / 9), 16000) for n in (0, 900, 150_000, 40, 70_000)]
+    rows = [(None, "a/n.wav", made[1]), (1, "a/1.wav", made[2]), (1, "b/1.wav", made[3]), (2, "a/2.wav", made[4]), (3, "a/3.wav", b"no sound"), (4, "a/4.wav", made[0]), (5, "a/5.wav", None)]
+    files = spark.createDataFrame(rows, "audio_id long, path string, content binary").coalesce(1)
+    out = ingestion.ingest(files, str(tmp_path / "archive"))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.path: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for number, path, content in rows:
+        r = got[path]
+        assert (r.audio_id, r.sha256, r.n_bytes, r.verified) == (number, hashlib.sha256(content or b"").hexdigest(), len(content or b""), True)
+        if content is None or content == b"no sound":
+            assert r.error and r.samples is None and r.segments is None and r.chunks is None
+        else:
+            rate, _, _, n, _, _, _, x, spans, *_, cut, _ = ingestion._record(content)
+            assert r.error is None and r.source_samples == n and np.allclose(r.samples, x, atol=1e-12)
+            assert [tuple(s) for s in r.segments] == spans and [tuple(c) for c in r.chunks] == cut
