@@ -9,8 +9,8 @@ headings and paragraphs of an article stay even where a host's pages agree on th
 
 Templates are partial results of fixed shape: each task folds the pages it reads, host by host, and
 the parts of a host are then folded in two rounds, so a host with a third of all pages is no hot
-group. A template keeps at most NODES nodes (those seen least go), far more than a host's layouts have, so its size does not grow with
-the pages. Templates up to `limit` bytes in all are sent to the executors, beyond that they are joined by host.
+group. A host whose template outgrows NODES nodes is dealt by the shape of its pages into four times as many parts, each with a template of
+its own, until none is too large: no node is left out, and no task holds more than one such template. Templates up to `limit` bytes in all are sent to the executors, beyond that they are joined by host.
 
 Defined results: null and empty html give an empty text. A page without a host, or the only page of its host, is
 extracted by element names alone, and so is a page whose content node is not found. Repeated pages
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Half of what a template may hold before its host is dealt into more parts.
 NODES = 50_000
 #: Template nodes that a task holds before it sends on what there is.
 HELD_NODES = 400_000
@@ -260,7 +261,7 @@ class Template:
 
     def __init__(self) -> None:
         self.labels, self.parents, self.boiler = [""], [-1], [False]
-        self.seen, self.same, self.chars, self.pages = [0], [0], [0], 0
+        self.seen, self.same, self.chars, self.pages, self.widest = [0], [0], [0], 0, 0
         self.kids: list[list[int]] = [[]]
         self.maps: dict[str, list[int]] = {}
 
@@ -330,40 +331,27 @@ class Template:
             text = "\n".join(texts.get(node, ()))
             self._count(place[node], 1, zlib.crc32(text.encode()), len(text))
         self.pages += 1
-        if len(self.labels) > 2 * NODES:
-            self.prune()
+        self.widest = max(self.widest, len(page.labels))
 
     def add_template(self, other: Template) -> None:
         place = self.align(other.labels, other.kids, other.boiler, True)
         for node, at in enumerate(place):
             self._count(at, other.seen[node], other.same[node], other.chars[node])
         self.pages += other.pages
+        self.widest = max(self.widest, other.widest)
         self.maps.clear()
-        if len(self.labels) > 2 * NODES:
-            self.prune()
-
-    def prune(self) -> None:
-        """Keep the NODES nodes seen most, parents before children."""
-        order = sorted(range(len(self.labels)), key=lambda k: (-self.seen[k], k))[:NODES]
-        keep, new = {0}, Template()
-        for k in sorted(order):
-            if self.parents[k] in keep:
-                keep.add(k)
-        at = {0: 0}
-        for k in sorted(keep - {0}):
-            at[k] = new.add_node(self.labels[k], at[self.parents[k]], self.boiler[k])
-        for k, n in at.items():
-            new.seen[n], new.same[n], new.chars[n] = self.seen[k], self.same[k], self.chars[k]
-        new.pages = self.pages
-        self.__dict__ = new.__dict__
+
+    def full(self, nodes: int = NODES) -> bool:
+        """Whether there are too many nodes, and more than two pages can have."""
+        return len(self.labels) > 2 * max(nodes, self.widest)
 
     def dump(self) -> str:
-        return json.dumps([self.pages, self.labels, self.parents, self.boiler, self.seen, self.same, self.chars], separators=(",", ":"))
+        return json.dumps([self.pages, self.widest, self.labels, self.parents, self.boiler, self.seen, self.same, self.chars], separators=(",", ":"))
 
     @staticmethod
     def load(text: str) -> Template:
         t = Template()
-        t.pages, t.labels, t.parents, t.boiler, t.seen, t.same, t.chars = json.loads(text)
+        t.pages, t.widest, t.labels, t.parents, t.boiler, t.seen, t.same, t.chars = json.loads(text)
         t.kids = [[] for _ in t.labels]
         for k, p in enumerate(t.parents):
             if p >= 0:
@@ -424,43 +412,60 @@ def host_column(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def fold(templates: DataFrame, keys: list[str]) -> DataFrame:
-    """Fold the templates that share `keys` into one."""
+def part_of(page: Page, parts: int) -> int:
+    """The part of its host that a page belongs to."""
+    return zlib.crc32(page.shape.encode()) % parts if parts > 1 else 0
+
+
+def fold(templates: DataFrame, keys: list[str], nodes: int = NODES) -> DataFrame:
+    """Fold the templates that share `keys` into one; null where it is full."""
     schema = templates.select(*keys, "template").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, None
+
+        def out() -> pa.RecordBatch:
+            made = None if own is None else own.dump()
+            return pa.RecordBatch.from_arrays([*[pa.array([v]) for v in now], pa.array([made], pa.string())], [*keys, "template"])
+
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in (*keys, "template")), strict=True):
                 if row[:-1] != now:
-                    if own is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*now, own.dump())], [*keys, "template"])
+                    if now is not None:
+                        yield out()
                     now, own = row[:-1], Template()
-                own.add_template(Template.load(row[-1]))
-        if own is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*now, own.dump())], [*keys, "template"])
+                if own is None:
+                    continue
+                if row[-1] is not None:
+                    own.add_template(Template.load(row[-1]))
+                if row[-1] is None or own.full(nodes):
+                    own = None
+        if now is not None:
+            yield out()
 
     return templates.select(*keys, "template").repartition(*keys).sortWithinPartitions(*keys, "template").mapInArrow(run, schema)
 
 
-def induce(pages: DataFrame, salts: int = 32) -> DataFrame:
-    """(host, template) from all pages."""
+def _partial(rows: DataFrame, parts: int, salts: int) -> DataFrame:
+    """(host, part, salt, template) of (host, html): what tasks make of the pages they read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, Template] = {}
+        own: dict[tuple[str, int], Template] = {}
 
         def out() -> pa.RecordBatch:
             made = [t.dump() for t in own.values()]
             salt = [zlib.crc32(m.encode()) % salts for m in made]
-            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(salt, pa.int64()), pa.array(made, pa.string())], ["host", "salt", "template"])
+            columns = [pa.array([h for h, _ in own], pa.string()), pa.array([k for _, k in own], pa.int64()), pa.array(salt, pa.int64()), pa.array(made, pa.string())]
+            return pa.RecordBatch.from_arrays(columns, ["host", "part", "salt", "template"])
 
         held = 0
         for batch in batches:
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 if host and html:
-                    template = own.setdefault(host, Template())
+                    page = parse(html)
+                    template = own.setdefault((host, part_of(page, parts)), Template())
                     held -= len(template.labels)
-                    template.add_page(parse(html))
+                    template.add_page(page)
                     held += len(template.labels)
                     if held > HELD_NODES:
                         yield out()
@@ -468,40 +473,76 @@ def induce(pages: DataFrame, salts: int = 32) -> DataFrame:
                         held = 0
         yield out()
 
-    rows = pages.select(host_column().alias("host"), "html").mapInArrow(run, "host string, salt long, template string")
-    return fold(fold(rows, ["host", "salt"]), ["host"])
+    return rows.mapInArrow(run, "host string, part long, salt long, template string")
 
 
-def extract_pages(pages: DataFrame, limit: int = LIMIT) -> DataFrame:
+def induce(pages: DataFrame, salts: int = 32, nodes: int = NODES) -> DataFrame:
+    """(host, parts, part, template) from all pages, written; a host has as many parts as keep its templates from being full."""
+    rows, made, parts = pages.select(host_column().alias("host"), "html"), None, 1
+    while True:
+        folded = fold(fold(_partial(rows, parts, salts), ["host", "part", "salt"], nodes), ["host", "part"], nodes)
+        own = materialize(folded.withColumn("parts", F.lit(parts)), "templates")
+        full = own.where("template IS NULL").select("host").distinct()
+        if full.isEmpty():
+            return own if made is None else made.unionByName(own)
+        kept = own.join(full, "host", "left_anti")
+        made = kept if made is None else made.unionByName(kept)
+        rows, parts = rows.join(full, "host", "left_semi"), 4 * parts
+
+
+def extract_pages(pages: DataFrame, limit: int = LIMIT, nodes: int = NODES) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    templates = materialize(induce(pages), "templates")
+    templates = induce(pages, nodes=nodes)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_column().alias("host"))
     size = templates.agg(F.coalesce(F.sum(F.length("template")), F.lit(0))).first()[0]
     names = ["page_id", "url", "text", "n_chars"]
 
     def rows_of(batch: pa.RecordBatch, template_of) -> pa.RecordBatch:
-        texts = [extract(parse(html), template_of(k)) if html else "" for k, html in enumerate(batch.column("html").to_pylist())]
+        read = [parse(html) if html else None for html in batch.column("html").to_pylist()]
+        texts = [extract(page, template_of(k, page)) if page else "" for k, page in enumerate(read)]
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names)
 
     schema = "page_id long, url string, text string, n_chars long"
     if size <= limit:
-        got = templates.toArrow()
-        shared = pages.sparkSession.sparkContext.broadcast(dict(zip(got.column("host").to_pylist(), got.column("template").to_pylist(), strict=True)))
+        got = templates.select("host", "parts", "part", "template").toArrow().to_pydict()
+        by_host: dict[str, tuple[int, dict[int, str]]] = {}
+        for host, parts, part, template in zip(*got.values(), strict=True):
+            by_host.setdefault(host, (parts, {}))[1][part] = template
+        shared = pages.sparkSession.sparkContext.broadcast(by_host)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            loaded: dict[str, Template | None] = {}
+            loaded: dict[tuple[str, int], Template] = {}
+
+            def of(host: str, page: Page) -> Template | None:
+                if host not in shared.value:
+                    return None
+                parts, texts = shared.value[host]
+                key = host, part_of(page, parts)
+                if key not in loaded and key[1] in texts:
+                    loaded[key] = Template.load(texts[key[1]])
+                return loaded.get(key)
+
             for batch in batches:
                 hosts = batch.column("host").to_pylist()
-                for host in set(hosts) - loaded.keys():
-                    loaded[host] = Template.load(shared.value[host]) if host in shared.value else None
-                yield rows_of(batch, lambda k, hosts=hosts: loaded[hosts[k]])
+                yield rows_of(batch, lambda k, page, hosts=hosts: of(hosts[k], page))
 
         return rows.mapInArrow(run, schema)
 
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [part_of(parse(html), n) if html and n else 0 for html, n in zip(batch.column("html").to_pylist(), batch.column("parts").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("page_id", "url", "html", "host")], pa.array(own, pa.int64())], ["page_id", "url", "html", "host", "part"])
+
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("template").to_pylist()
             loaded = {t: Template.load(t) for t in set(texts) if t}
-            yield rows_of(batch, lambda k, texts=texts, loaded=loaded: loaded.get(texts[k]))
-
-    return rows.join(templates, "host", "left").mapInArrow(joined, schema)
+            yield rows_of(batch, lambda k, page, texts=texts, loaded=loaded: loaded.get(texts[k]))
+
+    several = templates.where("parts > 1").select("host", "parts").distinct()
+    if several.isEmpty():
+        rows = rows.withColumn("part", F.lit(0).cast("long"))
+    else:
+        kinds = {c: rows.schema[c].dataType.simpleString() for c in ("page_id", "url", "html", "host")}
+        rows = rows.join(several, "host", "left").mapInArrow(dealt, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", part long")
+    return rows.join(templates.select("host", "part", "template"), ["host", "part"], "left").mapInArrow(joined, schema)

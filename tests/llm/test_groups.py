@@ -370,3 +370,19 @@ def test_pipeline_stages(spark, sf):
             assert docs.columns == columns
     final = corpus_pipeline.run(spark, sf).select("doc_id", "ids_sha256").collect()
     assert sorted(map(tuple, final)) == sorted(map(tuple, docs.select("doc_id", "ids_sha256").collect()))
+
+
+def test_html_hosts_with_many_layouts_keep_all_nodes(spark):
+    """A host beyond what a template holds is dealt into parts; none of its nodes goes. Read by one task, its pages give what one template gives."""
+    layout = "<div class='page'><div class='top l{k}'>menu of {k}</div>" + "".join(f"<div class='s{{k}}x{j}'><p>words {{n}} of {j}</p></div>" for j in range(12)) + "<div class='end l{k}'>ends {k}</div></div>"
+    rows = [(n, "http://many.example/x", layout.format(k=n % 15, n=n)) for n in range(90)] + [(100 + n, "http://few.example/x", layout.format(k=0, n=n)) for n in range(4)] + [(200, "http://one.example/", "<p>alone</p>"), (201, "http://many.example/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    whole = sorted(html.extract_pages(pages).collect())
+    assert [r.text for r in whole[:90]] == ["\n\n".join(f"words {n} of {j}" for j in range(12)) for n in range(90)]
+    for limit in (html.LIMIT, 0):
+        assert sorted(html.extract_pages(pages, limit, nodes=40).collect()) == whole
+    made = html.induce(pages, nodes=40).collect()
+    assert {r.host: r.parts > 1 for r in made} == {"many.example": True, "few.example": False, "one.example": False}
+    own = [html.Template.load(r.template) for r in made if r.host == "many.example"]
+    assert sum(t.pages for t in own) == 90 and max(len(t.labels) for t in own) <= 80
+    assert {x for t in own for x in t.labels} >= {x for _, url, h in rows if h and "many" in url for x in html.parse(h).labels}
