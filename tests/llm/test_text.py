@@ -173,6 +173,33 @@ def test_quality_judges_every_script_by_its_own_language(spark):
     assert rows_of(quality.filter_documents(docs, limit=1)) == Counter(rows)
 
 
+def test_quality_counts_whole_code_points(spark):
+    """The same prose with each Han letter 34 code points further on is another text: it is as unlikely as noise, sent or joined."""
+    rng = np.random.default_rng(6)
+    vocab = ["".join(chr(0x4E00 + k) for k in rng.integers(0, 34, rng.integers(2, 6))) for _ in range(150)]
+    rows = [(k, " ".join(vocab[i] for i in rng.integers(0, 150, 120)), "zh") for k in range(80)]
+    moved = [(1000 + k, re.sub("[^ ]", lambda m: chr(ord(m[0]) + 34), rows[k][1]), "zh") for k in range(3)]
+    docs = spark.createDataFrame(rows + moved, "doc_id long, text string, lang string")
+    for limit in (quality.MODEL_GRAMS, 1):
+        got = {r.doc_id: r for r in quality.quality_report(docs, limit=limit).collect()}
+        assert all(got[i].kept for i, *_ in rows) and not any(got[i].kept or got[i].base_failed for i, *_ in moved)
+
+
+def test_quality_grams_of_any_alphabet():
+    """More code points than a packed number takes are dealt with in halves; 4-grams do not reach into another text."""
+    rng = np.random.default_rng(7)
+    texts = ["aB \tc", "", *("".join(map(chr, rng.integers(0x10000, 0x30000, 30_000))) for _ in range(2)), "x"]
+    owners, got = np.array([5, 9, 1000, 3, 2]), []
+    for at, packed, alphabet, offsets, bits in quality.grams(pa.array(texts), owners):
+        assert at == len(got) and offsets.tolist() == np.cumsum([0, *map(len, texts)]).tolist()
+        got += zip(*(c.tolist() for c in quality.unpacked(packed, alphabet, bits)), strict=True)
+    expected = []
+    for owner, text in zip(owners.tolist(), texts, strict=True):
+        c = [0, 0, 0, *(quality.character_class(ord(x)) for x in text)]
+        expected += [(owner, c[k] << 21 | c[k + 1], c[k + 2] << 21 | c[k + 3]) for k in range(len(text))]
+    assert got == expected
+
+
 def test_quality_code_points_are_those_of_the_text():
     texts = ["", "plain", "née Ωmega Ж 漢字 \U0001f600", "é", ""]
     codes, offsets = quality.code_points(pa.array(texts))
