@@ -264,6 +264,16 @@ def test_a_recording_of_one_block_is_summed_where_it_is(spark):
     assert all(one[c] == pytest.approx(many[c], rel=1e-9, abs=1e-9) for c in analysis.SUMMED)
 
 
+def test_texts_of_usual_length_share_nothing_between_blocks(spark):
+    """A recording of 130,000 samples is one block; one in many blocks hands on half of its spectrum's rows, as the others are their conjugates."""
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, bytes(np.random.default_rng(3).integers(0, 256, 130_000, dtype=np.uint8)))], "recording_id long, content binary")
+    kinds = lambda size: {r.kind: (r.n, r.top) for r in analysis.frame_rows(blocks.pcm_blocks(rows, size, analysis.BEFORE, analysis.AFTER), size).groupBy("kind").agg(F.count("*").alias("n"), F.max("key").alias("top")).collect()}
+    assert not {"grid", *analysis.ADDED} & set(kinds(analysis.SIZE))
+    assert kinds(12800)["grid"] == (11 * 78, 77)
+
+
 def test_top_names_rank_as_top_features(spark):
     from pyspark.sql import functions as F
 
