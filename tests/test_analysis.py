@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tessella.functions import kernels, peaks
-from tessella.operators import analysis, blocks, levels, recurrence
+from tessella.operators import analysis, blocks, levels, recurrence, whole
 from tessella.schema import DIGITS, FEATURES
 
 RATE = 16000
@@ -211,6 +211,59 @@ def test_features_equal_plain_ones_of_whole_recordings(spark, contents, size, tm
             assert abs(got[k][name] - expected) <= near, (k, name, got[k][name], expected)
 
 
+def test_whole_recordings_have_the_plain_features(spark, contents):
+    """Recordings of one block are measured many at a time, in groups, without a shuffle."""
+    table = whole.whole_features(contents, parity=False)
+    assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    got = {r.recording_id: r for r in table.collect()}
+    assert set(got) == set(recordings())
+    for k, raw in recordings().items():
+        x = (np.frombuffer(raw, np.uint8) - 128.0) / 128
+        assert got[k].duration_sec == len(x) / RATE
+        for name, expected in zip(FEATURES, plain_features(x), strict=True):
+            near = 10.0 ** -DIGITS[name] + (2e-3 if name in ("phase_if_clustering", "phase_dispersion_entropy") else 1e-9 * abs(expected))
+            assert abs(got[k][name] - expected) <= near, (k, name, got[k][name], expected)
+
+
+def test_groups_and_wanted_features_do_not_change_values(monkeypatch):
+    """Each feature is the same alone as among all 60, and in whatever group its recording is."""
+    own = [(np.frombuffer(raw, np.uint8) - 128.0) / 128 for raw in recordings().values()]
+    peaks, rows = whole.measured(own, list(FEATURES))
+    for k, name in enumerate(FEATURES):
+        assert np.array_equal(whole.measured(own, [name])[1][:, 0], rows[:, k]), name
+    monkeypatch.setattr(whole, "GROUP", 1)
+    alone = whole.measured(own, list(FEATURES))
+    assert np.array_equal(alone[0], peaks) and np.allclose(alone[1], rows, rtol=1e-9, atol=1e-9)
+    assert whole.measured([], ["zcr_mean"])[1].shape == (0, 1)
+
+
+def test_recordings_of_one_block_have_no_rows_of_frames(spark, contents, monkeypatch):
+    """Only recordings over one block are cut, written as frames and gathered again; together they are all recordings."""
+    from tessella.plans import recordings as plans
+
+    cut, frame_rows = [], analysis.frame_rows
+    monkeypatch.setattr(analysis, "frame_rows", lambda b, size: cut.append(b) or frame_rows(b, size))
+    one = {r.recording_id: r for r in plans.analysed(contents).collect()}
+    assert not cut and set(one) == set(recordings())
+    many = {r.recording_id: r for r in plans.analysed(contents, size=12800).collect()}
+    assert {r.recording_id for r in cut[0].select("recording_id").distinct().collect()} == {k for k, raw in recordings().items() if len(raw) > 12800}
+    assert all(one[k][c] == pytest.approx(many[k][c], rel=1e-9, abs=2 * 10.0 ** -DIGITS[c]) for k in one for c in FEATURES) and one.keys() == many.keys()
+
+
+def test_simultaneous_roots_are_the_eigenvalues():
+    """Roots of random polynomials, of one with a double root and of one with a root at zero; those that do not settle come from eigenvalues."""
+    rng = np.random.default_rng(1)
+    roots = rng.uniform(0.3, 0.99, (200, 9)) * np.exp(1j * rng.uniform(0, np.pi, (200, 9)))
+    polynomials = np.array([np.real(np.poly([*r, *np.conj(r)])) for r in roots])
+    found, settled = analysis.roots_of(polynomials)
+    assert settled.mean() > 0.9 and max(np.abs(f[:, None] - np.append(r, np.conj(r))).min(axis=0).max() for f, r in zip(found[settled], roots[settled], strict=True)) < 1e-6
+    own = [0.97 * np.exp(2j * np.pi * f / RATE) for f in (700, 700, 2600, 3500)]
+    odd = np.array([np.real(np.poly([*own, *np.conj(own), *[0.1] * 10])), np.real(np.poly([*own[1:], *np.conj(own[1:]), *[0.0] * 12]))])
+    got = analysis.resonances(np.concatenate([polynomials, odd]))
+    assert np.allclose(got[:200], np.concatenate([analysis.resonances(p[None]) for p in polynomials]), atol=0.01, equal_nan=True)
+    assert np.allclose(got[200], [700, 700, 2600, 3500], atol=1) and np.allclose(got[201, :3], [700, 2600, 3500], atol=1e-6)
+
+
 def test_maps_and_vector_hold_the_features_in_order(spark):
     table = spark.createDataFrame([(1, 2.0, *map(float, range(60)))], ["recording_id", "duration_sec", *FEATURES])
     maps = analysis.feature_maps(table)
