@@ -176,3 +176,20 @@ def test_error_function_is_worked_out_for_whole_arrays():
     """Equal to the library's to the last places, also beyond the table and at its places."""
     x = np.concatenate([np.linspace(-8, 8, 20001), np.arange(-384, 385) / 64, [1e300, -1e300, 0.0]])
     assert np.abs(kernels.erf(x) - [math.erf(v) for v in x]).max() < 4e-16
+
+
+def test_training_rows_are_measured_where_their_recordings_are(spark, tmp_path):
+    """Copies are made within the task that measures them, equal to copies in rows; recordings over a block are copied and cut, and each labelled one has three rows."""
+    rng = np.random.default_rng(9)
+    texts = [(k, "".join(map(chr, rng.integers(32, 127, n).tolist()))) for k, n in enumerate((900, 3000, 5000, 700))] + [(4, None), (5, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2) for k in (0, 1, 2, 4, 5, 5)], "doc_id long, quality int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    read = lambda df: sorted((r.source, r.label, tuple(r.features)) for r in df.collect())
+    near = read(recordings.training_rows(spark, f"file://{tmp_path}", f"file://{tmp_path}/a"))
+    far = read(recordings.training_rows(spark, f"file://{tmp_path}", f"file://{tmp_path}/b", size=2560))
+    assert [(s, y) for s, y, _ in near] == [(k, k % 2) for k in (0, 1, 2) for _ in range(3)] == [(s, y) for s, y, _ in far]
+    kinds = spark.createDataFrame([(3 * k + j, k, j, texts[k][1].encode()) for k in range(3) for j in range(3)], "recording_id long, source long, kind int, content binary")
+    table = recordings.analysed(kinds.select("recording_id", blocks.augmented("content", "kind", "source").alias("content")))
+    v = recordings.features.normalize(F.array(*FEATURES), *recordings.features.baseline(list(FEATURES)))
+    assert [f for _, _, f in near] == [f for _, _, f in sorted((r.recording_id // 3, 0, tuple(r.v)) for r in table.select("recording_id", v.alias("v")).collect())]
+    assert all(np.allclose(a[2], b[2], atol=0.05) for a, b in zip(near, far, strict=True))
