@@ -237,6 +237,19 @@ def test_groups_and_wanted_features_do_not_change_values(monkeypatch):
     assert whole.measured([], ["zcr_mean"])[1].shape == (0, 1)
 
 
+def test_time_domain_features_need_no_spectra(monkeypatch):
+    """What is not asked for is not worked out: neither spectra nor resonances nor envelopes."""
+    def spectrum(*_, **__):
+        raise AssertionError("not asked for")
+
+    own = [(np.frombuffer(raw, np.uint8) - 128.0) / 128 for raw in recordings().values()]
+    names = ["energy_entropy", "artifact_splice_points", "artifact_max_energy_jump_db", "artifact_max_phase_jump_rad"]
+    expected = whole.measured(own, list(FEATURES))[1][:, [list(FEATURES).index(c) for c in names]]
+    for at, name in ((np.fft, "rfft"), (np.fft, "irfft"), (analysis, "predictors"), (analysis, "resonances"), (analysis, "envelope_rhythm")):
+        monkeypatch.setattr(at, name, spectrum)
+    assert np.array_equal(whole.measured(own, names)[1], expected)
+
+
 def test_recordings_of_one_block_have_no_rows_of_frames(spark, contents, monkeypatch):
     """Only recordings over one block are cut, written as frames and gathered again; together they are all recordings."""
     from tessella.plans import recordings as plans
