@@ -250,6 +250,20 @@ def test_time_domain_features_need_no_spectra(monkeypatch):
     assert np.array_equal(whole.measured(own, names)[1], expected)
 
 
+def test_verdicts_need_the_features_they_read(spark, contents, monkeypatch):
+    """They ask for no others, and are the same as from all 60; verdicts need no cepstra and no moments."""
+    from tessella.plans import recordings as plans
+
+    full = plans.analysed(contents)
+    asked, analysed = [], plans.analysed
+    monkeypatch.setattr(plans.adapters, "recordings", lambda *_: contents)
+    monkeypatch.setattr(plans, "analysed", lambda rows, **k: asked.append(k["names"]) or analysed(rows, **k))
+    read = lambda df: {r.recording_id: r for r in df.collect()}
+    assert read(plans.verify_samples(spark, "")) == read(plans.r6(plans.verdicts(full)))
+    needed = {s for s, names in whole.SOURCES.items() if names & set(asked[0])}
+    assert not needed & {"cepstra", "signs", "entropy", "moments"}
+
+
 def test_recordings_of_one_block_have_no_rows_of_frames(spark, contents, monkeypatch):
     """Only recordings over one block are cut, written as frames and gathered again; together they are all recordings."""
     from tessella.plans import recordings as plans
