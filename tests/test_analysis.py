@@ -250,7 +250,7 @@ def test_time_domain_features_need_no_spectra(monkeypatch):
     assert np.array_equal(whole.measured(own, names)[1], expected)
 
 
-def test_verdicts_need_the_features_they_read(spark, contents, monkeypatch):
+def test_verdicts_and_summaries_need_the_features_they_read(spark, contents, monkeypatch):
     """They ask for no others, and are the same as from all 60; verdicts need no cepstra and no moments."""
     from tessella.plans import recordings as plans
 
@@ -262,6 +262,9 @@ def test_verdicts_need_the_features_they_read(spark, contents, monkeypatch):
     assert read(plans.verify_samples(spark, "")) == read(plans.r6(plans.verdicts(full)))
     needed = {s for s, names in whole.SOURCES.items() if names & set(asked[0])}
     assert not needed & {"cepstra", "signs", "entropy", "moments"}
+    told = read(plans.analysis_summaries(spark, ""))
+    monkeypatch.setattr(plans, "analysed", lambda rows, **k: full)
+    assert told == read(plans.analysis_summaries(spark, "")) and len(told) == len(recordings()) and "spectral_kurtosis_mean" not in asked[1]
 
 
 def test_recordings_of_one_block_have_no_rows_of_frames(spark, contents, monkeypatch):
