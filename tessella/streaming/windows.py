@@ -12,10 +12,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.activity import speech_share
 from ..functions.resample import polyphase
+from ..operators import whole
 from ..plans import scoring
+from .packets import samples_of
 
 WINDOWS = "session_id string, window_no long, start_idx long, n int, mean double, peak double, rms double, speech_ratio double, received_ms double"
 STATE = "held array<double>, next long, rate int, last long"
+#: Windows that are held until they are measured together.
+MEASURED = 32
 
 
 def speech_ratio(window: np.ndarray, frame: int, least_db: float) -> float:
@@ -24,8 +28,13 @@ def speech_ratio(window: np.ndarray, frame: int, least_db: float) -> float:
     return float((20 * np.log10(np.maximum(np.sqrt((whole * whole).mean(1)), 1e-7)) > least_db).mean()) if len(whole) else 0.0
 
 
+def may_pass(peak: float, rms: float, ratio: float) -> bool:
+    """Whether `scoring.stream_gate` can pass a window; what lies at its levels' very bounds is left to it."""
+    return ratio > 0.0999 and peak > 0.0149 and rms > 10 ** (-50.01 / 20)
+
+
 def hopping_windows(
-    packets: DataFrame, size: int, hop: int, target_rate: int | None = None, frame: int = 320, least_db: float = -48.0, idle_minutes: int | None = None, voice: bool = False, keep: bool = False
+    packets: DataFrame, size: int, hop: int, target_rate: int | None = None, frame: int = 320, least_db: float = -48.0, idle_minutes: int | None = None, voice: bool = False, keep: bool = False, measure: list[str] | None = None
 ) -> DataFrame:
     """Windows of `size` samples each `hop` samples, of packets (session_id, seq, sample_rate, samples), with level and speech ratio.
 
@@ -34,8 +43,11 @@ def hopping_windows(
     `reset` column starts the session anew. One with a true `end` column is the session's last: its state is dropped with the batch, so finished sessions hold nothing. No tail is emitted. Packets of one batch are taken by seq, and one whose seq is not above
     that of the packet before it, in this batch or an earlier one, is left out; a reset lets any seq follow. A packet without samples only brings its rate or reset. NaN and infinite samples become 0. With `target_rate`, each window is resampled to it
     before it is measured. The speech ratio is the share of frames over `least_db`, or with `voice` that of the window's speech segments. `received_ms` is that column of the packet that completed the window, if there is one. `keep` adds the window's samples, for what is to be found in them.
+    Packets may come as (payload, encoding) in place of samples, so that they take no more room than what was sent. `measure` names features that are worked out of a window where it is cut, as `v`,
+    not rounded; null for a window that would not pass the gate. So windows leave their task as a few numbers, not with their samples.
     """
-    schema = WINDOWS + ", samples array<double>" * keep
+    schema = WINDOWS + ", samples array<double>" * keep + ", v array<double>" * (measure is not None)
+    encoded = "payload" in packets.columns
     names = [c.split()[0] for c in schema.split(", ")]
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -45,7 +57,15 @@ def hopping_windows(
         held, start, rate, last = state.get if state.exists else ([], 0, 0, -1)
         held = np.array(held, float)
         rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
-        out, ended = [], False
+        out, ended, waiting = [], False, []
+
+        def fill() -> None:
+            """Features of the windows that wait for them."""
+            found = whole.measured([w for _, w in waiting], measure)[1]
+            for (k, _), v in zip(waiting, found, strict=True):
+                out[k] = (*out[k][:-1], v.tolist())
+            waiting.clear()
+
         for row in rows.to_dict("records"):
             ended = bool(row.get("end"))
             if row.get("reset"):
@@ -55,13 +75,20 @@ def hopping_windows(
             last = row["seq"]
             if rate and row["sample_rate"] != rate:
                 held = held[:0]
-            rate, samples = int(row["sample_rate"]), row["samples"]
-            new = np.array([0.0 if v is None else v for v in samples], float) if samples is not None else np.zeros(0)
+            rate, samples = int(row["sample_rate"]), samples_of(row["payload"], row["encoding"]) if encoded else row["samples"]
+            new = np.zeros(0) if samples is None else samples if encoded else np.array([0.0 if v is None else v for v in samples], float)
             held = np.concatenate([held, np.where(np.isfinite(new), new, 0.0)])
             while len(held) >= size:
                 w = polyphase(held[:size], rate, target_rate) if target_rate and target_rate != rate else held[:size]
-                out.append((key[0], start // hop, start, len(w), w.mean(), np.abs(w).max(), np.sqrt((w * w).mean()), speech_share(w, target_rate or rate) if voice else speech_ratio(w, frame, least_db), row.get("received_ms"), *([w.tolist()] if keep else [])))
+                peak, rms, ratio = np.abs(w).max(), np.sqrt((w * w).mean()), speech_share(w, target_rate or rate) if voice else speech_ratio(w, frame, least_db)
+                out.append((key[0], start // hop, start, len(w), w.mean(), peak, rms, ratio, row.get("received_ms"), *([w.tolist()] if keep else []), *([None] if measure is not None else [])))
+                if measure is not None and may_pass(peak, rms, ratio):
+                    waiting.append((len(out) - 1, w))
+                    if len(waiting) == MEASURED:
+                        fill()
                 held, start = held[hop:], start + hop
+        if waiting:
+            fill()
         if not ended:
             state.update((held.tolist(), int(start), rate, int(last)))
             if idle_minutes:
