@@ -267,6 +267,16 @@ def test_verdicts_and_summaries_need_the_features_they_read(spark, contents, mon
     assert told == read(plans.analysis_summaries(spark, "")) and len(told) == len(recordings()) and "spectral_kurtosis_mean" not in asked[1]
 
 
+def test_vectors_come_without_frames_of_short_recordings(spark, contents, monkeypatch):
+    """The vector holds the 60 features in order; no recording of one block is cut for it."""
+    from tessella.plans import recordings as plans
+
+    monkeypatch.setattr(plans.adapters, "recordings", lambda *_: contents)
+    monkeypatch.setattr(analysis, "frame_rows", lambda *_: pytest.fail("cut"))
+    got = {r.recording_id: r.v for r in plans.analysis_vector(spark, "").collect()}
+    assert got == {r.recording_id: [r[c] for c in FEATURES] for r in whole.whole_features(contents).collect()}
+
+
 def test_recordings_of_one_block_have_no_rows_of_frames(spark, contents, monkeypatch):
     """Only recordings over one block are cut, written as frames and gathered again; together they are all recordings."""
     from tessella.plans import recordings as plans
